@@ -86,7 +86,7 @@ def exception_preview(master: DataFrame, shown: int = fv.PREVIEW_SIZE) -> DataFr
     """
     rows = exception_rows(master)
     order = Window.partitionBy("category").orderBy("seq")
-    first = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= shown)
+    first = rows.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= shown)
     totals = master.agg(*[F.count_if(test).alias(name) for name, test in record_tests().items()])
     totals = totals.unpivot([], totals.columns, "category", "total")
     # One row per category: eleven.
