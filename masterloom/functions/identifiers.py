@@ -16,19 +16,37 @@ from .text import strip_noise, strip_space
 NUMBER_FIELDS = ("raw_number", "normalized_number", "country", "patent_type", "is_placeholder")
 
 
-def _classify(body: Column, digits: Column, design: Column, known: Column, home_digits: Column,
-              foreign_body: Column, hint: Column) -> Column:
-    """Form of a number; the first that fits wins."""
-    home = fv.HOME_COUNTRY
+# Forms of a number. The first five belong to the home country.
+CODE, REISSUE, DESIGN, PUBLICATION, UTILITY, PREFIXED, BARE, HINTED, UNKNOWN, MISSING, NOISE = range(11)
+
+_HOME = fv.HOME_COUNTRY
+# Record type per form; codes and bare numbers depend on more than the form.
+_TYPES = (None, "reissue", "design", "publication", "utility", "foreign", "foreign", "foreign",
+          "unknown", "unknown", "unknown")
+# What stands between the country and the digits.
+_INFIX = ("", "RE", "D", *[""] * 8)
+
+
+def _lookup(values: tuple, form: Column) -> Column:
+    return F.get(F.array(*[F.lit(v).cast("string") for v in values]), form)
+
+
+def _form(hint: Column) -> Column:
+    """Form of a number from the staged columns; the first that fits wins."""
+    raw, body = F.col("_raw"), F.col("_body")
+    at_home = body.startswith(_HOME)
     return (
-        F.when((body.startswith(home + "RE") | body.startswith("RE")) & (digits != ""), "reissue")
-        .when(design != "", "design")
-        .when(body.rlike("^" + home + "[0-9]{11}([A-Z][0-9]?)?$"), "publication")
-        .when(known & body.startswith(home) & (home_digits != ""), "utility")
-        .when(known & (foreign_body != ""), "prefixed")
-        .when(body.rlike(r"^[0-9][0-9A-Z.\-]*$"), "bare")
-        .when(hint.isNotNull(), "hinted")
-        .otherwise("unknown")
+        F.when(raw.isNull(), MISSING)
+        .when(F.upper(raw).isin(*fv.PLACEHOLDER_TYPES), CODE)
+        .when(body == "", NOISE)
+        .when(body.rlike(f"^({_HOME})?RE.*[0-9]"), REISSUE)
+        .when(F.col("_design") != "", DESIGN)
+        .when(body.rlike(f"^{_HOME}[0-9]{{11}}([A-Z][0-9]?)?$"), PUBLICATION)
+        .when(F.col("_known") & at_home & (F.col("_home") != ""), UTILITY)
+        .when(F.col("_known") & (F.col("_rest") != ""), PREFIXED)
+        .when(body.rlike(r"^[0-9][0-9A-Z.\-]*$"), BARE)
+        .when(hint.isNotNull(), HINTED)
+        .otherwise(UNKNOWN)
     )
 
 
@@ -38,69 +56,55 @@ def with_number(df: DataFrame, raw: Column, hint: Column | None = None, prefix:
 
     ``hint`` is a country known from elsewhere: it labels bare numbers and
     makes a leading home-country prefix of a foreign record noise.
+
+    Shared parts are staged as columns, and forms are small integers: together
+    with the callers' columns the generated method stays below the size up to
+    which the JVM compiles it.
     """
-    home = F.lit(fv.HOME_COUNTRY)
     hint = F.lit(None).cast("string") if hint is None else hint
-    text = F.nullif(strip_space(raw), F.lit(""))
-    text = F.when(F.lower(text) != "nan", text)
-
+    text = strip_space(raw)
     staged = df.withColumns({"_raw": text, "_hint": hint})
-    noise_free = strip_noise(F.col("_raw"), exact_unicode)
-    staged = staged.withColumns({
-        "_code": F.upper(F.col("_raw")).isin(*fv.PLACEHOLDER_TYPES),
-        "_body": noise_free,
-    })
-    body = F.col("_body")
-    misplaced = (F.col("_hint") != home) & body.startswith(fv.HOME_COUNTRY) & (F.length(body) > 2)
+    staged = staged.withColumn("_raw", F.when(~F.col("_raw").rlike("^(?i:nan)?$"), F.col("_raw")))
+    staged = staged.withColumn("_body", strip_noise(F.col("_raw"), exact_unicode))
+
+    body, hint = F.col("_body"), F.col("_hint")
+    misplaced = (hint != _HOME) & body.startswith(_HOME) & (F.length(body) > 2)
     staged = staged.withColumn("_body", F.when(misplaced, F.substr(body, F.lit(3))).otherwise(body))
 
     rest = F.substr(body, F.lit(3))
     staged = staged.withColumns({
-        "_digits": F.regexp_replace(body, "[^0-9]", ""),
-        "_design": F.regexp_extract(body, "^(?:" + fv.HOME_COUNTRY + ")?D([0-9]+)", 1),
-        "_known": (F.length(body) > 2) & F.left(body, F.lit(2)).isin(*fv.COUNTRY_PREFIXES),
-        "_home": F.regexp_replace(F.regexp_replace(rest, fv.HOME_KIND_CODE, ""), "[^0-9]", ""),
+        "_design": F.regexp_extract(body, f"^(?:{_HOME})?D([0-9]+)", 1),
+        "_known": body.rlike("^(" + "|".join(fv.COUNTRY_PREFIXES) + ")."),
+        "_home": F.regexp_replace(rest, fv.HOME_KIND_CODE + "|[^0-9]", ""),
         "_rest": F.regexp_replace(rest, "[A-Z][0-9]?$", ""),
     })
-    form = _classify(body, F.col("_digits"), F.col("_design"), F.col("_known"), F.col("_home"),
-                     F.col("_rest"), F.col("_hint"))
-    staged = staged.withColumn(
-        "_form",
-        F.when(F.col("_raw").isNull(), "missing")
-        .when(F.col("_code"), "code")
-        .when(body == "", "noise")
-        .otherwise(form),
-    )
+    staged = staged.withColumn("_form", _form(hint))
 
     form = F.col("_form")
-    owner_country = F.coalesce(F.col("_hint"), home)
     country = (
-        F.when(form.isin("code", "reissue", "design", "publication", "utility"), home)
-        .when(form == "prefixed", F.left(body, F.lit(2)))
-        .when(form == "bare", owner_country)
-        .when(form == "hinted", F.col("_hint"))
+        F.when(form <= UTILITY, _HOME)
+        .when(form == PREFIXED, F.left(body, F.lit(2)))
+        .when(form == BARE, F.coalesce(hint, F.lit(_HOME)))
+        .when(form == HINTED, hint)
     )
-    number = (
-        F.when(form == "reissue", F.concat(F.lit(fv.HOME_COUNTRY + "RE"), F.col("_digits")))
-        .when(form == "design", F.concat(F.lit(fv.HOME_COUNTRY + "D"), F.col("_design")))
-        .when(form == "publication",
-              F.when(F.length(body) > 13, body).otherwise(F.concat(body, F.lit("A1"))))
-        .when(form == "utility", F.concat(home, F.col("_home")))
-        .when(form == "prefixed", F.concat(F.left(body, F.lit(2)), F.col("_rest")))
-        .when(form == "bare", F.concat(owner_country, body))
-        .when(form == "hinted", F.concat(F.col("_hint"), body))
-        .when(form == "unknown", body)
+    tail = (
+        F.when(form == REISSUE, F.regexp_replace(body, "[^0-9]", ""))
+        .when(form == DESIGN, F.col("_design"))
+        .when(form == PUBLICATION, F.regexp_replace(rest, "^([0-9]{11})$", "$1A1"))
+        .when(form == UTILITY, F.col("_home"))
+        .when(form == PREFIXED, F.col("_rest"))
+        .when(form.between(BARE, UNKNOWN), body)
     )
-    kind = F.when(form.isin("reissue", "design", "publication", "utility"), form)
-    for code, record_type in fv.PLACEHOLDER_TYPES.items():
-        kind = kind.when((form == "code") & (F.upper(F.col("_raw")) == code), record_type)
+    staged = staged.withColumns({"_country": country, "_tail": tail})
+    country = F.col("_country")
+    codes = F.create_map(*[F.lit(x) for item in fv.PLACEHOLDER_TYPES.items() for x in item])
     kind = (
-        kind.when(form == "bare", F.when(owner_country == home, "utility").otherwise("foreign"))
-        .when(form.isin("prefixed", "hinted"), "foreign")
-        .otherwise("unknown")
+        F.when(form == CODE, F.try_element_at(codes, F.upper(F.col("_raw"))))
+        .when((form == BARE) & (country == _HOME), "utility")
+        .otherwise(_lookup(_TYPES, form))
     )
-    values = dict(zip(NUMBER_FIELDS, (F.col("_raw"), number, country, kind,
-                                      form.isin("missing", "code", "noise"))))
+    number = F.concat(F.coalesce(country, F.lit("")), _lookup(_INFIX, form), F.col("_tail"))
+    values = dict(zip(NUMBER_FIELDS, (F.col("_raw"), number, country, kind, form.isin(MISSING, CODE, NOISE))))
     # The fields leave as a one-row generator: filters on them stay above it.
     # Pushed below, each would be rewritten in terms of the raw text, and the
     # staged columns would multiply out into a plan of millions of nodes.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from collections.abc import Iterable
 
@@ -20,10 +19,10 @@ WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 def _compatibility_pairs() -> tuple[str, str]:
     """Characters whose compatibility form (NFKD) is one ASCII character."""
     source, target = [], []
-    for code in range(0x80, sys.maxunicode + 1):
+    for code in range(0x80, 0x10000):
         char = chr(code)
         plain = unicodedata.normalize("NFKD", char)
-        if len(plain) == 1 and plain != char and plain < "\x80" and code < 0x10000:
+        if len(plain) == 1 and plain != char and plain < "\x80":
             source.append(char)
             target.append(plain)
     return "".join(source), "".join(target)
@@ -37,13 +36,18 @@ def strip_space(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
+def is_missing(trimmed: Column) -> Column:
+    """Whether a trimmed text only spells out a missing value. Just short
+    texts can, so long ones are not examined."""
+    longest = max(len(w) for w in fv.MISSING_WORDS)
+    words = "|".join(w for w in fv.MISSING_WORDS if w)
+    return (F.octet_length(trimmed) <= longest) & trimmed.rlike(f"^(?i:{words})?$")
+
+
 def clean(text: Column) -> Column:
     """Trim; texts that only spell out a missing value become null."""
     trimmed = strip_space(text.cast("string"))
-    # Only short texts can be such a word, so long ones are never lower-cased.
-    longest = max(len(w) for w in fv.MISSING_WORDS)
-    missing = (F.length(trimmed) <= longest) & F.lower(trimmed).isin(*fv.MISSING_WORDS)
-    return F.when(~missing, trimmed)
+    return F.when(~is_missing(trimmed), trimmed)
 
 
 @F.pandas_udf(StringType())
@@ -86,33 +90,29 @@ def no_strings() -> Column:
     return F.array().cast("array<string>")
 
 
-# Shape of a date text -> the formats tried for it, in order.
-DATE_SHAPES: tuple[tuple[str, tuple[str, ...]], ...] = (
-    (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", ("yyyy-M-d",)),
-    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", ("M/d/yyyy", "d/M/yyyy")),
-    (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", ("M-d-yyyy", "d-M-yyyy")),
-    (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", ("yyyy/M/d",)),
-    (r"^[0-9]{8}$", ("yyyyMMdd",)),
-    (r"^[A-Z][a-z]{2} [0-9]{1,2}, [0-9]{4}$", ("MMM d, yyyy",)),
-    (r"^[A-Z][a-z]{3,} [0-9]{1,2}, [0-9]{4}$", ("MMMM d, yyyy",)),
-    (r"^[0-9]{1,2} [A-Z][a-z]{2} [0-9]{4}$", ("d MMM yyyy",)),
-    (r"^[0-9]{1,2} [A-Z][a-z]{3,} [0-9]{4}$", ("d MMMM yyyy",)),
+# Numeric spellings of a date -> year-month-day. A time of day is dropped.
+_TIME = "([T ][0-9]{1,2}:.*)?$"
+_DATE_SPELLINGS = (
+    ("^([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4})" + _TIME, "$3-$1-$2"),
+    ("^([0-9]{4})[/-]?([0-9]{1,2})[/-]?([0-9]{1,2})" + _TIME, "$1-$2-$3"),
 )
+_NAMED_MONTH = "^[A-Z][a-z]{2,8} [0-9]{1,2}, [0-9]{4}$|^[0-9]{1,2} [A-Z][a-z]{2,8} [0-9]{4}$"
+_NAMED_FORMATS = ("MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy")
 
 
-def without_time(text: Column) -> Column:
-    """Drop a time of day behind a date."""
-    return F.regexp_replace(text, r"[T ][0-9]{1,2}:.*$", "")
+def _year_first(text: Column) -> Column:
+    for spelling, order in _DATE_SPELLINGS:
+        text = F.regexp_replace(text, spelling, order)
+    return text
 
 
-def parse_date(text: Column, shapes: Iterable[tuple[str, tuple[str, ...]]] = DATE_SHAPES) -> Column:
-    """Date of a clean text, or null. The shape picks the formats to try, so a
-    text that fits none costs no failed parse."""
-    result = F
-    for shape, formats in shapes:
-        parsed = F.coalesce(*[F.try_to_date(text, f) for f in formats])
-        result = result.when(text.rlike(shape), parsed)
-    return result
+def _parsed(text: Column) -> Column:
+    """Date of a text from :func:`_year_first`. Month before day, unless only
+    the other order is a date."""
+    named = F.when(text.rlike(_NAMED_MONTH), F.coalesce(*[F.try_to_date(text, f) for f in _NAMED_FORMATS]))
+    numeric = F.when(text.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.coalesce(
+        F.try_to_date(text, "yyyy-M-d"), F.try_to_date(text, "yyyy-d-M")))
+    return F.coalesce(numeric, named)
 
 
 def with_clean(df: DataFrame, texts: Iterable[str], dates: Iterable[str] = ()) -> DataFrame:
@@ -120,11 +120,13 @@ def with_clean(df: DataFrame, texts: Iterable[str], dates: Iterable[str] = ()) -
     A column the frame lacks becomes null."""
     have = set(df.columns)
     texts, dates = list(texts), list(dates)
-    values = {n: clean(F.col(n) if n in have else F.lit(None)) for n in texts + dates}
-    df = df.withColumns(values)
+    values = {n: F.col(n) if n in have else F.lit(None) for n in texts + dates}
+    # In two steps, so that a text is trimmed once.
+    df = df.withColumns({n: strip_space(v.cast("string")) for n, v in values.items()})
+    df = df.withColumns({n: F.when(~is_missing(F.col(n)), F.col(n)) for n in values})
     if dates:
-        df = df.withColumns({n: without_time(F.col(n)) for n in dates})
-        df = df.withColumns({n: parse_date(F.col(n)) for n in dates})
+        df = df.withColumns({n: _year_first(F.col(n)) for n in dates})
+        df = df.withColumns({n: _parsed(F.col(n)) for n in dates})
     return df
 
 

@@ -21,11 +21,14 @@ def normalize_curated(df: DataFrame, status_rules: StatusRules = fv.STATUS_RULES
                       exact_unicode: bool = False) -> DataFrame:
     """Normalise curated rows. Rows that name nothing at all are dropped;
     ``row_index`` still counts them."""
+    naming = ("country", "ip_status", "title", "number")
     dates = ("filing_date", "issue_date", "expiration_date")
-    texts = [name for name in CURATED_HEADERS.values() if name not in dates]
-    raw = with_clean(df, texts, dates).select("row_index", *CURATED_HEADERS.values())
-    raw = raw.where(F.coalesce("country", "ip_status", "title", "number").isNotNull())
+    raw = with_clean(df, naming).where(F.coalesce(*naming).isNotNull())
     numbered = with_number(raw, F.col("number"), F.col("country"), "n_", exact_unicode)
+    # The rest is cleaned behind the number rules, in a generated method of its
+    # own: one method for all would be too large for the JVM to compile.
+    rest = [name for name in CURATED_HEADERS.values() if name not in (*naming, *dates)]
+    numbered = with_clean(numbered, rest, dates)
 
     country = F.coalesce("country", "n_country")
     foreign = country != fv.HOME_COUNTRY
@@ -67,12 +70,13 @@ def normalize_bulk(df: DataFrame, status_rules: StatusRules = fv.STATUS_RULES,
                    owner_rules: OwnerRules = fv.OWNER_RULES, exact_unicode: bool = False) -> DataFrame:
     """Normalise bulk rows. Rows without a number are dropped."""
     dates = ("filing_date", "granted_date")
-    texts = [name for name in BULK_HEADERS.values() if name not in dates]
-    raw = with_clean(df, texts, dates).select("row_index", *BULK_HEADERS.values())
-    raw = raw.where(F.col("number").isNotNull())
-    numbered = with_number(raw, F.col("number"), prefix="n_", exact_unicode=exact_unicode)
+    ruled = ("number", "current_assignee", "status")
+    raw = with_clean(df, ruled).where(F.col("number").isNotNull())
+    owned = with_owner(raw, "assignee", F.col("current_assignee"), owner_rules)
+    numbered = with_number(owned, F.col("number"), prefix="n_", exact_unicode=exact_unicode)
+    rest = [name for name in BULK_HEADERS.values() if name not in (*ruled, *dates)]
+    numbered = with_clean(numbered, rest, dates)
     known = with_status(numbered, "_status", F.col("status"), F.col("n_is_placeholder"), status_rules)
-    known = with_owner(known, "assignee", F.col("current_assignee"), owner_rules)
     return known.select(
         F.col("row_index").cast("long").alias("row_index"),
         F.struct(*BULK_HEADERS.values()).alias("raw"),
