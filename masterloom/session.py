@@ -26,6 +26,9 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
     spark = (
         builder.config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", memory)
+        # Compile generated methods of any size; executors of a cluster want
+        # the same in spark.executor.extraJavaOptions.
+        .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -56,3 +59,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = os.path.join(scratch_dir(spark), "masterloom", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with fewer tasks than cores to all of them.
+
+    For inputs that cannot be split, such as one small file or one quoted CSV.
+    A scan of many splits is returned as it is, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

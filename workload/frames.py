@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from masterloom.session import spread
+
 BULK_SQL = """
 SELECT
   o_orderkey AS row_index,
@@ -140,7 +142,9 @@ LEFT JOIN part ON p_partkey = k
 def run_sql(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """Run a SELECT over the named tables of a data folder."""
     for table in tables:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        scan = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        # The first table is the source; the others are looked up.
+        (spread(scan) if table == tables[0] else scan).createOrReplaceTempView(table)
     return spark.sql(sql)
 
 
