@@ -50,8 +50,8 @@ def _cells(row, shared: list[str]) -> dict[int, str]:
     return values
 
 
-def _sheet_rows(content: bytes) -> Iterator[tuple[int, dict[int, str]]]:
-    """(row number from 0, cells) of the first sheet."""
+def _sheet_rows(content: bytes) -> Iterator[dict[int, str]]:
+    """Cells of every row of the first sheet, blank rows included."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         names = book.namelist()
         shared = []
@@ -60,9 +60,14 @@ def _sheet_rows(content: bytes) -> Iterator[tuple[int, dict[int, str]]]:
         sheets = [n for n in names if n.startswith("xl/worksheets/sheet")]
         first = min(sheets, key=lambda n: int(re.findall(r"\d+", n)[-1]))
         with book.open(first) as stream:
+            done = 0
             for _, node in ElementTree.iterparse(stream):
                 if node.tag == _NS + "row":
-                    yield int(node.get("r")) - 1, _cells(node, shared)
+                    # A sheet may leave blank rows out; they count all the same.
+                    number = int(node.get("r", done + 1))
+                    yield from ({} for _ in range(done + 1, number))
+                    yield _cells(node, shared)
+                    done = number
                     node.clear()
 
 
@@ -78,13 +83,13 @@ def _read_books(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
             rows = _sheet_rows(content)
-            _, head = next(rows)
+            head = next(rows)
             place = {text.strip(): index for index, text in head.items()}
             out = []
-            for number, cells in rows:
+            for number, cells in enumerate(rows):
                 values = [cells.get(place.get(h, -1)) for h in CURATED_HEADERS]
                 values = [_date(v) if h in DATE_HEADERS else v for h, v in zip(CURATED_HEADERS, values)]
-                out.append((*values, path, 0, number - 1))
+                out.append((*values, path, 0, number))
                 if len(out) == _BATCH:
                     yield pd.DataFrame(out, columns=columns)
                     out = []
