@@ -181,6 +181,13 @@ def siblings(master: DataFrame, ids: DataFrame, slice_rows: int = SLICE_ROWS) ->
     return found.where(F.col("id") != F.col("of_id"))
 
 
+def with_family_header(records: DataFrame, families: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Append the struct ``family``, the header of each record's family."""
+    header = families.select("family_id", F.struct(
+        "parent_id", "parent_number", "parent_title", "member_count", "countries", "orphan", "oversized").alias("family"))
+    return sliced_join(records, header, "family_id", "id", slice_rows=slice_rows)
+
+
 def family_coverage(master: DataFrame) -> DataFrame:
     """Members per family and country."""
     return master.groupBy("family_id", "country").agg(F.count("*").alias("members"))

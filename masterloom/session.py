@@ -37,19 +37,26 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
     return spark
 
 
+# Folders of local sessions that name none, by application.
+_local_folders: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster in ``spark.checkpoint.dir``.
+    """The shared folder named by the cluster in ``spark.checkpoint.dir``, or
+    set on the running context.
 
     Only a local session that names none gets a folder of its own; on a
-    cluster a machine-local folder would lose data with its executor.
+    cluster a machine-local folder would lose data with its machine.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="masterloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if not folder:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="masterloom-")
+    return _local_folders[application]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from ..operators.skew import sliced_join
 from ..session import written
 from .schemas import BULK_HEADERS, CURATED_HEADERS
 
@@ -36,14 +37,15 @@ def with_row_index(df: DataFrame) -> DataFrame:
     consecutive ids. The offsets of the runs come from one row per run, and a
     row's ordinal is its run's offset plus its place in the run.
     """
-    runs = df.groupBy("_land_file", "_land_block").agg(F.count("*").alias("n"), F.min("_land_id").alias("first"))
-    earlier = Window.partitionBy(F.lit(0)).orderBy("_land_file", "_land_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = runs.select("_land_file", "_land_block", (
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("_land_shift"))
+    marked = df.withColumn("_land_run", F.concat_ws("#", "_land_file", F.lpad(F.col("_land_block").cast("string"), 19, "0")))
+    runs = marked.groupBy("_land_run").agg(F.count("*").alias("n"), F.min("_land_id").alias("first"))
+    # In one task: one row per file, or per block of a split file.
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_land_run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.select("_land_run", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("_land_shift"))
     return (
-        df.join(starts, ["_land_file", "_land_block"])
+        sliced_join(marked, starts, "_land_run", "_land_id")
         .withColumn("row_index", F.col("_land_id") + F.col("_land_shift"))
-        .drop("_land_file", "_land_block", "_land_id", "_land_shift")
+        .drop("_land_file", "_land_block", "_land_id", "_land_shift", "_land_run")
     )
 
 

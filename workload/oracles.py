@@ -9,7 +9,7 @@ from __future__ import annotations
 from masterloom.functions import fixed_values as fv
 
 from .frames import BULK_SQL, CURATED_SQL
-from .queries import AS_OF, RUN_AT, SEARCH_QUERY
+from .queries import AS_OF, LOOKUP_NUMBER, SEARCH_QUERY
 
 
 def _quoted(values) -> str:
@@ -357,6 +357,11 @@ ORACLES: dict[str, str] = {
     "oversized_families": master(f"SELECT family_id, parent_title, member_count, {_text('countries')} AS countries FROM families WHERE oversized"),
     "siblings_of_parents": master(f"""SELECT a.id AS of_id, {', '.join('o.' + c for c in _MEMBER.split(', '))}
       FROM master AS a JOIN members AS o ON o.fno = a.fno AND o.id <> a.id WHERE a.is_parent"""),
+    "record_families": master("""SELECT m.id, m.seq, m.family_id, f.parent_id, f.member_count, f.orphan, f.oversized
+      FROM master AS m JOIN families AS f USING (fno)"""),
+    "record_lookup": master(f"SELECT id, normalized_number, country, title, family_id FROM master WHERE normalized_number = '{LOOKUP_NUMBER}'"),
+    "merge_shape": master("""SELECT count(*) FILTER (hc AND hb) AS matched, count(*) FILTER (hc AND NOT hb) AS curated_only,
+      count(*) FILTER (hb AND NOT hc) AS bulk_only FROM master"""),
     "family_coverage": master("SELECT family_id, country, count(*) AS members FROM master GROUP BY ALL"),
     "exceptions_long": master(f"""SELECT category, seq, id, normalized_number, raw_number, title, country, status, sub_tag AS status_sub_tag,
       owner AS assignee, product_line, family_id, {_text('flags')} AS flags FROM exc""", _EXCEPTIONS),

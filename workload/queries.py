@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,15 +17,18 @@ from masterloom.operators.merge import bulk_remainder, has_source
 from masterloom.operators.normalize import normalize_bulk, normalize_curated
 from masterloom.operators.search import search
 from masterloom.plans.mastering import Mastered, build_master
+from masterloom.plans.overview import merge_shape as overview_shape
 from masterloom.plans.overview import overview
 from masterloom.plans.view import view as table_view
 from masterloom.session import written
+from masterloom.sources.published import record_by_id
 
 from .frames import bulk_rows, curated_rows
 
 RUN_AT = "2026-01-01 00:00:00"
 AS_OF = "2026-01-01"
 SEARCH_QUERY = "smal wdget"
+LOOKUP_NUMBER = "EP1000074"
 
 _built: dict[tuple[str, str], Mastered] = {}
 
@@ -175,6 +179,19 @@ def siblings_of_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _member_columns(fam.siblings(m, m.where("is_parent")), "of_id")
 
 
+def record_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = mastered(spark, sf_dir)
+    rows = fam.with_family_header(built.master.select("id", "seq", "family_id"), built.families)
+    return rows.select("id", "seq", "family_id", "family.parent_id", "family.member_count", "family.orphan", "family.oversized")
+
+
+def record_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of one number, found by its id."""
+    record_id = str(uuid.uuid5(uuid.NAMESPACE_URL, fv.ID_SEED_PREFIX + LOOKUP_NUMBER))
+    rows = record_by_id(mastered(spark, sf_dir).master, record_id)
+    return rows.select("id", "normalized_number", "country", F.col("title.value").alias("title"), "family_id")
+
+
 def family_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fam.family_coverage(mastered(spark, sf_dir).master)
 
@@ -224,6 +241,11 @@ def top_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.top_countries(normalize_bulk(bulk_rows(spark, sf_dir)))
 
 
+def merge_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = stats.merge_stats(mastered(spark, sf_dir).master).select(F.struct("*").alias("merge"))
+    return overview_shape(log)
+
+
 def taxonomy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.taxonomy(mastered(spark, sf_dir).master, "product_line")
 
@@ -372,8 +394,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         entity_overlap, curated_records, bulk_records, normalize_number, normalize_status, normalize_owner, raw_payload,
         dedupe_absorb, dedupe_first, bulk_only, merge_master, merge_stats,
         families, family_members, record_family_members, member_chunks, oversized_families, siblings_of_parents,
-        family_coverage, exceptions_long, exception_summary, exception_preview, alert_count, format_duplicates,
-        curated_summary, bulk_summary, top_countries, taxonomy_lines, taxonomy_models, overview_all, overview_top_lines,
+        record_families, record_lookup, family_coverage, exceptions_long, exception_summary, exception_preview, alert_count, format_duplicates,
+        curated_summary, bulk_summary, top_countries, merge_shape, taxonomy_lines, taxonomy_models, overview_all, overview_top_lines,
         table_rows, facets, view_page, filtered_by_date_and_type, page_count, export_rows, search_matches, search_view,
         display_fields, override_apply, snapshot_diff, keep_good, freshness, expiry_bands, split_product_lines,
     )
