@@ -36,8 +36,8 @@ def refresh(spark: SparkSession, curated_rows: DataFrame, bulk_rows: DataFrame,
 
     master = written(built.master, "master")
     replace(master.drop(*BOOKKEEPING), outputs.path("master"))
-    replace(built.families.drop("family_no"), outputs.path("families"))
-    replace(family_members(master).drop("family_no"), outputs.path("family_members"))
+    replace(built.families, outputs.path("families"))
+    replace(family_members(master), outputs.path("family_members"))
     replace(exception_rows(master), outputs.path("exceptions"), partition_by="category")
     replace(oversized_families(built.families), outputs.path("oversized_families"))
     summary = written(exception_summary(master, built.families), "summary")

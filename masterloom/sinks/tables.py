@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from ..operators.view import export_rows
 
 # Columns of the master that serve the build only.
-BOOKKEEPING = ("_sources", "_curated_row_index", "_bulk_row_index", "family_no")
+BOOKKEEPING = ("_sources", "_curated_row_index", "_bulk_row_index")
 
 
 def replace(df: DataFrame, path: str, format: str = "parquet", partition_by: str | None = None) -> None:
@@ -21,6 +21,11 @@ def seed(df: DataFrame, path: str, format: str = "parquet") -> None:
     df.write.mode("ignore").format(format).save(path)
 
 
+def export_json(df: DataFrame, path: str) -> None:
+    """Write a table as JSON lines, missing values included, dates as ISO texts."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def export_csv(rows: DataFrame, path: str) -> None:
     """Write the rows, in their order, as CSV files with a header.
 

@@ -36,6 +36,11 @@ class Published:
         return self.read("taxonomy_product_lines"), self.read("taxonomy_models")
 
 
+def read_json(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """JSON lines with the columns and types of ``like``; nothing is inferred."""
+    return spark.read.schema(like.schema).json(path)
+
+
 def record_by_id(master: DataFrame, record_id: str) -> DataFrame:
     """The record with this id, or no row. The test reaches the file scan."""
     return master.where(F.col("id") == record_id)

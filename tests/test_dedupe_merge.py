@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from masterloom.functions import fixed_values as fv
 from masterloom.operators.dedupe import absorb_duplicates, first_per_key, with_key
 from masterloom.operators.merge import bulk_remainder, merge_sources
 from masterloom.operators.normalize import normalize_bulk, normalize_curated
@@ -84,7 +85,7 @@ def test_merge_fields(spark):
     assert (first.status.value, first.status.source, first.status.raw_curated, first.status.raw_bulk) == ("pending", "csv", "lapsed?", "Pending")
     assert (first.title.value, first.title.source, first.abstract.value, first.inventors.value) == ("T", "xlsx", "abs", ["x", "y"])
     assert (first.assignee.normalized, first.assignee.is_confirmed_owner, first.assignee.needs_review, first.assignee.source) == (
-        "Sloan Valve Company", True, False, "csv")
+        fv.HOUSE_OWNER, True, False, "csv")
     # Flags are those of the sources, also where the other source filled the gap.
     assert first.data_quality_flags == ["unknown_status", "missing_filing_date", "assignee_needs_review"]
     assert (first.filing_date.source, str(first.filing_date.value)) == ("csv", "2003-01-02")

@@ -8,12 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from masterloom.operators import view
+from masterloom.operators.families import with_members
 from masterloom.operators.normalize import normalize_curated
 from masterloom.plans.overview import merge_shape
 from masterloom.plans.refresh import refresh
-from masterloom.sinks.tables import BOOKKEEPING, export_csv, seed
+from masterloom.sinks.tables import BOOKKEEPING, export_csv, export_json, seed
 from masterloom.sources import landing
-from masterloom.sources.published import Published, family_by_id, record_by_id
+from masterloom.sources.published import Published, family_by_id, read_json, record_by_id
 from masterloom.sources.workbook import read_workbooks
 from workload.frames import bulk_rows, curated_rows
 
@@ -95,6 +96,15 @@ def test_refresh_keeps_ids_and_edited_taxonomy(spark, published):
     assert {r.id for r in Published(spark, again.folder).master().select("id").collect()} == before
 
 
+def test_json_round_trip(spark, published, tmp_path):
+    full = with_members(published.master(), inline_members=5)
+    export_json(full, str(tmp_path / "json"))
+    back = read_json(spark, str(tmp_path / "json"), full)
+    assert back.schema == full.schema
+    assert sorted(map(str, back.collect())) == sorted(map(str, full.collect()))
+    assert back.where("family_members IS NULL").count() == full.where("family_size > 5").count() > 0
+
+
 def test_csv_export(spark, published, tmp_path):
     rows = spark.createDataFrame(
         [(1, 'a "quoted", title', ["x", "y"], None, True), (2, "two\nlines", [], None, False)],

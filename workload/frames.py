@@ -11,9 +11,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from masterloom.session import spread
+from masterloom.functions import fixed_values as fv
+from masterloom.session import spread, written
 
-BULK_SQL = """
+BULK_SQL = f"""
 SELECT
   o_orderkey AS row_index,
   CASE
@@ -68,11 +69,11 @@ SELECT
     WHEN o_custkey % 11 = 0 THEN 'Arichell Technologies, Inc.'
     WHEN o_custkey % 11 = 1 THEN 'RECURRENT  SOLUTIONS LP'
     WHEN o_custkey % 11 = 2 THEN 'Stone And Steel Systems LLC'
-    WHEN o_custkey % 11 = 3 THEN 'Sloan Valve Co'
-    WHEN o_custkey % 11 = 4 THEN ' SOLAN VALVE Co '
-    WHEN o_custkey % 11 = 5 THEN 'Sloan Transportation Products'
+    WHEN o_custkey % 11 = 3 THEN '{fv.HOUSE_OWNER} LLC'
+    WHEN o_custkey % 11 = 4 THEN ' {fv.HOUSE_OWNER.upper()} '
+    WHEN o_custkey % 11 = 5 THEN '{fv.OWNER_RULES[4][1]}'
     WHEN o_custkey % 11 = 6 THEN 'Bauer Industries, Inc.'
-    WHEN o_custkey % 11 = 7 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'Haldex Midland Brake' ELSE 'William E. Sloan' END
+    WHEN o_custkey % 11 = 7 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'Haldex Midland Brake' ELSE 'The {fv.OWNER_RULES[5][1]} Ltd' END
     ELSE 'Holder ' || CAST(o_custkey % 23 AS STRING)
   END AS current_assignee,
   CASE
@@ -139,18 +140,25 @@ LEFT JOIN part ON p_partkey = k
 """
 
 
-def run_sql(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
-    """Run a SELECT over the named tables of a data folder."""
-    for table in tables:
-        scan = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-        # The first table is the source; the others are looked up.
-        (spread(scan) if table == tables[0] else scan).createOrReplaceTempView(table)
-    return spark.sql(sql)
+_landed: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _landing(spark: SparkSession, sf_dir: str, name: str, sql: str, *tables: str) -> DataFrame:
+    """Rows of a SELECT over the named tables, written once per application as
+    the landing table that all queries read."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _landed:
+        for table in tables:
+            scan = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+            # The first table is the source; the others are looked up.
+            (spread(scan) if table == tables[0] else scan).createOrReplaceTempView(table)
+        _landed[key] = written(spark.sql(sql), name)
+    return _landed[key]
 
 
 def bulk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_sql(spark, sf_dir, BULK_SQL, "orders", "part")
+    return _landing(spark, sf_dir, "bulk_rows", BULK_SQL, "orders", "part")
 
 
 def curated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_sql(spark, sf_dir, CURATED_SQL, "customer", "part")
+    return _landing(spark, sf_dir, "curated_rows", CURATED_SQL, "customer", "part")
