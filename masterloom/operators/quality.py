@@ -77,6 +77,16 @@ def alert_count(summary: DataFrame) -> DataFrame:
     return summary.where(F.col("category").isin(*ALERTS)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("alerts"))
 
 
+def alert_records(master: DataFrame) -> DataFrame:
+    """Records with at least one alert, each counted once."""
+    tests = record_tests()
+    alerting = F.lit(False)
+    for name in ALERTS:
+        if name in tests:
+            alerting = alerting | tests[name]
+    return master.agg(F.count_if(alerting).alias("records"))
+
+
 def exception_preview(master: DataFrame, shown: int = fv.PREVIEW_SIZE) -> DataFrame:
     """The first rows of each category in emission order, with the size of the
     category and whether rows are left out of the preview.

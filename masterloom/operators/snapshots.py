@@ -46,10 +46,15 @@ def keep_good(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str], f
         key, *[F.when(keep, F.col("_o_" + f)).otherwise(F.col("_n_" + f)).alias(f) for f in fields], stale.alias("stale"))
 
 
-def freshness(log: DataFrame, as_of: Column, stale_after: int = fv.STALE_AFTER_DAYS) -> DataFrame:
-    """Last refresh per source of a log (source, refreshed_at), and whether it is too old."""
-    return log.groupBy("source").agg(F.max("refreshed_at").alias("last_refresh")).withColumn(
-        "stale", F.datediff(as_of, F.col("last_refresh")) > stale_after)
+def freshness(log: DataFrame, as_of: Column, sources: Sequence[str] = (),
+              stale_after: int = fv.STALE_AFTER_DAYS) -> DataFrame:
+    """Last refresh per source of a log (source, refreshed_at), and whether it
+    is too old. Sources named but never refreshed are listed with nulls."""
+    last = log.groupBy("source").agg(F.max("refreshed_at").alias("last_refresh"))
+    if sources:
+        named = log.sparkSession.createDataFrame([(s,) for s in sources], "source string")
+        last = last.join(named, "source", "full_outer")
+    return last.withColumn("stale", F.datediff(as_of, F.col("last_refresh")) > stale_after)
 
 
 def expiry_band(expires: Column, as_of: Column) -> Column:

@@ -24,3 +24,7 @@ def merge_shape(refresh_log: DataFrame) -> DataFrame:
     return refresh_log.select(*[
         F.coalesce(F.col(f"merge.{name}") if name in have else F.lit(None).cast("long"), F.lit(0).cast("long")).alias(name)
         for name in ("matched", "curated_only", "bulk_only")])
+
+
+def last_refresh(refresh_log: DataFrame) -> DataFrame:
+    return refresh_log.select("last_run")

@@ -89,3 +89,11 @@ def test_snapshots(spark):
     assert diff == {(1, "removed", None, None, None), (2, "changed", "v", "b", "B"), (4, "added", None, None, None)}
     kept = {tuple(r) for r in snapshots.keep_good(old, new, "k", ["v", "w"], F.col("v") == "B").collect()}
     assert kept == {(1, "a", "x", True), (2, "b", None, True), (3, "c", "z", False), (4, "d", "q", False)}
+
+
+def test_freshness_lists_named_sources(spark):
+    log = spark.createDataFrame([("xlsx", "2026-01-01"), ("xlsx", "2026-02-01"), ("csv", "2025-12-01")], "source string, at string").select(
+        "source", F.to_timestamp("at").alias("refreshed_at"))
+    rows = snapshots.freshness(log, F.lit("2026-02-10").cast("date"), sources=("xlsx", "api")).collect()
+    assert {(r.source, str(r.last_refresh)[:10], r.stale) for r in rows} == {
+        ("xlsx", "2026-02-01", False), ("csv", "2025-12-01", True), ("api", "None", None)}

@@ -2,9 +2,10 @@
 
 Each frame is one SELECT that Spark and the checking engine both run, so the
 two sides start from the same rows. Every order is a bulk row about the entity
-``o_custkey``; every customer not divisible by three is a curated row about
-the entity ``c_custkey``. Numbers are written in several spellings, and nulls,
-blanks, placeholders, repeats and a generic title are mixed in.
+``o_custkey``. Every customer is a curated row, two thirds of them about the
+entity of that key and the others about one the orders do not know; every
+supplier repeats the curated row of its key. Numbers are written in several
+spellings, and nulls, blanks, placeholders and a generic title are mixed in.
 """
 
 from __future__ import annotations
@@ -130,11 +131,13 @@ SELECT
   END AS product_line,
   CASE WHEN k % 3 = 1 THEN 'https://example.org/doc/' || n ELSE NULL END AS link
 FROM (
-  SELECT c_custkey AS k, c_custkey AS row_index, c_mktsegment, CAST(1000000 + c_custkey * 37 AS STRING) AS n
-  FROM customer WHERE c_custkey % 3 <> 0
+  SELECT c_custkey AS k, c_custkey AS row_index, c_mktsegment,
+    CAST(CASE WHEN c_custkey % 3 = 0 THEN 5000000 ELSE 1000000 END + c_custkey * 37 AS STRING) AS n
+  FROM customer
   UNION ALL
-  SELECT c_custkey AS k, c_custkey + 100000000 AS row_index, c_mktsegment, CAST(1000000 + c_custkey * 37 AS STRING) AS n
-  FROM customer WHERE c_custkey % 25 = 4
+  SELECT s_suppkey AS k, s_suppkey + 100000000 AS row_index, 'SUPPLY' AS c_mktsegment,
+    CAST(CASE WHEN s_suppkey % 3 = 0 THEN 5000000 ELSE 1000000 END + s_suppkey * 37 AS STRING) AS n
+  FROM supplier
 ) AS c
 LEFT JOIN part ON p_partkey = k
 """
@@ -161,4 +164,4 @@ def bulk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def curated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _landing(spark, sf_dir, "curated_rows", CURATED_SQL, "customer", "part")
+    return _landing(spark, sf_dir, "curated_rows", CURATED_SQL, "customer", "supplier", "part")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from masterloom.functions import fixed_values as fv
 
 from .frames import BULK_SQL, CURATED_SQL
-from .queries import AS_OF, LOOKUP_NUMBER, SEARCH_QUERY
+from .queries import AS_OF, FRESH_AS_OF, LOOKUP_NUMBER, NEW_YEAR, OLD_YEAR, SEARCH_QUERY
 
 
 def _quoted(values) -> str:
@@ -307,13 +307,13 @@ wide AS (SELECT id, max(value) FILTER (field = 'status') AS o_status, max(value)
   max(value) FILTER (field = 'exclude') AS o_exclude, max(value) FILTER (field = 'notes') AS o_notes FROM latest GROUP BY id)"""
 
 
-def _snapshot(before: str, more: str) -> str:
+def _snapshot(first: str, end: str) -> str:
     return f"""SELECT o_custkey, o_orderstatus AS status, o_orderpriority AS priority FROM (
-  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderdate < '{before}')
-  WHERE rn = 1 {more}"""
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders
+  WHERE o_orderdate >= '{first}' AND o_orderdate < '{end}') WHERE rn = 1"""
 
 
-_SNAPSHOTS = f"""WITH o AS ({_snapshot('1996-01-01', '')}), n AS ({_snapshot('1996-07-01', 'AND o_custkey % 10 <> 0')}),
+_SNAPSHOTS = f"""WITH o AS ({_snapshot(*OLD_YEAR)}), n AS ({_snapshot(*NEW_YEAR)}),
 j AS (SELECT coalesce(o.o_custkey, n.o_custkey) AS o_custkey, o.o_custkey AS ok, n.o_custkey AS nk,
   o.status AS os, n.status AS ns, o.priority AS op, n.priority AS np FROM o FULL JOIN n ON o.o_custkey = n.o_custkey)"""
 
@@ -369,6 +369,8 @@ ORACLES: dict[str, str] = {
     "exception_preview": master(f"""SELECT category, place, total, total > {fv.PREVIEW_SIZE} AS truncated, seq, id,
       coalesce(normalized_number, raw_number, '—') AS number, {_shown('flags')} AS flags FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY seq) AS place,
       count(*) OVER (PARTITION BY category) AS total FROM exc) WHERE place <= {fv.PREVIEW_SIZE}""", _EXCEPTIONS),
+    "alert_records": master("SELECT count(DISTINCT seq) AS records FROM exc WHERE category IN ('assignee_review', 'missing_expiration', "
+                            "'unknown_status', 'foreign_orphans', 'bulk_only_non_owner')", _EXCEPTIONS),
     "alert_count": master(_ALERTS, _SUMMARY),
     "format_duplicates": bulk("""SELECT normalized_number, count(DISTINCT number) AS spellings, count(*) AS rows FROM bulk
       WHERE normalized_number IS NOT NULL GROUP BY 1 HAVING count(DISTINCT number) > 1"""),
@@ -414,8 +416,8 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT o_custkey, 'changed', 'priority', op, np FROM j WHERE ok = nk AND op IS DISTINCT FROM np""",
     "keep_good": f"""{_SNAPSHOTS} SELECT o_custkey, CASE WHEN (nk IS NULL OR ns = 'F') AND ok IS NOT NULL THEN os ELSE ns END AS status,
       CASE WHEN (nk IS NULL OR ns = 'F') AND ok IS NOT NULL THEN op ELSE np END AS priority, nk IS NULL OR ns = 'F' AS stale FROM j""",
-    "freshness": """SELECT event_type AS source, strftime(max(ts), '%Y-%m-%d') AS last_refresh,
-      date_diff('day', CAST(max(ts) AS DATE), DATE '2024-02-15') > 30 AS stale FROM events WHERE event_type <> 'purchase' OR ts < '2024-01-02' GROUP BY 1""",
+    "freshness": f"""SELECT 'source ' || user_id AS source, strftime(max(ts), '%Y-%m-%d') AS last_refresh,
+      date_diff('day', CAST(max(ts) AS DATE), DATE '{FRESH_AS_OF}') > 30 AS stale FROM events GROUP BY 1""",
     "expiry_bands": master(f"""SELECT id, CASE WHEN expiration_date < DATE '{AS_OF}' THEN 'expired'
       WHEN expiration_date <= DATE '{AS_OF}' + INTERVAL 12 MONTH THEN '12_months'
       WHEN expiration_date <= DATE '{AS_OF}' + INTERVAL 24 MONTH THEN '24_months' WHEN expiration_date IS NOT NULL THEN 'later' END AS band,

@@ -27,6 +27,9 @@ from .frames import bulk_rows, curated_rows
 
 RUN_AT = "2026-01-01 00:00:00"
 AS_OF = "2026-01-01"
+FRESH_AS_OF = "2024-02-28"
+OLD_YEAR = ("1995-01-01", "1996-01-01")
+NEW_YEAR = ("1995-07-01", "1996-07-01")
 SEARCH_QUERY = "smal wdget"
 LOOKUP_NUMBER = "EP1000074"
 
@@ -219,6 +222,10 @@ def exception_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
                        display.short_list(F.col("flags")).alias("flags"))
 
 
+def alert_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.alert_records(mastered(spark, sf_dir).master)
+
+
 def alert_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.alert_count(exception_summary(spark, sf_dir))
 
@@ -343,15 +350,16 @@ def override_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The bulk side as it was for the first half of the orders, and for all."""
+    """Latest order of each customer in the year before two dates."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
 
-    def at(before: str) -> DataFrame:
-        return orders.where(F.col("o_orderdate") < before).groupBy("o_custkey").agg(
+    def at(first: str, end: str) -> DataFrame:
+        year = orders.where((F.col("o_orderdate") >= first) & (F.col("o_orderdate") < end))
+        return year.groupBy("o_custkey").agg(
             F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("status"),
             F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("priority"))
 
-    return at("1996-01-01"), at("1996-07-01").where("o_custkey % 10 <> 0")
+    return at(*OLD_YEAR), at(*NEW_YEAR)
 
 
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -365,9 +373,11 @@ def keep_good(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type <> 'purchase' OR ts < '2024-01-02'").select(
-        F.col("event_type").alias("source"), F.col("ts").alias("refreshed_at"))
-    return snapshots.freshness(log, F.lit("2024-02-15").cast("date")).withColumn("last_refresh", F.date_format("last_refresh", "yyyy-MM-dd"))
+    """Each user's events as the refreshes of one source."""
+    log = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.concat(F.lit("source "), F.col("user_id").cast("string")).alias("source"), F.col("ts").alias("refreshed_at"))
+    return snapshots.freshness(log, F.lit(FRESH_AS_OF).cast("date")).withColumn(
+        "last_refresh", F.date_format("last_refresh", "yyyy-MM-dd"))
 
 
 def expiry_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,7 +404,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         entity_overlap, curated_records, bulk_records, normalize_number, normalize_status, normalize_owner, raw_payload,
         dedupe_absorb, dedupe_first, bulk_only, merge_master, merge_stats,
         families, family_members, record_family_members, member_chunks, oversized_families, siblings_of_parents,
-        record_families, record_lookup, family_coverage, exceptions_long, exception_summary, exception_preview, alert_count, format_duplicates,
+        record_families, record_lookup, family_coverage, exceptions_long, exception_summary, exception_preview, alert_count, alert_records, format_duplicates,
         curated_summary, bulk_summary, top_countries, merge_shape, taxonomy_lines, taxonomy_models, overview_all, overview_top_lines,
         table_rows, facets, view_page, filtered_by_date_and_type, page_count, export_rows, search_matches, search_view,
         display_fields, override_apply, snapshot_diff, keep_good, freshness, expiry_bands, split_product_lines,
