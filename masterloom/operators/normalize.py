@@ -23,12 +23,12 @@ def normalize_curated(df: DataFrame, status_rules: StatusRules = fv.STATUS_RULES
     ``row_index`` still counts them."""
     naming = ("country", "ip_status", "title", "number")
     dates = ("filing_date", "issue_date", "expiration_date")
-    raw = with_clean(df, naming).where(F.coalesce(*naming).isNotNull())
+    texts = [name for name in CURATED_HEADERS.values() if name not in dates]
+    raw = with_clean(df, texts).where(F.coalesce(*naming).isNotNull())
     numbered = with_number(raw, F.col("number"), F.col("country"), "n_", exact_unicode)
-    # The rest is cleaned behind the number rules, in a generated method of its
-    # own: one method for all would be too large for the JVM to compile.
-    rest = [name for name in CURATED_HEADERS.values() if name not in (*naming, *dates)]
-    numbered = with_clean(numbered, rest, dates)
+    # Dates follow behind the number rules, in a generated method of their own:
+    # one method for all would be too large for the JVM to compile.
+    numbered = with_clean(numbered, [], dates)
 
     country = F.coalesce("country", "n_country")
     foreign = country != fv.HOME_COUNTRY
