@@ -4,9 +4,11 @@ A term belongs to the lexicon if its inverse document frequency over the whole
 table lies in a band: neither so common that every text has it nor so rare that
 one edit changes everything. A text's fingerprint is a row of signatures: the
 first hashes all its distinct lexicon terms in sorted order (classic I-Match),
-the others hash what random subsets of the lexicon leave of them. Subsets keep a
-half, a quarter, an eighth or a sixteenth of the terms, so that the share of
-signatures two texts have in common falls gradually as they differ.
+the others hash what random subsets of the lexicon leave of them. Subsets keep from
+a half down to 1/4096 of the terms; one that leaves more than ``FEW`` terms of a
+text, which any edit would change, gives no signature. So texts of any length have
+signatures of a few terms each, and the share that two texts have in common falls
+gradually as they differ.
 
 Everything runs in the row: terms are hashed, made distinct and looked up in a
 lexicon that is a constant of the plan. The lexicon's size is proven: terms with a
@@ -32,7 +34,7 @@ from .common import own_columns
 RAREST, COMMONEST = 0.001, 0.1
 LEXICON = 1 << 18
 CELLS = 1 << 14
-SUBSETS = 32
+ROWS, HALVINGS, FEW = 6, 12, 4
 NOT_TERM = r"[^\p{L}\p{N}]+"
 
 
@@ -66,40 +68,32 @@ def lexicon(docs: DataFrame, text: str = "text", rarest: float = RAREST, commone
     return F.from_json(F.lit(gathered), "array<array<bigint>>")  # folded once, when the plan is made
 
 
-def _masked(term: Column) -> Column:
-    """The term with one bit for each subset that keeps it."""
-    h = [F.xxhash64(term, F.lit(i)) for i in range(4)]
-    some, masks = h[0], []
-    for i in range(4):
-        some = h[0] if i == 0 else some.bitwiseAND(h[i])
-        masks.append(some.bitwiseAND(F.lit(0xFF << (8 * i))))
-    mask = masks[0]
-    for m in masks[1:]:
-        mask = mask.bitwiseOR(m)
-    return F.struct(term.alias("term"), mask.alias("mask"))
-
-
 def signatures(df: DataFrame, text: str, words: Column, name: str) -> DataFrame:
-    """Append ``name``, the array of ``1 + SUBSETS`` signatures of the text
-    column; a signature is null where its subset leaves no term."""
-    found, chosen, marked = f"_{name}_t", f"_{name}_c", f"_{name}_m"
+    """Append ``name``, the array of signatures of the text column: one of all its
+    lexicon terms, then one per subset; null where a subset leaves no or many terms.
+
+    Each of ``ROWS`` rows of subsets halves the lexicon ``HALVINGS`` times, by one
+    bit of a hash of the term after the other, so every list is filtered from the
+    one before and a text of n terms costs 2n tests a row.
+    """
+    found, chosen = f"_{name}_t", f"_{name}_c"
     known = F.filter(found, lambda t: F.array_contains(F.element_at(words, _cell(t)), t))
     fallback = F.when(F.size(found) > 0, F.col(found)).otherwise(F.array(F.xxhash64(F.lit("text"), F.col(text))))
-    # One step per column: each list is made once and then read by all subsets.
-    return (
-        df.withColumn(found, terms(F.col(text)))
-        .withColumn(chosen, known)
-        .withColumn(chosen, F.when(F.size(chosen) > 0, F.col(chosen)).otherwise(fallback))
-        .withColumn(marked, F.transform(F.sort_array(chosen), _masked))
-        .withColumn(name, F.concat(F.array(F.hash(marked)), F.transform(
-            F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda s: _subset(marked, s))))
-        .drop(found, chosen, marked))
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    # One select per step: each list is made once and read by all that follows.
+    out = df.select(*kept, terms(F.col(text)).alias(found)).select(*kept, found, known.alias(chosen)).select(
+        *kept, F.sort_array(F.when(F.size(chosen) > 0, F.col(chosen)).otherwise(fallback)).alias(chosen))
+    lists = [f"_{name}_{i}" for i in range(ROWS)]
+    out = out.select(*kept, F.array(F.hash(chosen)).alias(name), *[F.col(chosen).alias(x) for x in lists])
 
+    def halved(x: str, row: int, bit: int) -> Column:
+        return F.filter(x, lambda t: F.shiftright(F.xxhash64(t, F.lit(row)), bit).bitwiseAND(F.lit(1)) == 0)
 
-def _subset(marked: str, s: Column) -> Column:
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), s)
-    left = F.filter(marked, lambda m: m["mask"].bitwiseAND(bit) != 0)
-    return F.when(F.size(left) > 0, F.hash(left))
+    for bit in range(HALVINGS):
+        out = out.select(*kept, name, *[halved(x, i, bit).alias(x) for i, x in enumerate(lists)])
+        signs = [F.when(F.size(x).between(1, FEW), F.hash(x)) for x in lists]
+        out = out.select(*kept, F.concat(name, F.array(*signs)).alias(name), *lists)
+    return out.drop(*lists)
 
 
 def written_out(signs: Column) -> Column:
@@ -129,7 +123,7 @@ def with_next(df: DataFrame, order: str, carried: list[str], buckets: int = 100)
     low = -(1 << 63)
     keyed = df.withColumn("_o", F.coalesce(F.col(order).cast("long"), F.lit(low)))
     n = buckets * buckets
-    bounds = keyed.agg(F.percentile_approx("_o", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
+    bounds = keyed.agg(F.percentile_approx("_o", [i / n for i in range(1, n)], 5 * n)).first()[0] or []
     bounds = sorted(set(bounds))
     step = max(1, int(len(bounds) ** 0.5))
     groups = [bounds[i:i + step] for i in range(0, len(bounds), step)] or [[0]]
