@@ -67,6 +67,8 @@ def _grams(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def _features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and the share of its subwords in each."""
     counts = Counter(split_words(text.lower().encode()))
+    if not counts:
+        return np.empty(0, np.int32), np.empty(0, np.float32)
     times = np.fromiter(counts.values(), float, len(counts))
     total = np.zeros(BUCKETS)
     for word, bucket in _grams(list(counts)):
