@@ -308,11 +308,12 @@ def _cross_pairs(members: DataFrame, reps: DataFrame, labels: DataFrame, least:
 
 def deduplicated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of ``docs`` of which one is kept for each group: the smallest id."""
-    found = near_documents(docs, similar).where("doc = component_id").select("doc", "key").distinct()
+    found = near_documents(docs, similar).where("doc = component_id").select(
+        F.col("doc").alias("_nd_own"), F.col("key").alias("_nd_own_key")).distinct()
     keyed = docs.withColumns({
         "_nd_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)),
         "_nd_key": F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))})
-    kept = keyed.join(found, (F.col("_nd_doc") == F.col("doc")) & (F.col("_nd_key") == F.col("key")), "left_semi")
+    kept = keyed.join(found, (F.col("_nd_doc") == F.col("_nd_own")) & (F.col("_nd_key") == F.col("_nd_own_key")), "left_semi")
     repeats = docs.groupBy("doc_id", F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).count().where("count > 1")
     if not repeats.isEmpty():
         turn = F.row_number().over(Window.partitionBy("_nd_doc", "_nd_key").orderBy("_nd_key"))

@@ -285,10 +285,10 @@ def dedup_substrings(docs: DataFrame, edge: int = EDGE, anchor: int = ANCHOR) ->
     spans = paths.repartition("anchor").sortWithinPartitions("anchor", "doc", "pos").mapInArrow(compact_paths(edge), SPANS)
     per_doc = spans.groupBy("doc", "tag").agg(F.collect_list("start").alias("_sd_starts"), F.collect_list("stop").alias("_sd_stops"))
     keyed = docs.select(
-        "*", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc"),
-        F.hash(F.col("text").cast("string")).alias("tag"), F.col("text").cast("string").alias("_sd_text"))
+        "*", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("_sd_id"),
+        F.hash(F.col("text").cast("string")).alias("_sd_mark"), F.col("text").cast("string").alias("_sd_text"))
     joined = keyed.join(per_doc.withColumnsRenamed({"doc": "_sd_doc", "tag": "_sd_tag"}),
-                        (F.col("doc") == F.col("_sd_doc")) & (F.col("tag") == F.col("_sd_tag")), "left")
+                        (F.col("_sd_id") == F.col("_sd_doc")) & (F.col("_sd_mark") == F.col("_sd_tag")), "left")
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema),
                      "n_words long", "n_removed long", "kept_text string"])
-    return joined.drop("doc", "tag", "_sd_doc", "_sd_tag").mapInArrow(_without(names), out)
+    return joined.drop("_sd_id", "_sd_mark", "_sd_doc", "_sd_tag").mapInArrow(_without(names), out)
