@@ -16,9 +16,9 @@ PLACEHOLDER_TYPES = {
 
 # Two-letter prefixes that count as a country.
 COUNTRY_PREFIXES = (
-    "AE AR AT AU BR CA CH CL CN CO DE EM EP ES FR GB HK IN IT JP KR MX MY NL "
-    "NZ PE PH RU TH TW US UY VE WO ZA"
-).split()
+    "AE", "AR", "AT", "AU", "BR", "CA", "CH", "CL", "CN", "CO", "DE", "EM", "EP", "ES", "FR", "GB", "HK", "IN",
+    "IT", "JP", "KR", "MX", "MY", "NL", "NZ", "PE", "PH", "RU", "TH", "TW", "US", "UY", "VE", "WO", "ZA",
+)
 
 HOME_COUNTRY = "US"
 
@@ -159,7 +159,6 @@ SEARCH_WEIGHTS = {
     "assignee": 1,
 }
 SEARCH_THRESHOLD = 0.35
-SEARCH_CHUNK = 32
 
 PAGE_SIZE = 50
 PREVIEW_SIZE = 100

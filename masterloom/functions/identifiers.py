@@ -51,7 +51,7 @@ def _form(hint: Column) -> Column:
 
 
 def with_number(df: DataFrame, raw: Column, hint: Column | None = None, prefix: str = "",
-                exact_unicode: bool = False) -> DataFrame:
+                exact_unicode: bool = True) -> DataFrame:
     """Append the fields of NUMBER_FIELDS, each name led by ``prefix``.
 
     ``hint`` is a country known from elsewhere: it labels bare numbers and

@@ -55,12 +55,12 @@ def _nfkd(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
 
 
-def compatibility_form(text: Column, exact: bool = False) -> Column:
+def compatibility_form(text: Column, exact: bool = True) -> Column:
     """Rewrite full-width and similar characters to their plain form.
 
-    The native form covers every character with a one-character ASCII
-    equivalent. ``exact=True`` is full NFKD; only texts with non-ASCII
-    characters reach the Arrow UDF, others are sent to it as null.
+    This is full NFKD; only texts with non-ASCII characters reach the Arrow UDF,
+    others are sent to it as null. ``exact=False`` is native and covers every
+    character with a one-character ASCII equivalent.
     """
     if not exact:
         return F.translate(text, _WIDE, _NARROW)
@@ -68,7 +68,7 @@ def compatibility_form(text: Column, exact: bool = False) -> Column:
     return F.when(foreign, _nfkd(F.when(foreign, text))).otherwise(text)
 
 
-def strip_noise(text: Column, exact: bool = False) -> Column:
+def strip_noise(text: Column, exact: bool = True) -> Column:
     """Drop whitespace and the separators ``-``, ``,``, ``/``; upper-case."""
     plain = compatibility_form(text, exact)
     return F.upper(F.regexp_replace(plain, r"(?U)[\s\x1c-\x1f\-,/]+", ""))
@@ -94,6 +94,9 @@ def no_strings() -> Column:
 _TIME = "([T ][0-9]{1,2}:.*)?$"
 _DATE_SPELLINGS = (
     ("^([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4})" + _TIME, "$3-$1-$2"),
+    # Two digits of a year: 1969 to 2068.
+    ("^([0-9]{1,2})[/-]([0-9]{1,2})[/-](69|[7-9][0-9])" + _TIME, "19$3-$1-$2"),
+    ("^([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{2})" + _TIME, "20$3-$1-$2"),
     ("^([0-9]{4})[/-]?([0-9]{1,2})[/-]?([0-9]{1,2})" + _TIME, "$1-$2-$3"),
 )
 _NAMED_MONTH = "^[A-Z][a-z]{2,8} [0-9]{1,2}, [0-9]{4}$|^[0-9]{1,2} [A-Z][a-z]{2,8} [0-9]{4}$"

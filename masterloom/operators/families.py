@@ -21,10 +21,8 @@ from .merge import has_source
 from .numbering import BLOCK_BITS, with_dense_number
 from .skew import SLICE_ROWS, sliced_join
 
-INLINE_MEMBERS = 100
 ORPHAN_FLAG = "missing_us_parent"
-MEMBERS_TYPE = (
-    "array<struct<normalized_number:string,country:string,status:string,filing_date:date,grant_date:date>>")
+MEMBER_FIELDS = ("id", "normalized_number", "country", "status", "filing_date", "grant_date")
 
 
 @dataclass
@@ -133,52 +131,54 @@ def family_members(master: DataFrame) -> DataFrame:
         F.col("filing_date.value").alias("filing_date"),
         F.col("grant_date.value").alias("grant_date"),
         "family_size",
+        "seq",
     )
 
 
-def with_members(master: DataFrame, inline_members: int = INLINE_MEMBERS) -> DataFrame:
-    """Append ``family_members``: the other members of the record's family.
+def _chunked(members: DataFrame, chunk_bits: int, *fields: str) -> DataFrame:
+    """Members of each family in member order, as lists of bounded size.
 
-    Inlining a family of n costs n rows of n - 1 members, so only families of
-    up to ``inline_members`` are inlined, each from one list per family. For a
-    larger family the column is null and the members are read from
-    :func:`family_members`, which holds them all once.
+    A chunk covers one range of ``2^chunk_bits`` emission numbers, so no list
+    outgrows that. A family within one range is a single row besides its parent's.
     """
-    small = family_members(master).where(F.col("family_size").between(2, inline_members))
-    member = F.struct("place", "id", "normalized_number", "country", "status", "filing_date", "grant_date")
-    lists = small.groupBy("family_no").agg(F.sort_array(F.collect_list(member)).alias("_all"))
-    # Records of large and of single families look for no list.
-    wanted = F.when(F.col("family_size").between(2, inline_members), F.col("family_no"))
-    others = F.filter("_all", lambda m: m["id"] != F.col("id"))
-    brief = F.transform(others, lambda m: F.struct(
-        m["normalized_number"].alias("normalized_number"), m["country"].alias("country"),
-        m["status"].alias("status"), m["filing_date"].alias("filing_date"), m["grant_date"].alias("grant_date")))
-    # A key of its own keeps records that look for nothing apart.
-    probe = F.coalesce(wanted, -F.col("seq") - 1)
-    joined = master.withColumn("_probe", probe).join(lists.withColumnRenamed("family_no", "_probe"), "_probe", "left")
-    alone = F.array().cast(MEMBERS_TYPE)
-    return joined.withColumn(
-        "family_members", F.when(F.col("family_size") == 1, alone).otherwise(brief)).drop("_probe", "_all")
+    chunk = F.when(F.col("place") < 0, F.lit(-1).cast("long")).otherwise(F.shiftright("place", chunk_bits))
+    return members.groupBy("family_no", "family_id", chunk.alias("chunk")).agg(
+        F.sort_array(F.collect_list(F.struct("place", *fields))).alias("members"))
 
 
-def member_chunks(master: DataFrame, chunk_bits: int = 13) -> DataFrame:
-    """``member_ids`` per family for export, in chunks by member order.
+def member_lists(master: DataFrame, chunk_bits: int = 13) -> DataFrame:
+    """All members of every family, once per family: (family_id, chunk, members).
 
-    A chunk covers one range of ``2^chunk_bits`` emission numbers, so no list
-    outgrows that. A family within one range is a single row.
+    This is what a record's view shows of its family, for families of any size;
+    a list per record would repeat a family of n members n times.
     """
-    members = family_members(master)
-    chunk = F.when(F.col("place") < 0, F.lit(-1).cast("long")).otherwise(F.shiftright("place", chunk_bits))
-    ordered = F.sort_array(F.collect_list(F.struct("place", "id")))
-    return members.groupBy("family_no", "family_id", chunk.alias("chunk")).agg(
-        F.transform(ordered, lambda m: m["id"]).alias("member_ids"))
+    chunks = _chunked(family_members(master), chunk_bits, *MEMBER_FIELDS)
+    brief = F.transform("members", lambda m: F.struct(*[m[f].alias(f) for f in MEMBER_FIELDS]))
+    return chunks.select("family_no", "family_id", "chunk", brief.alias("members"))
+
+
+def member_chunks(master: DataFrame, chunk_bits: int = 13) -> DataFrame:
+    """``member_ids`` per family for export, in chunks by member order."""
+    return _chunked(family_members(master), chunk_bits, "id").select(
+        "family_no", "family_id", "chunk", F.transform("members", lambda m: m["id"]).alias("member_ids"))
 
 
 def siblings(master: DataFrame, ids: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Other members of the families of the records in ``ids`` (column ``id``)."""
-    asked = master.join(ids.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("of_id"), "family_no")
+    """Other members of the families of the records in ``ids`` (column ``id``).
+
+    Meant for the records a user looks at: the result has a row per asked record
+    and other member. A record is told from the others by ``seq``, as ids made from
+    ordinals may collide across the sources.
+    """
+    asked = master.join(ids.select("id").distinct(), "id", "left_semi").select(
+        F.col("id").alias("of_id"), F.col("seq").alias("of_seq"), "family_no")
     found = sliced_join(family_members(master), asked, "family_no", "id", "inner", slice_rows)
-    return found.where(F.col("id") != F.col("of_id"))
+    return found.where(F.col("seq") != F.col("of_seq")).drop("of_seq")
+
+
+def id_collisions(master: DataFrame) -> DataFrame:
+    """Ids that several records share, with their number."""
+    return master.groupBy("id").agg(F.count("*").alias("records")).where("records > 1")
 
 
 def with_family_header(records: DataFrame, families: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:

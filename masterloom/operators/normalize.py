@@ -18,7 +18,7 @@ def flags(**tests: Column) -> Column:
 
 
 def normalize_curated(df: DataFrame, status_rules: StatusRules = fv.STATUS_RULES,
-                      exact_unicode: bool = False) -> DataFrame:
+                      exact_unicode: bool = True) -> DataFrame:
     """Normalise curated rows. Rows that name nothing at all are dropped;
     ``row_index`` still counts them."""
     naming = ("country", "ip_status", "title", "number")
@@ -67,7 +67,7 @@ def normalize_curated(df: DataFrame, status_rules: StatusRules = fv.STATUS_RULES
 
 
 def normalize_bulk(df: DataFrame, status_rules: StatusRules = fv.STATUS_RULES,
-                   owner_rules: OwnerRules = fv.OWNER_RULES, exact_unicode: bool = False) -> DataFrame:
+                   owner_rules: OwnerRules = fv.OWNER_RULES, exact_unicode: bool = True) -> DataFrame:
     """Normalise bulk rows. Rows without a number are dropped."""
     dates = ("filing_date", "granted_date")
     ruled = ("number", "current_assignee", "status")

@@ -15,6 +15,9 @@ OVERSIZED = "oversized_families"
 ALERTS = ("assignee_review", "missing_expiration", "unknown_status", "foreign_orphans",
           "bulk_only_non_owner", OVERSIZED)
 
+# Buckets that first rows of a category are picked from.
+PREVIEW_BUCKETS = 64
+
 
 def record_tests() -> dict[str, Column]:
     """Category -> test on a record of the master."""
@@ -91,12 +94,18 @@ def exception_preview(master: DataFrame, shown: int = fv.PREVIEW_SIZE) -> DataFr
     """The first rows of each category in emission order, with the size of the
     category and whether rows are left out of the preview.
 
-    Each map task keeps ``shown`` rows per category before the shuffle
-    (WindowGroupLimit); the totals come from a second, shuffle-light aggregate.
+    Each map task keeps ``shown`` rows per category and bucket before the first
+    shuffle (WindowGroupLimit), and a bucket leaves as many, so the last step sees
+    ``shown`` rows per bucket however many tasks there are; the totals come from a
+    second, shuffle-light aggregate.
     """
-    rows = exception_rows(master)
-    order = Window.partitionBy("category").orderBy("seq")
-    first = rows.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= shown)
+    rows = exception_rows(master).withColumn("_bucket", F.pmod(F.xxhash64("seq"), F.lit(PREVIEW_BUCKETS)))
+
+    def limited(df: DataFrame, name: str, *keys: str) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy("seq")
+        return df.withColumn(name, F.row_number().over(order).cast("long")).where(F.col(name) <= shown)
+
+    first = limited(limited(rows, "_place", "category", "_bucket").drop("_place", "_bucket"), "place", "category")
     totals = master.agg(*[F.count_if(test).alias(name) for name, test in record_tests().items()])
     totals = totals.unpivot([], totals.columns, "category", "total")
     # One row per category: eleven.

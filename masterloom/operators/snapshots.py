@@ -68,4 +68,5 @@ def expiry_band(expires: Column, as_of: Column) -> Column:
 
 
 def remaining_days(expires: Column, as_of: Column) -> Column:
-    return F.greatest(F.datediff(expires, as_of), F.lit(0))
+    """Days left, 0 once expired; null if the date is unknown."""
+    return F.when(expires.isNotNull(), F.greatest(F.datediff(expires, as_of), F.lit(0)))

@@ -68,10 +68,25 @@ def sorted_rows(rows: DataFrame, sort_key: str = "filing_date", descending: bool
 
 
 def page(rows: DataFrame, number: int = 0, size: int = fv.PAGE_SIZE) -> DataFrame:
-    """Page ``number`` (from 0) of sorted rows: a distributed top-k."""
+    """Page ``number`` (from 0) of sorted rows: a distributed top-k.
+
+    Every task keeps the rows of all pages up to this one, so this suits the
+    first pages; :func:`page_after` costs one page however deep.
+    """
     return rows.offset(number * size).limit(size)
 
 
+def page_after(rows: DataFrame, value: str | None, seq: int | None, sort_key: str = "filing_date",
+               descending: bool = True, size: int = fv.PAGE_SIZE) -> DataFrame:
+    """The page after a row, given its sort value (as text, empty if missing) and
+    ``seq``; the first page without them. Rows are ordered as by :func:`sorted_rows`."""
+    if seq is not None:
+        own, last = F.coalesce(F.col(sort_key).cast("string"), F.lit("")), F.lit(value or "")
+        beyond = own < last if descending else own > last
+        rows = rows.where(beyond | ((own == last) & (F.col("seq") > seq)))
+    return sorted_rows(rows, sort_key, descending).limit(size)
+
+
 def page_count(rows: DataFrame, size: int = fv.PAGE_SIZE) -> DataFrame:
     n = F.count("*")
     return rows.agg(n.alias("rows"), F.greatest(F.lit(1).cast("long"), F.ceil(n / size)).alias("pages"))

@@ -27,7 +27,7 @@ class Mastered:
 
 def build_master(curated_rows: DataFrame, bulk_rows: DataFrame, run_at: Column,
                  status_rules: StatusRules = fv.STATUS_RULES, owner_rules: OwnerRules = fv.OWNER_RULES,
-                 house_owner: str = fv.HOUSE_OWNER, exact_unicode: bool = False) -> Mastered:
+                 house_owner: str = fv.HOUSE_OWNER, exact_unicode: bool = True) -> Mastered:
     """Run the build.
 
     The wide columns are read and shuffled once, into the merged table, which

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import rule_snapshot
-from ..operators.families import family_members
+from ..operators.families import family_members, member_lists
 from ..operators.overrides import OVERRIDE_SCHEMA
 from ..operators.quality import exception_rows, exception_summary, oversized_families
 from ..operators.stats import bulk_summary, curated_summary, merge_stats, taxonomy, top_countries
@@ -37,7 +37,8 @@ def refresh(spark: SparkSession, curated_rows: DataFrame, bulk_rows: DataFrame,
     master = written(built.master, "master")
     replace(master.drop(*BOOKKEEPING), outputs.path("master"))
     replace(built.families, outputs.path("families"))
-    replace(family_members(master), outputs.path("family_members"))
+    replace(family_members(master).drop("seq"), outputs.path("family_members"))
+    replace(member_lists(master), outputs.path("member_lists"))
     replace(exception_rows(master), outputs.path("exceptions"), partition_by="category")
     replace(oversized_families(built.families), outputs.path("oversized_families"))
     summary = written(exception_summary(master, built.families), "summary")

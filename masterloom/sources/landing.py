@@ -18,6 +18,10 @@ from ..session import written
 from .schemas import BULK_HEADERS, CURATED_HEADERS
 
 
+# Runs of rows whose offsets are broadcast: some 10 MB.
+BROADCAST_RUNS = 100_000
+
+
 def trimmed_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[name.strip() for name in df.columns])
 
@@ -41,9 +45,14 @@ def with_row_index(df: DataFrame) -> DataFrame:
     runs = marked.groupBy("_land_run").agg(F.count("*").alias("n"), F.min("_land_id").alias("first"))
     # In one task: one row per file, or per block of a split file.
     earlier = Window.partitionBy(F.lit(0)).orderBy("_land_run").rowsBetween(Window.unboundedPreceding, -1)
-    starts = runs.select("_land_run", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("_land_shift"))
+    starts = written(runs.select(
+        "_land_run", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("_land_shift")), "landing-runs")
+    # One row per file or block: few enough to go to every task, the texts then
+    # stay where they are; else the rows are joined by run.
+    small = starts.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS
     return (
-        sliced_join(marked, starts, "_land_run", "_land_id")
+        (marked.join(F.broadcast(starts), "_land_run", "left") if small
+         else sliced_join(marked, starts, "_land_run", "_land_id"))
         .withColumn("row_index", F.col("_land_id") + F.col("_land_shift"))
         .drop("_land_file", "_land_block", "_land_id", "_land_shift", "_land_run")
     )

@@ -17,11 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as fv
 from ..session import written
 from .landing import with_row_index
 from .schemas import CURATED_HEADERS, DATE_HEADERS
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _BATCH = 5_000
 
 
@@ -50,6 +52,20 @@ def _cells(row, shared: list[str]) -> dict[int, str]:
     return values
 
 
+def _first_sheet(book: zipfile.ZipFile, names: list[str]) -> str:
+    """File of the first tab: the workbook lists tabs, its relations their files.
+    A book without that list has its sheets in the order of their numbers."""
+    if "xl/workbook.xml" in names and "xl/_rels/workbook.xml.rels" in names:
+        tab = ElementTree.fromstring(book.read("xl/workbook.xml")).find(f"{_NS}sheets/{_NS}sheet")
+        wanted = None if tab is None else tab.get(_REL + "id")
+        for link in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")):
+            if link.get("Id") == wanted:
+                target = link.get("Target")
+                return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+    sheets = [n for n in names if n.startswith("xl/worksheets/sheet")]
+    return min(sheets, key=lambda n: int(re.findall(r"\d+", n)[-1]))
+
+
 def _sheet_rows(content: bytes) -> Iterator[dict[int, str]]:
     """Cells of every row of the first sheet, blank rows included."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
@@ -57,9 +73,7 @@ def _sheet_rows(content: bytes) -> Iterator[dict[int, str]]:
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = [_text(s) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(_NS + "si")]
-        sheets = [n for n in names if n.startswith("xl/worksheets/sheet")]
-        first = min(sheets, key=lambda n: int(re.findall(r"\d+", n)[-1]))
-        with book.open(first) as stream:
+        with book.open(_first_sheet(book, names)) as stream:
             done = 0
             for _, node in ElementTree.iterparse(stream):
                 if node.tag == _NS + "row":
@@ -83,11 +97,12 @@ def _read_books(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
             rows = _sheet_rows(content)
-            head = next(rows)
+            head = next(rows, {})  # an empty sheet has no rows to give
             place = {text.strip(): index for index, text in head.items()}
             out = []
             for number, cells in enumerate(rows):
                 values = [cells.get(place.get(h, -1)) for h in CURATED_HEADERS]
+                values = [None if v in fv.MISSING_TOKENS else v for v in values]
                 values = [_date(v) if h in DATE_HEADERS else v for h, v in zip(CURATED_HEADERS, values)]
                 out.append((*values, path, 0, number))
                 if len(out) == _BATCH:

@@ -107,16 +107,12 @@ def test_members(spark):
     by_family = {}
     for r in sorted(rows, key=lambda r: (not r.is_parent, r.seq)):
         by_family.setdefault(r.family_no, []).append(r)
-    inlined = {r.id: r.family_members for r in fam.with_members(m, inline_members=5).select("id", "family_members").collect()}
-    sizes = set()
-    for members in by_family.values():
-        sizes.add(len(members))
-        for r in members:
-            others = [(o.normalized_number, o.country, o.status.value) for o in members if o.id != r.id]
-            if len(members) > 5:
-                assert inlined[r.id] is None
-            else:
-                assert [tuple(x)[:3] for x in inlined[r.id]] == others
+    lists = {}
+    for r in sorted(fam.member_lists(m, chunk_bits=3).collect(), key=lambda r: (r.family_no, r.chunk)):
+        assert len(r.members) <= 8
+        lists.setdefault(r.family_no, []).extend((x.id, x.normalized_number, x.country, x.status) for x in r.members)
+    assert lists == {no: [(o.id, o.normalized_number, o.country, o.status.value) for o in members] for no, members in by_family.items()}
+    sizes = {len(members) for members in by_family.values()}
     assert max(sizes) > 5 and 1 in sizes
     chunks = {}
     for r in sorted(fam.member_chunks(m, chunk_bits=5).collect(), key=lambda r: (r.family_no, r.chunk)):
@@ -125,3 +121,13 @@ def test_members(spark):
     one = next(r for r in rows if r.family_size > 5)
     asked = spark.createDataFrame([(one.id,)], "id string")
     assert {r.id for r in fam.siblings(m, asked, slice_rows=3).collect()} == {r.id for r in by_family[one.family_no]} - {one.id}
+
+
+def test_records_that_share_an_id(spark):
+    rows = [(1, 7, "x", True), (2, 7, "x", False), (3, 7, "y", False)]
+    df = spark.createDataFrame(rows, "seq long, family_no long, id string, is_parent boolean").selectExpr(
+        "*", "'F' AS family_id", "'n' AS normalized_number", "'US' AS country", "named_struct('value', 'active') AS status",
+        "named_struct('value', DATE '2000-01-01') AS filing_date", "named_struct('value', DATE '2000-01-01') AS grant_date", "3L AS family_size")
+    found = fam.siblings(df, df.where("id = 'x'")).select("of_id", "seq").collect()
+    assert sorted(tuple(r) for r in found) == [("x", 1), ("x", 2), ("x", 3), ("x", 3)]
+    assert [tuple(r) for r in fam.id_collisions(df).collect()] == [("x", 2)]

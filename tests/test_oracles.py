@@ -26,7 +26,7 @@ def ordered(names, rows):
     return sorted((tuple(r[i] for i in order) for r in rows), key=lambda r: [(v is None, str(v)) for v in r])
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, db, name):
     df = QUERIES[name](spark, SF)
     got = ordered(df.columns, [tuple(r) for r in df.collect()])
@@ -36,5 +36,12 @@ def test_query_equals_sql(spark, db, name):
     assert got == ordered(names, cursor.fetchall())
 
 
+def test_workload_is_checked_whole():
+    from workload.oracles import ORACLES as own_sql
+    from workload.queries import QUERIES as own
+
+    assert set(own) == set(own_sql) and set(own) <= set(QUERIES)
+
+
 def test_entry(spark):
     assert entry_file.entry(spark).count() == 3

@@ -128,7 +128,7 @@ def test_number_with_hint(spark, exact):
 
 
 def test_exact_unicode_decomposes(spark):
-    df = with_number(frame(spark, [("№ 12",), ("12",)], "raw string"), F.col("raw"), prefix="n_", exact_unicode=True)
+    df = with_number(frame(spark, [("№ 12",), ("12",)], "raw string"), F.col("raw"), prefix="n_")
     assert [r.n_normalized_number for r in df.orderBy("i").collect()] == ["NO12", "US12"]
 
 

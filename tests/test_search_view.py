@@ -42,11 +42,13 @@ def test_pieces_are_a_necessary_condition():
         assert "".join(parts) == chunk and len(parts) == edits + 1
 
 
-def test_chunks():
-    assert s.chunks("a" * 32) == ["a" * 32]
-    long = "".join(chr(97 + i % 26) for i in range(70))
-    assert s.chunks(long) == [long[:32], long[32:64], long[38:]]
-    assert s.chunks(long[:64]) == [long[:32], long[32:64]]
+def test_fewest_errors_at_any_length():
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcé ") for _ in range(n))
+    texts = [text(rng.randrange(0, 90)) for _ in range(60)] + ["", "a" * 500]
+    for n in (1, 5, 31, 32, 33, 34, 70):
+        query = text(n)
+        assert s.fewest_errors(texts, query).tolist() == [substring_errors(query, t) for t in texts]
 
 
 def test_search_is_exact(spark):
@@ -54,11 +56,11 @@ def test_search_is_exact(spark):
     df = spark.createDataFrame(data, ROW)
     queries = ["valve", "flsh valv", "automtic sensr", "US12", "ann le", "x", "zz", "hand dryer water faucet automatic sensor", "VLAVE  "]
     for query in queries:
-        wanted = [(c, math.floor(fv.SEARCH_THRESHOLD * len(c))) for c in s.chunks(query.lower())]
+        wanted, edits = query.lower(), math.floor(fv.SEARCH_THRESHOLD * len(query))
 
         def hits(r):
             fields = [r[1], r[2], r[3], *(r[4] or []), r[5], r[6], r[7]]
-            return any(f is not None and substring_errors(c, f.lower()) <= k for f in fields for c, k in wanted)
+            return any(f is not None and substring_errors(wanted, f.lower()) <= edits for f in fields)
 
         assert {r.seq for r in s.search(df, query).select("seq").collect()} == {r[0] for r in data if hits(r)}, query
         ranked = s.search(df, query, ranked=True).collect()
@@ -82,3 +84,14 @@ def test_facets_sorting_paging(spark):
     assert view.filtered(df, product_lines=("Faucet",)).where("product_line IS NULL").count() == 0
     plan = view.page(down, 2)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_keyset_pages_are_the_pages(spark):
+    df = spark.createDataFrame(rows(130), ROW)
+    for key, down in (("country", True), ("title", False)):
+        ordered = view.sorted_rows(df, key, down)
+        value, seq, seen = None, None, []
+        while page := view.page_after(df, value, seq, key, down).collect():
+            seen += [r.seq for r in page]
+            value, seq = page[-1][key], page[-1].seq
+        assert seen == [r.seq for r in ordered.collect()]

@@ -17,11 +17,11 @@ def test_clean(spark):
 
 def test_dates(spark):
     inputs = ["2001-02-03", "2/3/2001", "25/12/2001", "2001-02-03 00:00:00", "2001/2/3", "20010203", "Feb 3, 2001",
-              "February 3, 2001", "3 Feb 2001", "soon", "13/13/2001", "2001-02-30", None, "5", "May 3, 2001"]
+              "February 3, 2001", "3 Feb 2001", "soon", "13/13/2001", "2001-02-30", None, "5", "May 3, 2001", "2/3/01", "2/3/99"]
     d = date(2001, 2, 3)
     df = spark.createDataFrame([(i, v) for i, v in enumerate(inputs)], "i int, d string")
     got = [r.d for r in text.with_clean(df, [], ["d"]).orderBy("i").collect()]
-    assert got == [d, d, date(2001, 12, 25), d, d, d, d, d, d, None, None, None, None, None, date(2001, 5, 3)]
+    assert got == [d, d, date(2001, 12, 25), d, d, d, d, d, d, None, None, None, None, None, date(2001, 5, 3), d, date(1999, 2, 3)]
 
 
 def test_typed_dates_pass(spark):

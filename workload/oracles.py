@@ -9,7 +9,7 @@ from __future__ import annotations
 from masterloom.functions import fixed_values as fv
 
 from .frames import BULK_SQL, CURATED_SQL
-from .queries import AS_OF, FRESH_AS_OF, LOOKUP_NUMBER, NEW_YEAR, OLD_YEAR, SEARCH_QUERY
+from .queries import AS_OF, FRESH_AS_OF, LONG_QUERY, LOOKUP_NUMBER, OVERRIDE_STEP, SEARCH_QUERY
 
 
 def _quoted(values) -> str:
@@ -43,7 +43,7 @@ def _numbered(name: str, source: str, hint: str) -> str:
     return f"""
 {name}_0 AS (SELECT *, {hint} AS h, upper(regexp_replace(number, '[\\s\\-,/]+', '', 'g')) AS c0 FROM {source}),
 {name}_1 AS (SELECT *, CASE WHEN h <> 'US' AND starts_with(c0, 'US') AND c0 <> 'US' THEN substr(c0, 3) ELSE c0 END AS c FROM {name}_0),
-{name} AS (SELECT *, CASE
+{name} AS MATERIALIZED (SELECT *, CASE
   WHEN number IS NULL THEN {result("NULL::VARCHAR", "NULL::VARCHAR", "'unknown'", True)}
   {codes}
   WHEN c = '' THEN {result("NULL::VARCHAR", "NULL::VARCHAR", "'unknown'", True)}
@@ -78,7 +78,7 @@ _NON_OWNER = " OR ".join(f"contains(lower(owner_raw), {_sql(n)})" for n in fv.KN
 
 _BULK = f"""
 status_rules AS ({_STATUS}),
-bulk_raw AS ({BULK_SQL}),
+bulk_raw AS MATERIALIZED ({BULK_SQL}),
 bulk_c AS (SELECT row_index, {_clean('number')} AS number, {_clean('title')} AS title, {_clean('abstract')} AS abstract,
   {_clean('main_text')} AS main_text, {_clean('claims')} AS claims_text, {_date('filing_date')} AS filing_date,
   {_date('granted_date')} AS grant_date, {_clean('status')} AS status_raw, {_clean('current_assignee')} AS owner_raw,
@@ -89,7 +89,7 @@ bulk_s AS (SELECT b.*, CASE WHEN p.ph THEN 'pending' ELSE coalesce(s_value, 'unk
   CASE WHEN p.ph THEN 'pre_publication' ELSE s_tag END AS sub_tag,
   {_owner('owner_raw', 0)} AS owner, coalesce({_owner('owner_raw', 1)}, false) AS confirmed
   FROM bulk_n AS b LEFT JOIN status_rules ON s_key = lower(status_raw)),
-bulk AS (SELECT *, p.num AS normalized_number, p.country AS country, p.kind AS patent_type, p.ph AS is_placeholder,
+bulk AS MATERIALIZED (SELECT *, p.num AS normalized_number, p.country AS country, p.kind AS patent_type, p.ph AS is_placeholder,
   NOT confirmed AS review,
   coalesce(list_filter(list_transform(string_split(inventors_raw, ','), lambda x: trim(x)), lambda x: x <> ''), []) AS inventors,
   {_flags(('unparseable_number', 'p.num IS NULL'), ('assignee_needs_review', 'NOT confirmed'), ('unknown_status', "status = 'unknown'"))} AS flags
@@ -97,7 +97,7 @@ bulk AS (SELECT *, p.num AS normalized_number, p.country AS country, p.kind AS p
 
 _CURATED = f"""
 status_rules AS ({_STATUS}),
-curated_raw AS ({CURATED_SQL}),
+curated_raw AS MATERIALIZED ({CURATED_SQL}),
 curated_c AS (SELECT row_index, {_clean('ip_status')} AS status_raw, {_clean('country')} AS country_raw, {_clean('title')} AS title,
   {_date('filing_date')} AS filing_date, {_clean('number')} AS number, {_date('issue_date')} AS grant_date,
   {_date('expiration_date')} AS expiration_date, {_clean('model')} AS model, {_clean('product_line')} AS product_line,
@@ -109,7 +109,7 @@ curated_s AS (SELECT c.* EXCLUDE (c0, c, h), coalesce(country_raw, p.country) AS
   FROM curated_n AS c LEFT JOIN status_rules ON s_key = lower(status_raw)
   WHERE country_raw IS NOT NULL OR status_raw IS NOT NULL OR title IS NOT NULL OR number IS NOT NULL),
 curated_k AS (SELECT *, country <> 'US' AND number IS NOT NULL AND p.num IS NULL AS made FROM curated_s),
-curated AS (SELECT *, CASE WHEN country = 'US' THEN 'us' ELSE 'foreign' END AS section,
+curated AS MATERIALIZED (SELECT *, CASE WHEN country = 'US' THEN 'us' ELSE 'foreign' END AS section,
   CASE WHEN made THEN country || regexp_replace(upper(number), '[^A-Z0-9]', '', 'g') ELSE p.num END AS normalized_number,
   CASE WHEN made THEN 'foreign' ELSE p.kind END AS patent_type, p.ph AS is_placeholder,
   {_flags(('placeholder_number', 'p.ph'), ('unknown_status', "status = 'unknown'"), ('missing_filing_date', 'filing_date IS NULL'),
@@ -129,7 +129,7 @@ bulk_g AS (SELECT k, min(row_index) AS row_index,
   arg_min(filing_date, row_index) FILTER (filing_date IS NOT NULL) AS filing_date,
   arg_min(grant_date, row_index) FILTER (grant_date IS NOT NULL) AS grant_date,
   flatten(list(inventors ORDER BY row_index)) AS names FROM bulk_k GROUP BY k),
-folded AS (SELECT k, row_index, f.raw AS raw_number, f.num AS normalized_number, f.country AS country, f.kind AS patent_type,
+folded AS MATERIALIZED (SELECT k, row_index, f.raw AS raw_number, f.num AS normalized_number, f.country AS country, f.kind AS patent_type,
   f.ph AS is_placeholder, CASE WHEN s IS NULL THEN f.st ELSE s.st END AS status, CASE WHEN s IS NULL THEN f.tag ELSE s.tag END AS sub_tag,
   CASE WHEN s IS NULL THEN f.sraw ELSE s.sraw END AS status_raw, CASE WHEN o IS NULL THEN f.oraw ELSE o.oraw END AS owner_raw,
   CASE WHEN o IS NULL THEN f.own ELSE o.own END AS owner, CASE WHEN o IS NULL THEN f.conf ELSE o.conf END AS confirmed,
@@ -157,7 +157,7 @@ both_sides AS (SELECT c.row_index AS ci, b.row_index AS bi, c.row_index IS NOT N
 hashed AS (SELECT *, coalesce(ci, bi) AS ri,
   sha1(unhex('{fv.ID_NAMESPACE.replace("-", "")}') || encode('{fv.ID_SEED_PREFIX}' || coalesce(normalized_number,
     coalesce(country, 'NA') || '-' || coalesce(raw_number, 'NO_NUMBER') || '-' || coalesce(ci, bi)))) AS hx FROM both_sides),
-merged AS (SELECT *, {_UUID} AS id,
+merged AS MATERIALIZED (SELECT *, {_UUID} AS id,
   CAST(CASE WHEN hc AND normalized_number IS NOT NULL THEN 0 WHEN hc THEN 1 WHEN normalized_number IS NOT NULL THEN 2 ELSE 3 END AS BIGINT)
     * 1152921504606846976 + ri AS seq,
   coalesce(ct, bt) AS title, CASE WHEN ct IS NULL THEN 'csv' ELSE 'xlsx' END AS title_source,
@@ -170,7 +170,7 @@ merged AS (SELECT *, {_UUID} AS id,
   hc OR coalesce(bconf, false) AS confirmed, NOT hc AND NOT coalesce(bconf, true) AS review,
   CASE WHEN hb THEN 'csv' ELSE 'xlsx' END AS owner_source,
   list_concat(cfl, list_filter(bfl, lambda x: NOT list_contains(cfl, x))) AS mflags FROM hashed),
-titled AS (SELECT *, nullif(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), '') AS tkey,
+titled AS MATERIALIZED (SELECT *, nullif(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), '') AS tkey,
   country IS NULL OR country = 'US' AS home FROM merged),
 founders AS (SELECT seq, tkey, row_number() OVER (ORDER BY seq) AS fno FROM titled WHERE home),
 claims AS (SELECT tkey AS claim, min(fno) AS fno FROM founders WHERE tkey IS NOT NULL GROUP BY tkey),
@@ -180,14 +180,14 @@ placed AS (
   UNION ALL SELECT seq, fno, false, false FROM linked WHERE fno IS NOT NULL
   UNION ALL SELECT seq, (SELECT count(*) FROM founders) + row_number() OVER (ORDER BY seq), true, true FROM linked WHERE fno IS NULL),
 sized AS (SELECT *, count(*) OVER (PARTITION BY fno) AS family_size FROM placed),
-master AS (SELECT t.*, p.fno, p.is_parent, p.is_orphan, p.family_size, 'FAM-' || CASE WHEN p.fno < 100000 THEN lpad(p.fno::VARCHAR, 5, '0') ELSE p.fno::VARCHAR END AS family_id,
+master AS MATERIALIZED (SELECT t.*, p.fno, p.is_parent, p.is_orphan, p.family_size, 'FAM-' || CASE WHEN p.fno < 100000 THEN lpad(p.fno::VARCHAR, 5, '0') ELSE p.fno::VARCHAR END AS family_id,
   CASE WHEN p.is_orphan THEN list_append(mflags, 'missing_us_parent') ELSE mflags END AS flags FROM titled AS t JOIN sized AS p USING (seq)),
 fam AS (SELECT fno, max(family_id) AS family_id, max(id) FILTER (is_parent) AS parent_id, max(normalized_number) FILTER (is_parent) AS parent_number,
   max(title) FILTER (is_parent) AS parent_title, count(*) AS member_count,
   list(country ORDER BY NOT is_parent, seq) FILTER (country IS NOT NULL) AS cs, bool_or(is_orphan) AS orphan FROM master GROUP BY fno),
 families AS (SELECT * EXCLUDE (cs), coalesce(list_filter(cs, lambda x, i: list_position(cs, x) = i), []) AS countries, member_count > {fv.OVERSIZED_ABOVE} AS oversized FROM fam),
 members AS (SELECT fno, family_id, CASE WHEN is_parent THEN -1 ELSE seq END AS place, id, normalized_number, country, status,
-  CAST(filing_date AS VARCHAR) AS filing_date, CAST(grant_date AS VARCHAR) AS grant_date, family_size FROM master)"""
+  CAST(filing_date AS VARCHAR) AS filing_date, CAST(grant_date AS VARCHAR) AS grant_date, family_size, seq FROM master)"""
 
 _TESTS = {
     "assignee_review": "review",
@@ -252,8 +252,9 @@ def _errors(field: str, query: str) -> str:
     """Fewest edits between the query and any substring near its length."""
     n = len(query)
     k = int(n * fv.SEARCH_THRESHOLD)
-    return (f"list_min(flatten(list_transform(range({max(n - k, 1)}, {n + k + 1}), lambda w: list_transform("
-            f"range(1, greatest(length({field}), 1) + 1), lambda i: levenshtein(substr(lower({field}), i, w), '{query}')))))")
+    # A field shorter than n - k is further away than k whatever it holds.
+    return (f"CASE WHEN length({field}) >= {n - k} THEN list_min(flatten(list_transform(range({max(n - k, 1)}, {n + k + 1}), lambda w: list_transform("
+            f"range(1, greatest(length({field}), 1) + 1), lambda i: levenshtein(substr(lower({field}), i, w), '{query}'))))) END")
 
 
 def _search(query: str) -> tuple[str, str]:
@@ -273,6 +274,7 @@ def _search(query: str) -> tuple[str, str]:
 
 
 _HITS = _search(SEARCH_QUERY)[0]
+_LONG_HITS = _search(LONG_QUERY)[0]
 
 _EXPORT = ", ".join(
     f"coalesce({value}, '') AS {column}" for value, column in zip(
@@ -297,25 +299,33 @@ UNION ALL SELECT 'bulk_only', '', count(*) FILTER (hb AND NOT hc), 0 FROM master
 _ALERTS = ("SELECT CAST(sum(n) AS BIGINT) AS alerts FROM summary WHERE category IN ('assignee_review', 'missing_expiration', "
            "'unknown_status', 'foreign_orphans', 'bulk_only_non_owner', 'oversized_families')")
 
-_LOG = """ov AS (SELECT m.id, e.event_id, e.ts,
+_LOG = f"""numbered AS (SELECT id, row_number() OVER (ORDER BY seq) AS no FROM master),
+ov AS (SELECT m.id, e.event_id, e.ts,
     ['status', 'product_line', 'technology_cluster', 'assignee_confirmed', 'exclude', 'notes'][event_id % 6 + 1] AS field,
     CASE WHEN event_id % 6 IN (3, 4) THEN CASE WHEN event_id % 4 < 2 THEN 'true' ELSE 'false' END ELSE event_type || ' ' || user_id END AS value
-  FROM events AS e JOIN master AS m ON e.user_id = m.seq),
+  FROM events AS e JOIN numbered AS m ON (e.event_id * {OVERRIDE_STEP}) % (SELECT count(*) FROM master) + 1 = m.no),
 latest AS (SELECT id, field, value FROM (SELECT *, row_number() OVER (PARTITION BY id, field ORDER BY ts DESC, event_id DESC) AS rn FROM ov) WHERE rn = 1),
 wide AS (SELECT id, max(value) FILTER (field = 'status') AS o_status, max(value) FILTER (field = 'product_line') AS o_line,
   max(value) FILTER (field = 'technology_cluster') AS o_cluster, max(value) FILTER (field = 'assignee_confirmed') AS o_conf,
   max(value) FILTER (field = 'exclude') AS o_exclude, max(value) FILTER (field = 'notes') AS o_notes FROM latest GROUP BY id)"""
 
 
-def _snapshot(first: str, end: str) -> str:
-    return f"""SELECT o_custkey, o_orderstatus AS status, o_orderpriority AS priority FROM (
-  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders
-  WHERE o_orderdate >= '{first}' AND o_orderdate < '{end}') WHERE rn = 1"""
+_SNAPSHOTS = """corrected AS (SELECT m.seq, coalesce(o_status, status) AS status, coalesce(o_line, product_line) AS product_line,
+    coalesce(o_notes, '') AS notes FROM master AS m LEFT JOIN wide AS w ON w.id = m.id WHERE coalesce(o_exclude, 'false') <> 'true'),
+j AS (SELECT m.seq, c.seq AS nk, m.status AS os, c.status AS ns, m.product_line AS ol, c.product_line AS nl, '' AS oo, c.notes AS no
+  FROM master AS m LEFT JOIN corrected AS c ON c.seq = m.seq)"""
 
 
-_SNAPSHOTS = f"""WITH o AS ({_snapshot(*OLD_YEAR)}), n AS ({_snapshot(*NEW_YEAR)}),
-j AS (SELECT coalesce(o.o_custkey, n.o_custkey) AS o_custkey, o.o_custkey AS ok, n.o_custkey AS nk,
-  o.status AS os, n.status AS ns, o.priority AS op, n.priority AS np FROM o FULL JOIN n ON o.o_custkey = n.o_custkey)"""
+def _changes(direction: str, gone: str, before: str, after: str) -> str:
+    parts = [f"SELECT seq, '{gone}' AS change, NULL::VARCHAR AS field, NULL::VARCHAR AS before, NULL::VARCHAR AS after FROM j WHERE nk IS NULL"]
+    for field, letter in (("status", "s"), ("product_line", "l"), ("notes", "o")):
+        b, a = before + letter, after + letter
+        parts.append(f"SELECT seq, 'changed', '{field}', {b}, {a} FROM j WHERE nk IS NOT NULL AND {b} IS DISTINCT FROM {a}")
+    return f"SELECT *, '{direction}' AS direction FROM ({' UNION ALL '.join(parts)})"
+
+
+_KEPT = ", ".join(f"CASE WHEN nk IS NULL OR starts_with(ns, 'error') THEN o{x} ELSE n{x} END AS {name}"
+                  for x, name in (("s", "status"), ("l", "product_line"), ("o", "notes")))
 
 ORACLES: dict[str, str] = {
     "entity_overlap": master("SELECT hc AS in_curated, hb AS in_bulk, count(*) AS n FROM master GROUP BY ALL"),
@@ -348,15 +358,15 @@ ORACLES: dict[str, str] = {
       count(*) FILTER (country <> 'US') AS foreign_records, count(*) FILTER (confirmed) AS confirmed_owner FROM master"""),
     "families": master(f"SELECT family_id, parent_id, parent_number, parent_title, member_count, {_text('countries')} AS countries, orphan, oversized FROM families"),
     "family_members": master(f"SELECT {_MEMBER} FROM members"),
-    "record_family_members": master("""SELECT m.id, CASE WHEN max(m.family_size) <= 20 THEN count(o.id) END AS others,
-      CASE WHEN max(m.family_size) <= 20 THEN coalesce(string_agg(coalesce(o.normalized_number, '-') || '/' || coalesce(o.country, '-') || '/' || o.status || '/' ||
-        coalesce(o.filing_date, '-'), '|' ORDER BY o.place), '') END AS members
-      FROM master AS m LEFT JOIN members AS o ON o.fno = m.fno AND o.id <> m.id GROUP BY m.id"""),
+    "family_member_lists": master("""SELECT family_id, CASE WHEN place < 0 THEN -1 ELSE place // 256 END AS chunk, count(*) AS n,
+      string_agg(id || '/' || coalesce(normalized_number, '-') || '/' || coalesce(country, '-') || '/' || status || '/' ||
+        coalesce(filing_date, '-') || '/' || coalesce(grant_date, '-'), '|' ORDER BY place) AS members
+      FROM members GROUP BY ALL"""),
     "member_chunks": master("""SELECT family_id, CASE WHEN place < 0 THEN -1 ELSE place // 256 END AS chunk, string_agg(id, '|' ORDER BY place) AS member_ids
       FROM members GROUP BY ALL"""),
     "oversized_families": master(f"SELECT family_id, parent_title, member_count, {_text('countries')} AS countries FROM families WHERE oversized"),
     "siblings_of_parents": master(f"""SELECT a.id AS of_id, {', '.join('o.' + c for c in _MEMBER.split(', '))}
-      FROM master AS a JOIN members AS o ON o.fno = a.fno AND o.id <> a.id WHERE a.is_parent"""),
+      FROM master AS a JOIN members AS o ON o.fno = a.fno AND o.seq <> a.seq WHERE a.is_parent"""),
     "record_families": master("""SELECT m.id, m.seq, m.family_id, f.parent_id, f.member_count, f.orphan, f.oversized
       FROM master AS m JOIN families AS f USING (fno)"""),
     "record_lookup": master(f"SELECT id, normalized_number, country, title, family_id FROM master WHERE normalized_number = '{LOOKUP_NUMBER}'"),
@@ -397,6 +407,7 @@ ORACLES: dict[str, str] = {
     "page_count": master("SELECT count(*) AS rows, greatest(1, CAST(ceil(count(*) / 50) AS BIGINT)) AS pages FROM trows", _ROWS),
     "export_rows": master(f"SELECT {_EXPORT} FROM trows", _ROWS),
     "search_matches": master("SELECT id, title FROM hits", _ROWS, _HITS),
+    "search_long": master("SELECT id, title FROM hits", _ROWS, _LONG_HITS),
     "search_view": master("""SELECT seq, id, country, round(rank, 6) AS rank FROM (SELECT * FROM hits
       ORDER BY coalesce(country, ''), rank, seq LIMIT 50)""", _ROWS, _HITS),
     "display_fields": master(f"""SELECT id, coalesce(normalized_number, raw_number, '—') AS number,
@@ -410,18 +421,15 @@ ORACLES: dict[str, str] = {
       coalesce(o_cluster, '') AS clusters, CASE WHEN o_conf IS NULL THEN confirmed ELSE o_conf = 'true' END AS confirmed,
       CASE WHEN o_conf IS NULL THEN review ELSE false END AS review
       FROM master AS m LEFT JOIN wide AS w ON w.id = m.id WHERE coalesce(o_exclude, 'false') <> 'true'""", _LOG),
-    "snapshot_diff": f"""{_SNAPSHOTS} SELECT o_custkey, 'added' AS change, NULL::VARCHAR AS field, NULL::VARCHAR AS before, NULL::VARCHAR AS after FROM j WHERE ok IS NULL
-      UNION ALL SELECT o_custkey, 'removed', NULL, NULL, NULL FROM j WHERE nk IS NULL
-      UNION ALL SELECT o_custkey, 'changed', 'status', os, ns FROM j WHERE ok = nk AND os IS DISTINCT FROM ns
-      UNION ALL SELECT o_custkey, 'changed', 'priority', op, np FROM j WHERE ok = nk AND op IS DISTINCT FROM np""",
-    "keep_good": f"""{_SNAPSHOTS} SELECT o_custkey, CASE WHEN (nk IS NULL OR ns = 'F') AND ok IS NOT NULL THEN os ELSE ns END AS status,
-      CASE WHEN (nk IS NULL OR ns = 'F') AND ok IS NOT NULL THEN op ELSE np END AS priority, nk IS NULL OR ns = 'F' AS stale FROM j""",
+    "snapshot_diff": master(
+        f"{_changes('to corrected', 'removed', 'o', 'n')} UNION ALL {_changes('from corrected', 'added', 'n', 'o')}", _LOG, _SNAPSHOTS),
+    "keep_good": master(f"SELECT seq, {_KEPT}, nk IS NULL OR starts_with(ns, 'error') AS stale FROM j", _LOG, _SNAPSHOTS),
     "freshness": f"""SELECT 'source ' || user_id AS source, strftime(max(ts), '%Y-%m-%d') AS last_refresh,
       date_diff('day', CAST(max(ts) AS DATE), DATE '{FRESH_AS_OF}') > 30 AS stale FROM events GROUP BY 1""",
     "expiry_bands": master(f"""SELECT id, CASE WHEN expiration_date < DATE '{AS_OF}' THEN 'expired'
       WHEN expiration_date <= DATE '{AS_OF}' + INTERVAL 12 MONTH THEN '12_months'
       WHEN expiration_date <= DATE '{AS_OF}' + INTERVAL 24 MONTH THEN '24_months' WHEN expiration_date IS NOT NULL THEN 'later' END AS band,
-      CASE WHEN expiration_date IS NOT NULL THEN greatest(date_diff('day', DATE '{AS_OF}', expiration_date), 0) ELSE 0 END AS days FROM master"""),
+      CASE WHEN expiration_date IS NOT NULL THEN greatest(date_diff('day', DATE '{AS_OF}', expiration_date), 0) END AS days FROM master"""),
     "split_product_lines": master("""SELECT parts[1] AS primary_line, array_to_string(parts[2:], '|') AS secondary_lines, count(*) AS n FROM (
       SELECT list_filter(list_transform(string_split(product_line, '/'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM master
       WHERE product_line IS NOT NULL) GROUP BY ALL"""),

@@ -15,6 +15,7 @@ from masterloom.operators import overrides, quality, snapshots, stats, view
 from masterloom.operators.dedupe import absorb_duplicates, first_per_key, with_key
 from masterloom.operators.merge import bulk_remainder, has_source
 from masterloom.operators.normalize import normalize_bulk, normalize_curated
+from masterloom.operators.numbering import with_dense_number
 from masterloom.operators.search import search
 from masterloom.plans.mastering import Mastered, build_master
 from masterloom.plans.overview import merge_shape as overview_shape
@@ -28,9 +29,10 @@ from .frames import bulk_rows, curated_rows
 RUN_AT = "2026-01-01 00:00:00"
 AS_OF = "2026-01-01"
 FRESH_AS_OF = "2024-02-28"
-OLD_YEAR = ("1995-01-01", "1996-01-01")
-NEW_YEAR = ("1995-07-01", "1996-07-01")
 SEARCH_QUERY = "smal wdget"
+LONG_QUERY = "small widgets and - medium size, brand#25"
+# A record takes the overrides of the events that fall on its number.
+OVERRIDE_STEP = 7919
 LOOKUP_NUMBER = "EP1000074"
 
 _built: dict[tuple[str, str], Mastered] = {}
@@ -159,13 +161,14 @@ def family_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _member_columns(fam.family_members(mastered(spark, sf_dir).master))
 
 
-def record_family_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inlined = fam.with_members(mastered(spark, sf_dir).master, inline_members=20)
-    return inlined.select(
-        "id", F.size("family_members").cast("long").alias("others"),
-        joined(F.transform("family_members", lambda m: F.concat_ws(
-            "/", F.coalesce(m["normalized_number"], F.lit("-")), F.coalesce(m["country"], F.lit("-")), m["status"],
-            F.coalesce(iso(m["filing_date"]), F.lit("-"))))).alias("members"))
+def family_member_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All members of every family, in lists of bounded size."""
+    lists = fam.member_lists(mastered(spark, sf_dir).master, chunk_bits=8)
+    return lists.select(
+        "family_id", "chunk", F.size("members").cast("long").alias("n"),
+        joined(F.transform("members", lambda m: F.concat_ws(
+            "/", m["id"], F.coalesce(m["normalized_number"], F.lit("-")), F.coalesce(m["country"], F.lit("-")), m["status"],
+            F.coalesce(iso(m["filing_date"]), F.lit("-")), F.coalesce(iso(m["grant_date"]), F.lit("-"))))).alias("members"))
 
 
 def member_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,6 +311,10 @@ def search_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_rows(spark, sf_dir), SEARCH_QUERY).select("id", "title")
 
 
+def search_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_rows(spark, sf_dir), LONG_QUERY).select("id", "title")
+
+
 def search_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table_view(_rows(spark, sf_dir), SEARCH_QUERY, sort_key="country", descending=False, page_number=0)
     return rows.select("seq", "id", "country", F.round("rank", 6).alias("rank"))
@@ -329,12 +336,16 @@ def display_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- declared extras ----------------------------------------------------------
 
 def _override_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as corrections of the records of their users' row."""
+    """Every event as the correction of one record, of either source."""
+    built = mastered(spark, sf_dir)
+    numbered = written(built.master.select("id", "seq"), "numbered")
+    numbered = with_dense_number(numbered, "seq", "no").select("id", "no")
+    n = built.master.agg(F.count("*")).scalar()
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     field = F.get(F.array(*[F.lit(f) for f in overrides.OVERRIDE_FIELDS]), (F.col("event_id") % 6).cast("int"))
     value = F.when(field.isin("assignee_confirmed", "exclude"), F.when(F.col("event_id") % 4 < 2, "true").otherwise("false"))
-    ids = mastered(spark, sf_dir).master.select("id", "seq")
-    return events.join(ids, F.col("user_id") == F.col("seq")).select(
+    hit = events.withColumn("hit", F.pmod(F.col("event_id") * OVERRIDE_STEP, n) + 1)
+    return hit.join(numbered, F.col("hit") == F.col("no")).select(
         "id", field.alias("field"), F.coalesce(value, F.concat("event_type", F.lit(" "), F.col("user_id"))).alias("value"),
         F.lit("checked").alias("reason"), F.lit("reviewer").alias("applied_by"),
         F.col("ts").cast("timestamp").alias("applied_at"), "event_id")
@@ -349,27 +360,29 @@ def override_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("assignee.is_confirmed_owner").alias("confirmed"), F.col("assignee.needs_review").alias("review"))
 
 
-def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Latest order of each customer in the year before two dates."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+SNAPSHOT_FIELDS = ("status", "product_line", "notes")
+
 
-    def at(first: str, end: str) -> DataFrame:
-        year = orders.where((F.col("o_orderdate") >= first) & (F.col("o_orderdate") < end))
-        return year.groupBy("o_custkey").agg(
-            F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("status"),
-            F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("priority"))
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The whole master before and after its corrections."""
+    def fields(master: DataFrame) -> DataFrame:
+        return master.select("seq", *[F.col(f"{f}.value").alias(f) for f in SNAPSHOT_FIELDS])
 
-    return at(*OLD_YEAR), at(*NEW_YEAR)
+    master = mastered(spark, sf_dir).master
+    return fields(master), fields(overrides.apply_overrides(master, _override_log(spark, sf_dir), tie="event_id"))
 
 
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In both directions, so that records are removed in one and added in the other."""
     old, new = _snapshots(spark, sf_dir)
-    return snapshots.snapshot_diff(old, new, "o_custkey", ("status", "priority"))
+    return snapshots.snapshot_diff(old, new, "seq", SNAPSHOT_FIELDS).withColumn("direction", F.lit("to corrected")).unionByName(
+        snapshots.snapshot_diff(new, old, "seq", SNAPSHOT_FIELDS).withColumn("direction", F.lit("from corrected")))
 
 
 def keep_good(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrected records that got an error event count as failed, excluded ones as lost."""
     old, new = _snapshots(spark, sf_dir)
-    return snapshots.keep_good(old, new, "o_custkey", ("status", "priority"), F.col("status") == "F")
+    return snapshots.keep_good(old, new, "seq", SNAPSHOT_FIELDS, F.col("status").startswith("error"))
 
 
 def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,10 +416,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         entity_overlap, curated_records, bulk_records, normalize_number, normalize_status, normalize_owner, raw_payload,
         dedupe_absorb, dedupe_first, bulk_only, merge_master, merge_stats,
-        families, family_members, record_family_members, member_chunks, oversized_families, siblings_of_parents,
+        families, family_members, family_member_lists, member_chunks, oversized_families, siblings_of_parents,
         record_families, record_lookup, family_coverage, exceptions_long, exception_summary, exception_preview, alert_count, alert_records, format_duplicates,
         curated_summary, bulk_summary, top_countries, merge_shape, taxonomy_lines, taxonomy_models, overview_all, overview_top_lines,
-        table_rows, facets, view_page, filtered_by_date_and_type, page_count, export_rows, search_matches, search_view,
+        table_rows, facets, view_page, filtered_by_date_and_type, page_count, export_rows, search_matches, search_long, search_view,
         display_fields, override_apply, snapshot_diff, keep_good, freshness, expiry_bands, split_product_lines,
     )
 }
