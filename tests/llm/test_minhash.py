@@ -68,7 +68,7 @@ def test_repeated_ids_and_rows(spark):
     assert kept.columns == docs.columns
     got = sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect())
     assert got.count(("6", "short text")) == 1 and ("6", "other text of the same id") in got
-    assert len([x for x in got if x[1].startswith("wordy")]) == 1 and ("None", "no id at all") in got
+    assert len([x for x in got if "wordy" in x[1]]) == 1 and ("None", "no id at all") in got
     assert deduplicated(docs.limit(0)).count() == 0
 
 
