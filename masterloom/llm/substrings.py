@@ -153,8 +153,12 @@ def cut_paths(frequent: np.ndarray, edge: int = EDGE, anchor: int = ANCHOR):
             spans = (doc_of[r[a]], start[r[a]], start[r[b]] + edge - start[r[a]])
 
             a, b = _runs([doc_of, at], index)
-            open_ = np.add.reduceat(~repeated, a) > 0
+            # What is decided at either end of a path stays here.
+            undecided = np.append(0, np.cumsum(~repeated))
+            open_ = undecided[b + 1] > undecided[a]
             a, b = a[open_], b[open_]
+            place = np.nonzero(~repeated)[0]
+            a, b = place[undecided[a]], place[undecided[b + 1] - 1]
             raw = edges.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES]
             sizes = b - a + 1
             taken = np.repeat(a - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
@@ -235,12 +239,12 @@ def compact_paths(edge: int = EDGE):
 
 
 def _without(names: list[str]):
-    """Take the spans out of the texts of (columns..., text, starts, stops) batches."""
+    """Take the spans out of the texts of (columns..., starts, stops) batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, kept = [], [], []
-            texts, starts, stops = (batch.column(batch.schema.get_field_index(c)) for c in ("_sd_text", "_sd_starts", "_sd_stops"))
+            texts, starts, stops = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "_sd_starts", "_sd_stops"))
             for text, a, b in zip(raw(texts), starts, stops, strict=True):
                 words = split_words(text)
                 n.append(len(words))
@@ -270,10 +274,12 @@ def dedup_substrings(docs: DataFrame, edge: int = EDGE, anchor: int = ANCHOR) ->
     join); it should be a table.
     """
     docs = docs.drop("n_words", "n_removed", "kept_text")
+    if dict(docs.dtypes)["text"] != "string":
+        docs = docs.withColumn("text", F.col("text").cast("string"))
     names = docs.columns
     tagged = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc"),
-        F.hash(F.col("text").cast("string")).alias("tag"), F.col("text").cast("string").alias("text"))
+        F.hash("text").alias("tag"), "text")
     sampled = tagged.sample(SAMPLE, 7)
     counts = sampled.select("text").mapInArrow(find_frequent(edge, anchor), "anchor long, n long").groupBy("anchor").agg(
         F.sum("n").alias("n"))
@@ -286,7 +292,7 @@ def dedup_substrings(docs: DataFrame, edge: int = EDGE, anchor: int = ANCHOR) ->
     per_doc = spans.groupBy("doc", "tag").agg(F.collect_list("start").alias("_sd_starts"), F.collect_list("stop").alias("_sd_stops"))
     keyed = docs.select(
         "*", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("_sd_id"),
-        F.hash(F.col("text").cast("string")).alias("_sd_mark"), F.col("text").cast("string").alias("_sd_text"))
+        F.hash("text").alias("_sd_mark"))
     joined = keyed.join(per_doc.withColumnsRenamed({"doc": "_sd_doc", "tag": "_sd_tag"}),
                         (F.col("_sd_id") == F.col("_sd_doc")) & (F.col("_sd_mark") == F.col("_sd_tag")), "left")
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema),
