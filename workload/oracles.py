@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from masterloom.functions import fixed_values as fv
 
+from masterloom.sources.schemas import BULK_HEADERS
+
 from .frames import BULK_SQL, CURATED_SQL
 from .queries import AS_OF, FRESH_AS_OF, LONG_QUERY, LOOKUP_NUMBER, OVERRIDE_STEP, SEARCH_QUERY
 
@@ -327,6 +329,11 @@ def _changes(direction: str, gone: str, before: str, after: str) -> str:
 _KEPT = ", ".join(f"CASE WHEN nk IS NULL OR starts_with(ns, 'error') THEN o{x} ELSE n{x} END AS {name}"
                   for x, name in (("s", "status"), ("l", "product_line"), ("o", "notes")))
 
+# Cells that the landing takes for missing are null.
+_LANDED = ", ".join(
+    f"CASE WHEN {cell} IN ({_quoted(fv.MISSING_TOKENS)}) THEN NULL ELSE {cell} END AS {name}"
+    for name, cell in ((n, "main_text || chr(10) || 'says \"so\", twice' || chr(10)" if n == "main_text" else n) for n in BULK_HEADERS.values()))
+
 ORACLES: dict[str, str] = {
     "entity_overlap": master("SELECT hc AS in_curated, hb AS in_bulk, count(*) AS n FROM master GROUP BY ALL"),
     "curated_records": curated(f"""SELECT row_index, section, number AS raw_number, normalized_number, country, patent_type, is_placeholder,
@@ -424,6 +431,16 @@ ORACLES: dict[str, str] = {
     "snapshot_diff": master(
         f"{_changes('to corrected', 'removed', 'o', 'n')} UNION ALL {_changes('from corrected', 'added', 'n', 'o')}", _LOG, _SNAPSHOTS),
     "keep_good": master(f"SELECT seq, {_KEPT}, nk IS NULL OR starts_with(ns, 'error') AS stale FROM j", _LOG, _SNAPSHOTS),
+    "landed_bulk": f"""SELECT row_number() OVER (ORDER BY row_index) - 1 AS row_index, {_LANDED} FROM ({BULK_SQL})""",
+    "published_master": master(f"SELECT seq, id, normalized_number, country, title, status, family_id, {_text('flags')} AS flags FROM master"),
+    "published_members": master("SELECT family_id, member_count, member_count AS members FROM families"),
+    "refresh_log": master("""SELECT count(*) AS total_records, count(*) FILTER (hc AND hb) AS matched, count(DISTINCT fno) AS families,
+      (SELECT count(*) FROM curated) AS curated_rows, (SELECT count(*) FROM bulk) AS bulk_rows,
+      (SELECT count(DISTINCT normalized_number) FROM bulk) AS unique_normalized, count(*) FILTER (status = 'unknown') AS unknown_status,
+      (SELECT count(*) FROM families WHERE oversized) AS oversized, 0 AS errors FROM master"""),
+    "csv_round_trip": f"SELECT {', '.join(f"nullif({c}, '') AS {c}" for c in fv.EXPORT_COLUMNS)} FROM ({master(f'SELECT {_EXPORT} FROM trows', _ROWS)})",
+    "json_round_trip": master(f"""SELECT * REPLACE ({_day('filing_date')} AS filing_date, {_day('grant_date')} AS grant_date,
+      {_day('expiration_date')} AS expiration_date, {_text('inventors')} AS inventors, {_text('flags')} AS flags) FROM trows""", _ROWS),
     "freshness": f"""SELECT 'source ' || user_id AS source, strftime(max(ts), '%Y-%m-%d') AS last_refresh,
       date_diff('day', CAST(max(ts) AS DATE), DATE '{FRESH_AS_OF}') > 30 AS stale FROM events GROUP BY 1""",
     "expiry_bands": master(f"""SELECT id, CASE WHEN expiration_date < DATE '{AS_OF}' THEN 'expired'

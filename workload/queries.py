@@ -20,9 +20,13 @@ from masterloom.operators.search import search
 from masterloom.plans.mastering import Mastered, build_master
 from masterloom.plans.overview import merge_shape as overview_shape
 from masterloom.plans.overview import overview
+from masterloom.plans.refresh import refresh
 from masterloom.plans.view import view as table_view
-from masterloom.session import written
-from masterloom.sources.published import record_by_id
+from masterloom.session import scratch_dir, written
+from masterloom.sinks.tables import export_csv, export_json
+from masterloom.sources.landing import read_bulk
+from masterloom.sources.published import Published, read_json, record_by_id
+from masterloom.sources.schemas import BULK_HEADERS
 
 from .frames import bulk_rows, curated_rows
 
@@ -280,9 +284,13 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.table_rows(mastered(spark, sf_dir).master)
 
 
-def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _shown_rows(rows: DataFrame) -> DataFrame:
     dates = {d: iso(F.col(d)) for d in ("filing_date", "grant_date", "expiration_date")}
-    return _rows(spark, sf_dir).withColumns({**dates, "inventors": joined("inventors"), "flags": joined("flags")})
+    return rows.withColumns({**dates, "inventors": joined("inventors"), "flags": joined("flags")})
+
+
+def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown_rows(_rows(spark, sf_dir))
 
 
 def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,6 +393,67 @@ def keep_good(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.keep_good(old, new, "seq", SNAPSHOT_FIELDS, F.col("status").startswith("error"))
 
 
+# --- landing, publishing and reading back -------------------------------------
+
+_published: dict[tuple[str, str], Published] = {}
+
+
+def published(spark: SparkSession, sf_dir: str) -> Published:
+    """One whole refresh, published once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _published:
+        _published[key] = refresh(spark, curated_rows(spark, sf_dir), bulk_rows(spark, sf_dir), _folder(spark, "published"))
+    return _published[key]
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{scratch_dir(spark).rstrip('/')}/masterloom/{name}-{uuid.uuid4().hex}"
+
+
+def landed_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bulk rows written as CSV files, with quotes and line breaks in a column, and landed."""
+    broken = F.concat("main_text", F.lit('\nsays "so", twice\n'))
+    cells = bulk_rows(spark, sf_dir).withColumn("main_text", broken)
+    files = cells.repartitionByRange(4, "row_index").sortWithinPartitions("row_index").select(
+        *[F.col(name).alias(header) for header, name in BULK_HEADERS.items()])
+    folder = _folder(spark, "csv")
+    files.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).csv(folder)
+    return read_bulk(spark, folder)
+
+
+def published_master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return published(spark, sf_dir).master().select(
+        "seq", "id", "normalized_number", "country", F.col("title.value").alias("title"),
+        F.col("status.value").alias("status"), "family_id", joined("data_quality_flags").alias("flags"))
+
+
+def published_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = published(spark, sf_dir)
+    sizes = out.read("member_lists").groupBy("family_id").agg(F.sum(F.size("members")).alias("members"))
+    return out.families().select("family_id", "member_count").join(sizes, "family_id")
+
+
+def refresh_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return published(spark, sf_dir).refresh_log().select(
+        "merge.total_records", "merge.matched", "merge.families", F.col("curated.total_rows").alias("curated_rows"),
+        F.col("bulk.total_rows").alias("bulk_rows"), "bulk.unique_normalized",
+        F.element_at("exceptions_summary", "unknown_status").alias("unknown_status"),
+        F.element_at("exceptions_summary", "oversized_families").alias("oversized"), F.size("errors").alias("errors"))
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _folder(spark, "export")
+    export_csv(view.sorted_rows(_rows(spark, sf_dir), "title", descending=False), folder)
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(folder)
+
+
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, folder = _rows(spark, sf_dir), _folder(spark, "json")
+    export_json(rows, folder)
+    return _shown_rows(read_json(spark, folder, rows))
+
+
 def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events as the refreshes of one source."""
     log = spark.read.parquet(f"{sf_dir}/events.parquet").select(
@@ -420,6 +489,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         record_families, record_lookup, family_coverage, exceptions_long, exception_summary, exception_preview, alert_count, alert_records, format_duplicates,
         curated_summary, bulk_summary, top_countries, merge_shape, taxonomy_lines, taxonomy_models, overview_all, overview_top_lines,
         table_rows, facets, view_page, filtered_by_date_and_type, page_count, export_rows, search_matches, search_long, search_view,
-        display_fields, override_apply, snapshot_diff, keep_good, freshness, expiry_bands, split_product_lines,
+        display_fields, override_apply, snapshot_diff, keep_good, landed_bulk, published_master, published_members, refresh_log,
+        csv_round_trip, json_round_trip, freshness, expiry_bands, split_product_lines,
     )
 }
