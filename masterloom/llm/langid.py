@@ -95,7 +95,7 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int
     """Train on (buckets, shares) of texts; every fifth is kept to calibrate."""
     names = tuple(sorted(set(labels)))
     rng = np.random.default_rng(seed)
-    e = rng.normal(0, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS))
+    e = rng.normal(0, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     w, b = np.zeros((DIMENSIONS, len(names))), np.zeros(len(names))
     if len(names) < 2:
         return Model(names, e, w, b, 1.0)
@@ -110,23 +110,23 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int
             if not part:
                 continue
             rate, done = RATE * (1 - done / steps), done + 1
-            bucket, share = np.concatenate([texts[i][0] for i in part]), np.concatenate([texts[i][1] for i in part])
-            lengths = [len(texts[i][0]) for i in part]
-            begins = np.cumsum([0, *lengths[:-1]])
-            mean = np.add.reduceat(e[bucket] * share[:, None], begins)
+            shares = np.zeros((len(part), BUCKETS), np.float32)
+            for row, i in zip(shares, part):
+                row[texts[i][0]] = texts[i][1]
+            mean = shares @ e
             error = _softmax(mean @ w + b)
             error[np.arange(len(part)), truth[part]] -= 1
-            back = np.repeat(error @ w.T, lengths, axis=0) * share[:, None]
+            back = shares.T @ (error @ w.T).astype(np.float32)
             w -= rate * mean.T @ error / len(part)
             b -= rate * error.mean(axis=0)
-            np.add.at(e, bucket, -rate * DIMENSIONS * back)
+            e -= rate * DIMENSIONS * back
     logits = np.array([(e[x] * s[:, None]).sum(axis=0) @ w + b for x, s in (texts[i] for i in kept)])
 
     def loss(t: float) -> float:
         return -np.log(_softmax(logits / t)[np.arange(len(kept)), truth[kept]] + 1e-12).mean()
 
     temperature = min(np.geomspace(0.05, 20, 121), key=loss)
-    return Model(names, e.astype(np.float32), w, b, float(temperature))
+    return Model(names, e, w, b, float(temperature))
 
 
 def _read_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
