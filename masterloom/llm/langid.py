@@ -35,7 +35,7 @@ from .tokens import chunked, split_words
 
 BUCKETS, DIMENSIONS = 1 << 14, 16
 PER_LABEL, SAMPLE = 400, 2000
-EPOCHS, BATCH, RATE = 30, 32, 0.5
+STEPS, BATCH, RATE = 2000, 32, 0.5
 REJECT_BELOW = 0.5
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -102,14 +102,15 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int
     truth = np.array([names.index(x) for x in labels])
     order = rng.permutation(len(texts))
     kept, train = order[::5], np.delete(order, np.arange(0, len(order), 5))
-    steps, done = EPOCHS * -(-len(train) // BATCH), 0
-    for _ in range(EPOCHS):
+    # A number of steps, not of rounds: a small sample is gone through more often.
+    done = 0
+    while done < STEPS and len(train):
         rng.shuffle(train)
         for at in range(0, len(train), BATCH):
             part = [i for i in train[at:at + BATCH] if len(texts[i][0])]
+            rate, done = RATE * max(0.0, 1 - done / STEPS), done + 1
             if not part:
                 continue
-            rate, done = RATE * (1 - done / steps), done + 1
             shares = np.zeros((len(part), BUCKETS), np.float32)
             for row, i in zip(shares, part):
                 row[texts[i][0]] = texts[i][1]

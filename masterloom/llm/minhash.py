@@ -14,13 +14,13 @@ which all slots are filled (raised until they are), so a document of n shingles
 first points and about SLOTS * log(SLOTS) more, however large its counts.
 
 *Candidates.* ``BANDS`` bands of ``DEPTH`` slots; a pair of similarity 0.8 shares none
-of them with a chance of 3e-6. Buckets are compared by pivots first: a document
-is verified against the bucket pivot it shares most bands with, which links most
-documents of large groups in linear work. Then buckets that still hold several components
-are compared in slices of bounded size, only between different components, and only pairs
-whose signatures don't rule the similarity out (4.3 standard deviations) are verified, the
-most alike for each document and component first. A pair counts in the first band it
-shares. No cap drops a pair.
+of them with a chance of 3e-6. First a document is verified against the bucket pivots it
+shares most bands with, which links most documents of large groups in linear work. Buckets
+that still hold several components are then compared in slices of bounded size, only between
+different components: in rounds in which each component has its most alike pair verified,
+until a round links nothing, and then once for all pairs that are left. A pair counts in
+the first band it shares, and only if signatures don't rule the similarity out (4.3 standard
+deviations, by a wider signature made for these documents). No cap drops a pair.
 
 *Verification* streams the texts to be compared with one document past it, in
 slices, so hot pivots are spread and nothing is gathered.
@@ -47,6 +47,8 @@ from .tokens import WordHashes, chunked, mixed, raw, run_hashes, split_words
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, DEPTH = 32, 5
 SLOTS = BANDS * DEPTH
+WIDE = 1024
+PIVOTS = 3
 SLICE, SPREAD = 2048, 256
 CHUNK_CHARS = 3_000_000
 LOWEST = -(1 << 63)
@@ -163,9 +165,27 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
         yield held
 
 
-def _compare(least: float):
-    """Pairs of different components in one tile of a bucket, from rows
-    (bucket, left, right, side, band, id, component, sketch)."""
+def _widely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to (id, wide): a byte for each of ``WIDE`` slots."""
+    hashes = WordHashes()
+    for batch in batches:
+        rows = zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True)
+        for part in chunked(rows, lambda r: len(r[1]), CHUNK_CHARS):
+            times = signatures([bag(hashes.of(split_words(r[1]))) for r in part], WIDE)
+            slots = np.ascontiguousarray((mixed(times.view(np.uint64)) & np.uint64(255)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in part], pa.int64()), pa.array([x.tobytes() for x in slots], pa.binary())], names=["id", "wide"])
+
+
+def _stacked(rows: list[tuple], column: int, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(r[column] for r in rows), np.uint8).reshape(len(rows), width)
+
+
+def _compare(similar: float, best: bool):
+    """Pairs of different components in one tile of a bucket, from rows (bucket,
+    left, right, side, band, id, component, sketch, wide): all that may be similar, or
+    for each row outside the largest component the most alike."""
+    least, least_wide = least_agreement(similar), least_agreement(similar, WIDE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, 3):
@@ -174,31 +194,37 @@ def _compare(least: float):
             if not sides[0] or not sides[1] or len({r[6] for r in rows}) < 2:
                 continue
             band = rows[0][4]
-            x, y = (np.frombuffer(b"".join(r[7] for r in s), np.uint8).reshape(len(s), SLOTS) for s in sides)
+            (x, y), (wx, wy) = ([_stacked(s, c, n) for s in sides] for c, n in ((7, SLOTS), (8, WIDE)))
             cx, cy = (np.array([r[6] for r in s], np.int64) for s in sides)
             ids, others = (np.array([r[5] for r in s], np.int64) for s in sides)
             # The largest component is never compared with itself: its rows come last.
             values, counts = np.unique(cx, return_counts=True)
             order = np.argsort(cx == values[counts.argmax()], kind="stable")
-            a, b, n = [], [], []
+            a, b, n, c = [], [], [], []
             for place, i in enumerate(order):
                 j = np.nonzero(cy != cx[i])[0] if not same else order[place + 1:][cy[order[place + 1:]] != cx[i]]
                 if not len(j):
                     continue
                 equal = y[j] == x[i]
-                share = equal.mean(axis=1)
-                near = share >= least
-                if not near.any():
+                near = equal.mean(axis=1) >= least
+                j, equal = j[near], equal[near]
+                if not len(j):
                     continue
-                j, share, equal = j[near], share[near], equal[near]
                 whole = np.logical_and.reduce([_band_columns(equal, d) for d in range(DEPTH)])
                 own = whole.argmax(axis=1) == band
-                a += [min(ids[i], others[k]) for k in j[own]]
-                b += [max(ids[i], others[k]) for k in j[own]]
-                n += share[own].tolist()
+                share = (wy[j] == wx[i]).mean(axis=1)
+                own &= share >= least_wide
+                j, share = j[own], share[own]
+                if best and len(j):
+                    j, share = j[[share.argmax()]], share[[share.argmax()]]
+                a += [min(ids[i], others[k]) for k in j]
+                b += [max(ids[i], others[k]) for k in j]
+                n += share.tolist()
+                c += [cx[i]] * len(j)
             if a:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.float64())], names=["a", "b", "share"])
+                    [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.float64()), pa.array(c, pa.int64())],
+                    names=["a", "b", "share", "component"])
 
     return run
 
@@ -258,7 +284,8 @@ def near_documents(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     crowded = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = written(banded.join(crowded, "bucket").select("bucket", "band", "id", "pivot", "n"), "near-members")
     shared = members.where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("bands"))
-    best = shared.groupBy("id").agg(F.min_by("pivot", F.struct(-F.col("bands"), F.col("pivot"))).alias("pivot"))
+    turn = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("bands"), "pivot"))
+    best = shared.withColumn("turn", turn).where(F.col("turn") <= PIVOTS)
     chosen = reps.select(F.col("key").alias("_key"), F.col("doc").alias("_doc"), "id").join(members.select("id").distinct(), "id")
     texts = written(
         worded.join(chosen, (F.col("key") == F.col("_key")) & (F.col("doc") == F.col("_doc")))
@@ -266,19 +293,23 @@ def near_documents(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     links = written(verified(best.select(F.col("pivot").alias("a"), F.col("id").alias("b")), texts, similar), "near-links")
     labels = written(components(links), "near-labels")
 
-    cross = written(_cross_pairs(members, reps, labels, least_agreement(similar)), "near-pairs")
-    for whole in (False, True):
-        known = labels.select(F.col("id").alias("_id"), "component")
-        left = cross.join(known.withColumnsRenamed({"_id": "_a", "component": "ca"}), F.col("a") == F.col("_a"), "left").join(
-            known.withColumnsRenamed({"_id": "_b", "component": "cb"}), F.col("b") == F.col("_b"), "left").select(
-            "a", "b", "share", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
-        if not whole:  # the most alike pair of each two components
-            left = left.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(
-                F.max_by(F.struct("a", "b"), F.struct("share", "a", "b")).alias("p")).select("p.a", "p.b")
-        fresh = written(verified(left.select("a", "b"), texts, similar), "near-links")
-        if not fresh.isEmpty():
+    wide = written(texts.join(_mixed_up(members, labels).select("id").distinct(), "id").select("id", "text").mapInArrow(
+        _widely, "id long, wide binary"), "near-wide")
+    sketches = written(reps.select("id", "sketch").join(wide, "id"), "near-sketches")
+    best = True
+    while True:
+        pairs = _cross_pairs(members, sketches, labels, similar, best)
+        if best:
+            pairs = pairs.groupBy("component").agg(F.max_by(F.struct("a", "b"), F.struct("share", "a", "b")).alias("p")).select(
+                "p.a", "p.b").distinct()
+        fresh = written(verified(pairs.select("a", "b"), texts, similar), "near-links")
+        found = not fresh.isEmpty()
+        if found:
             links = links.unionByName(fresh)
             labels = written(components(links), "near-labels")
+        if not best:
+            break
+        best = found
     named = reps.select("key", F.col("doc").alias("class_id"), "id").join(labels, "id", "left").select(
         "key", "class_id", F.coalesce("component", "id").alias("label"))
     named = written(named, "near-named")
@@ -288,22 +319,27 @@ def near_documents(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         "doc", "key", F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("component_id", "doc").alias("component_id"))
 
 
-def _cross_pairs(members: DataFrame, reps: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """(a, b, share) of pairs that share a bucket, are of different components and
-    may be similar; each once."""
+def _mixed_up(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components."""
     placed = members.join(labels, "id", "left").select(
         "bucket", "band", "id", "n", F.coalesce("component", "id").alias("component"))
-    mixed_up = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
+    several = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
         "low <> high").select("bucket")
-    some = placed.join(mixed_up, "bucket").join(reps.select("id", "sketch"), "id")
+    return placed.join(several, "bucket")
+
+
+def _cross_pairs(members: DataFrame, sketches: DataFrame, labels: DataFrame, similar: float, best: bool) -> DataFrame:
+    """(a, b, share, component) of pairs that share a bucket, are of different
+    components and may be similar; see :func:`_compare`."""
     slices = F.ceil(F.col("n") / SLICE).cast("int")
-    own = some.withColumn("slices", slices).withColumn("own", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
-    tiles = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    own = _mixed_up(members, labels).withColumn("slices", slices).withColumn(
+        "own", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+    tiles = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).join(sketches, "id")
     tile = tiles.select(
         "bucket", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"), "band", "id", "component", "sketch")
+        (F.col("own") > F.col("other")).cast("int").alias("side"), "band", "id", "component", "sketch", "wide")
     return tile.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "side", "id").mapInArrow(
-        _compare(least), "a long, b long, share double")
+        _compare(similar, best), "a long, b long, share double, component long")
 
 
 def deduplicated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
