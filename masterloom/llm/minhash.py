@@ -17,8 +17,8 @@ first points and about SLOTS * log(SLOTS) more, however large its counts.
 of them with a chance of 3e-6. First a document is verified against the bucket pivots it
 shares most bands with, which links most documents of large groups in linear work. Buckets
 that still hold several components are then compared in slices of bounded size, only between
-different components: in rounds in which each component has its most alike pair verified,
-until a round links nothing, and then once for all pairs that are left. A pair counts in
+different components: in ``ROUNDS`` rounds in which each component has its most alike pair
+verified, and then once for all pairs that are left. A pair counts in
 the first band it shares, and only if signatures don't rule the similarity out (4.3 standard
 deviations, by a wider signature made for these documents). No cap drops a pair.
 
@@ -48,7 +48,7 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, DEPTH = 32, 5
 SLOTS = BANDS * DEPTH
 WIDE = 1024
-PIVOTS = 3
+PIVOTS, ROUNDS = 3, 2
 SLICE, SPREAD = 2048, 256
 CHUNK_CHARS = 3_000_000
 LOWEST = -(1 << 63)
@@ -296,20 +296,15 @@ def near_documents(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     wide = written(texts.join(_mixed_up(members, labels).select("id").distinct(), "id").select("id", "text").mapInArrow(
         _widely, "id long, wide binary"), "near-wide")
     sketches = written(reps.select("id", "sketch").join(wide, "id"), "near-sketches")
-    best = True
-    while True:
+    for best in [True] * ROUNDS + [False]:
         pairs = _cross_pairs(members, sketches, labels, similar, best)
         if best:
             pairs = pairs.groupBy("component").agg(F.max_by(F.struct("a", "b"), F.struct("share", "a", "b")).alias("p")).select(
                 "p.a", "p.b").distinct()
         fresh = written(verified(pairs.select("a", "b"), texts, similar), "near-links")
-        found = not fresh.isEmpty()
-        if found:
+        if not fresh.isEmpty():
             links = links.unionByName(fresh)
             labels = written(components(links), "near-labels")
-        if not best:
-            break
-        best = found
     named = reps.select("key", F.col("doc").alias("class_id"), "id").join(labels, "id", "left").select(
         "key", "class_id", F.coalesce("component", "id").alias("label"))
     named = written(named, "near-named")
