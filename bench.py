@@ -23,7 +23,7 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 
 HEADLINE = (
     "entity_overlap", "normalize_number", "normalize_owner", "dedupe_absorb", "dedupe_first", "merge_master",
-    "families", "family_members", "record_family_members", "exceptions_long", "exception_summary", "exception_preview",
+    "families", "family_members", "family_member_lists", "exceptions_long", "exception_summary", "exception_preview",
     "bulk_summary", "curated_summary", "overview_all", "view_page", "export_rows", "search_matches", "override_apply",
     "snapshot_diff",
 )
