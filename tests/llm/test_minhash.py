@@ -3,7 +3,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from masterloom.llm.minhash import _compare, bag, deduplicated, near_documents, signatures, weighted_jaccard
+from masterloom.llm.minhash import bag, deduplicated, near_documents, signatures, weighted_jaccard
 
 from .helpers import clashing, frame, odd_documents, words
 
@@ -86,4 +86,3 @@ def test_signatures_are_unbiased():
 
 def test_one_shingle_fills_all_slots():
     assert np.isfinite(signatures([bag(np.array([5], np.uint64)), bag(np.arange(9, dtype=np.uint64))])).all()
-    assert callable(_compare(0.5))
