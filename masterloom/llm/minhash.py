@@ -51,6 +51,7 @@ WIDE = 1024
 PIVOTS, ROUNDS = 3, 2
 SLICE, SPREAD = 2048, 256
 CHUNK_CHARS = 3_000_000
+MOST_AHEAD, POINTS_AT_ONCE = 256, 1 << 13
 LOWEST = -(1 << 63)
 # Four standard deviations of the share of equal slots below the similarity asked for.
 DEVIATIONS = 4.3
@@ -102,18 +103,26 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], slots: int = SLOTS) ->
     waiting = active[:0]
     while True:
         while len(active):
-            s = mixed(seed[active] + step[active] * C1)
-            step[active] += np.uint64(1)
-            now = time[active] - np.log(_uniform(s)) / rate[active]
-            time[active] = now
+            # Few processes are left in short texts: several points of each at once.
+            ahead = min(MOST_AHEAD, max(1, POINTS_AT_ONCE // len(active)))
             own = owner[active]
-            early = now < until[own]
-            waiting = np.concatenate([waiting, active[~early]])
+            s = mixed(seed[active][:, None] + (step[active][:, None] + np.arange(ahead, dtype=np.uint64)) * C1)
+            gaps = -np.log(_uniform(s)) / rate[active][:, None]
+            # Summed up one after the other, so that times don't depend on how many are drawn at once.
+            now = np.add.accumulate(np.concatenate([time[active][:, None], gaps], axis=1), axis=1)[:, 1:]
+            early = now < until[own][:, None]
+            drawn = np.minimum(early.sum(axis=1) + 1, ahead)
+            step[active] += drawn.astype(np.uint64)
+            time[active] = now[np.arange(len(active)), drawn - 1]
             # The point that is too late now is the next one if the bound is raised.
-            active, now, own, s = active[early], now[early], own[early], s[early]
+            over = ~early[:, -1]
+            waiting = np.concatenate([waiting, active[over]])
+            process = np.broadcast_to(active[:, None], s.shape)[early]
+            now, s = now[early], s[early]
             slot = (mixed(s + C2) % np.uint64(slots)).astype(np.int64)
-            counts = np.floor(low[active] * (1 + _uniform(s + C3))) < count[active]
-            np.minimum.at(first, own[counts] * slots + slot[counts], now[counts])
+            counts = np.floor(low[process] * (1 + _uniform(s + C3))) < count[process]
+            np.minimum.at(first, owner[process[counts]] * slots + slot[counts], now[counts])
+            active = active[~over]
         table = first.reshape(len(bags), slots)
         short = np.isinf(table).any(axis=1)
         if not short.any():
@@ -303,8 +312,9 @@ def near_documents(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
                 "p.a", "p.b").distinct()
         fresh = written(verified(pairs.select("a", "b"), texts, similar), "near-links")
         if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            labels = written(components(links), "near-labels")
+            # Components found so far are stars already.
+            known = labels.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+            labels = written(components(known.unionByName(fresh)), "near-labels")
     named = reps.select("key", F.col("doc").alias("class_id"), "id").join(labels, "id", "left").select(
         "key", "class_id", F.coalesce("component", "id").alias("label"))
     named = written(named, "near-named")
