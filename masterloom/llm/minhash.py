@@ -19,7 +19,7 @@ shares most bands with, which links most documents of large groups in linear wor
 that still hold several components are then compared in slices of bounded size, only between
 different components: in ``ROUNDS`` rounds in which each component has its most alike pair
 verified, and then once for all pairs that are left. A pair counts in
-the first band it shares, and only if signatures don't rule the similarity out (4.3 standard
+the first band it shares, by the hashes that make the buckets, and only if signatures don't rule the similarity out (4.3 standard
 deviations, by a wider signature made for these documents). No cap drops a pair.
 
 *Verification* streams the texts to be compared with one document past it, in
@@ -142,7 +142,8 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], slots: int = SLOTS) ->
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, key, text) to (doc, key, bands, sketch): a hash per band, a byte per slot."""
+    """(doc, key, text) to (doc, key, bands, sketch, hashes): a hash per band, a byte per slot, and
+    the hashes of all bands as bytes."""
     hashes = WordHashes()
     for batch in batches:
         rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2)), strict=True)
@@ -158,7 +159,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([
                 pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.binary()),
                 pa.FixedSizeListArray.from_arrays(pa.array(band.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())),
-                pa.array([x.tobytes() for x in slots], pa.binary())], names=["doc", "key", "bands", "sketch"])
+                pa.array([x.tobytes() for x in slots], pa.binary()), pa.array([x.tobytes() for x in band], pa.binary())],
+                names=["doc", "key", "bands", "sketch", "hashes"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
@@ -192,7 +194,7 @@ def _stacked(rows: list[tuple], column: int, width: int) -> np.ndarray:
 
 def _compare(similar: float, best: bool):
     """Pairs of different components in one tile of a bucket, from rows (bucket,
-    left, right, side, band, id, component, sketch, wide): all that may be similar, or
+    left, right, side, band, id, component, sketch, wide, hashes): all that may be similar, or
     for each row outside the largest component the most alike."""
     least, least_wide = least_agreement(similar), least_agreement(similar, WIDE)
 
@@ -204,6 +206,7 @@ def _compare(similar: float, best: bool):
                 continue
             band = rows[0][4]
             (x, y), (wx, wy) = ([_stacked(s, c, n) for s in sides] for c, n in ((7, SLOTS), (8, WIDE)))
+            bx, by = (_stacked(s, 9, BANDS * 8).view(np.uint64) for s in sides)
             cx, cy = (np.array([r[6] for r in s], np.int64) for s in sides)
             ids, others = (np.array([r[5] for r in s], np.int64) for s in sides)
             # The largest component is never compared with itself: its rows come last.
@@ -214,13 +217,11 @@ def _compare(similar: float, best: bool):
                 j = np.nonzero(cy != cx[i])[0] if not same else order[place + 1:][cy[order[place + 1:]] != cx[i]]
                 if not len(j):
                     continue
-                equal = y[j] == x[i]
-                near = equal.mean(axis=1) >= least
-                j, equal = j[near], equal[near]
+                j = j[(y[j] == x[i]).mean(axis=1) >= least]
                 if not len(j):
                     continue
-                whole = np.logical_and.reduce([_band_columns(equal, d) for d in range(DEPTH)])
-                own = whole.argmax(axis=1) == band
+                # Slots are bytes here and may agree by chance where the bucket differs.
+                own = (by[j] == bx[i]).argmax(axis=1) == band
                 share = (wy[j] == wx[i]).mean(axis=1)
                 own &= share >= least_wide
                 j, share = j[own], share[own]
@@ -238,11 +239,6 @@ def _compare(similar: float, best: bool):
     return run
 
 
-def _band_columns(equal: np.ndarray, d: int) -> np.ndarray:
-    """Slot ``d`` of every band."""
-    return equal[:, d::DEPTH]
-
-
 def _verify(similar: float, shingle: int):
     """Pairs that hold, from rows (a, slice, member, id, text) sorted by them."""
 
@@ -283,10 +279,10 @@ def near_documents(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     worded = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    sketched = worded.select("doc", "key", "text").mapInArrow(_sketch, "doc long, key binary, bands array<long>, sketch binary")
+    sketched = worded.select("doc", "key", "text").mapInArrow(_sketch, "doc long, key binary, bands array<long>, sketch binary, hashes binary")
     # A class of equal texts goes by a hash of its key; ids may repeat.
     reps = written(sketched.groupBy("key").agg(
-        F.min("doc").alias("doc"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        F.min("doc").alias("doc"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("hashes").alias("hashes"))
         .withColumn("id", F.xxhash64("key")), "near-classes")
 
     banded = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
@@ -304,7 +300,7 @@ def near_documents(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     wide = written(texts.join(_mixed_up(members, labels).select("id").distinct(), "id").select("id", "text").mapInArrow(
         _widely, "id long, wide binary"), "near-wide")
-    sketches = written(reps.select("id", "sketch").join(wide, "id"), "near-sketches")
+    sketches = written(reps.select("id", "sketch", "hashes").join(wide, "id"), "near-sketches")
     for best in [True] * ROUNDS + [False]:
         pairs = _cross_pairs(members, sketches, labels, similar, best)
         if best:
@@ -342,7 +338,7 @@ def _cross_pairs(members: DataFrame, sketches: DataFrame, labels: DataFrame, sim
     tiles = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).join(sketches, "id")
     tile = tiles.select(
         "bucket", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"), "band", "id", "component", "sketch", "wide")
+        (F.col("own") > F.col("other")).cast("int").alias("side"), "band", "id", "component", "sketch", "wide", "hashes")
     return tile.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "side", "id").mapInArrow(
         _compare(similar, best), "a long, b long, share double, component long")
 

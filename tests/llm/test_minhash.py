@@ -1,8 +1,10 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from masterloom.llm import minhash
 from masterloom.llm.minhash import bag, deduplicated, near_documents, signatures, weighted_jaccard
 
 from .helpers import clashing, frame, odd_documents, words
@@ -86,3 +88,16 @@ def test_signatures_are_unbiased():
 
 def test_one_shingle_fills_all_slots():
     assert np.isfinite(signatures([bag(np.array([5], np.uint64)), bag(np.arange(9, dtype=np.uint64))])).all()
+
+
+def test_a_band_that_agrees_in_bytes_only_does_not_hide_the_bucket():
+    """Two documents with equal slot bytes everywhere, whose bucket hashes first agree in band 3."""
+    hashes = np.arange(2 * minhash.BANDS, dtype=np.uint64).reshape(2, minhash.BANDS)
+    hashes[1, 3:] = hashes[0, 3:]
+    columns = ["bucket", "left", "right", "side", "band", "id", "component", "sketch", "wide", "hashes"]
+    found = {}
+    for band in (3, 4):
+        rows = [(7, 0, 0, 0, band, i, i, bytes(minhash.SLOTS), bytes(minhash.WIDE), h.tobytes()) for i, h in enumerate(hashes, 1)]
+        batch = pa.RecordBatch.from_pylist([dict(zip(columns, r)) for r in rows])
+        found[band] = [(x["a"], x["b"]) for out in minhash._compare(0.8, False)(iter([batch])) for x in out.to_pylist()]
+    assert found == {3: [(1, 2)], 4: []}
