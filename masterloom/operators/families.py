@@ -19,16 +19,18 @@ from ..functions.text import title_key
 from ..session import written
 from .merge import has_source
 from .numbering import BLOCK_BITS, with_dense_number
+from .similar_titles import best_similar
 from .skew import SLICE_ROWS, sliced_join
 
 ORPHAN_FLAG = "missing_us_parent"
+SIMILAR_FLAG = "similar_title_parent"
 MEMBER_FIELDS = ("id", "normalized_number", "country", "status", "filing_date", "grant_date")
 
 
 @dataclass
 class Families:
     """``assignments``: one row per record (seq, family_no, is_parent,
-    is_orphan, family_size); ``families``: one row per family."""
+    is_orphan, by_similarity, family_size); ``families``: one row per family."""
 
     assignments: DataFrame
     families: DataFrame
@@ -45,33 +47,56 @@ def family_input(master: DataFrame) -> DataFrame:
         title_key(F.col("title.value")).alias("title_key"), has_source(fv.CURATED).alias("has_curated"))
 
 
-def build_families(records: DataFrame, block_bits: int = BLOCK_BITS, slice_rows: int = SLICE_ROWS) -> Families:
+def title_claims(founders: DataFrame) -> DataFrame:
+    """(title_key, family_no): the first family to claim each title. Numbers follow
+    emission order, so that is the smallest."""
+    return founders.where(F.col("title_key").isNotNull()).groupBy("title_key").agg(F.min("family_no").alias("family_no"))
+
+
+def _linked_by_similarity(linked: DataFrame, claims: DataFrame, percent: int, slice_rows: int) -> DataFrame:
+    """Give records that found no equal title the family of the most similar one."""
+    open_titles = linked.where("family_no IS NULL AND title_key IS NOT NULL").select(F.col("title_key").alias("title"))
+    best = written(best_similar(open_titles, claims.withColumnRenamed("title_key", "title"), percent), "similar")
+    best = best.select(F.col("title").alias("title_key"), F.col("family_no").alias("_similar_no"))
+    # A title is looked up for open records only: others have their family.
+    found = sliced_join(linked, best, "title_key", "seq", slice_rows=slice_rows)
+    return found.select("seq", "country", F.coalesce("family_no", "_similar_no").alias("family_no"),
+                        (F.col("family_no").isNull() & F.col("_similar_no").isNotNull()).alias("by_similarity"))
+
+
+def build_families(records: DataFrame, block_bits: int = BLOCK_BITS, slice_rows: int = SLICE_ROWS,
+                   similar_percent: int | None = None) -> Families:
     """Assign every record of a *written* :func:`family_input` to a family.
 
     Home-country and unknown-country records found families, numbered in
     emission order. A curated foreign record joins the first family with its
-    title key. Every other foreign record founds an orphan family; those are
-    numbered after the others.
+    title key; with ``similar_percent`` one without such a family joins that of
+    the most similar title, if it is that similar. Every other foreign record founds
+    an orphan family; those are numbered after the others.
     """
     at_home = F.col("country").isNull() | (F.col("country") == fv.HOME_COUNTRY)
     founders = with_dense_number(records.where(at_home).select("seq", "title_key", "country"), "seq", "family_no", block_bits)
     founders = written(founders, "founders")
-    # Numbers follow emission order, so the first claimant of a title has the smallest.
-    by_title = founders.where(F.col("title_key").isNotNull()).groupBy("title_key").agg(F.min("family_no").alias("family_no"))
+    by_title = title_claims(founders)
 
     foreign = records.where(~at_home)
     searching = F.when(F.col("has_curated"), F.col("title_key"))
     foreign = foreign.select("seq", "country", searching.alias("title_key"))
     linked = written(sliced_join(foreign, by_title, "title_key", "seq", slice_rows=slice_rows)
-                     .select("seq", "country", "family_no"), "linked")
+                     .select("seq", "country", "title_key", "family_no"), "linked")
+    if similar_percent is not None:
+        linked = written(_linked_by_similarity(linked, by_title, similar_percent, slice_rows), "linked")
+    else:
+        linked = linked.select("seq", "country", "family_no", F.lit(False).alias("by_similarity"))
 
     orphans = with_dense_number(linked.where("family_no IS NULL").select("seq", "country"), "seq", "_no", block_bits)
     last_founder = founders.agg(F.count("*")).scalar()
     orphans = orphans.select("seq", "country", (F.col("_no") + last_founder).alias("family_no"))
 
     def marked(df: DataFrame, is_parent: bool, is_orphan: bool) -> DataFrame:
+        similar = F.lit(False) if is_parent else F.col("by_similarity")
         return df.select("seq", "country", "family_no", F.lit(is_parent).alias("is_parent"),
-                         F.lit(is_orphan).alias("is_orphan"))
+                         F.lit(is_orphan).alias("is_orphan"), similar.alias("by_similarity"))
 
     placed = written(
         marked(founders, True, False)
@@ -103,18 +128,20 @@ def build_families(records: DataFrame, block_bits: int = BLOCK_BITS, slice_rows:
     grown = written(families, "families")
     sized = sliced_join(
         placed, grown.select("family_no", F.col("member_count").alias("family_size")), "family_no", "seq", slice_rows=slice_rows)
-    return Families(sized.select("seq", "family_no", "is_parent", "is_orphan", "family_size"), grown)
+    return Families(sized.select("seq", "family_no", "is_parent", "is_orphan", "by_similarity", "family_size"), grown)
 
 
 def with_family(master: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Set the family of every record and flag orphans. One to one on ``seq``."""
-    flagged = F.when(
-        F.col("is_orphan"), F.array_union("data_quality_flags", F.array(F.lit(ORPHAN_FLAG)))
-    ).otherwise(F.col("data_quality_flags"))
+    """Set the family of every record, flag orphans and records whose parent only has a
+    similar title. One to one on ``seq``."""
+    flagged = F.col("data_quality_flags")
+    for test, flag in (("is_orphan", ORPHAN_FLAG), ("by_similarity", SIMILAR_FLAG)):
+        flagged = F.when(F.col(test), F.array_union("data_quality_flags", F.array(F.lit(flag)))).otherwise(flagged)
     return (
         master.join(assignments, "seq")
         .withColumn("family_id", family_id(F.col("family_no")))
         .withColumn("data_quality_flags", flagged)
+        .drop("by_similarity")
     )
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from masterloom.functions import fixed_values as fv
 
+from masterloom.operators.similar_titles import PERCENT
 from masterloom.sources.schemas import BULK_HEADERS
 
 from .frames import BULK_SQL, CURATED_SQL
@@ -334,7 +335,27 @@ _LANDED = ", ".join(
     f"CASE WHEN {cell} IN ({_quoted(fv.MISSING_TOKENS)}) THEN NULL ELSE {cell} END AS {name}"
     for name, cell in ((n, "main_text || chr(10) || 'says \"so\", twice' || chr(10)" if n == "main_text" else n) for n in BULK_HEADERS.values()))
 
+# Every open title against every claimed one, by whole edit distances.
+_SIMILAR = f"""alone AS (SELECT seq, tkey FROM master WHERE is_orphan AND hc),
+near AS (SELECT o.tkey, c.claim, c.fno, levenshtein(o.tkey, c.claim) AS d, greatest(length(o.tkey), length(c.claim)) AS longer
+  FROM (SELECT DISTINCT tkey FROM alone WHERE tkey IS NOT NULL) AS o JOIN claims AS c ON o.tkey <> c.claim
+  AND levenshtein(o.tkey, c.claim) <= greatest(length(o.tkey), length(c.claim)) * {100 - PERCENT} // 100),
+similar_to AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tkey ORDER BY d::DOUBLE / longer, fno) AS rn FROM near) WHERE rn = 1)"""
+_RELINKED = f"""{_SIMILAR},
+linked_too AS (SELECT l.seq, coalesce(l.fno, s.fno) AS fno FROM linked AS l JOIN titled AS t USING (seq)
+  LEFT JOIN similar_to AS s ON t.hc AND l.fno IS NULL AND s.tkey = t.tkey),
+placed_too AS (SELECT seq, fno, true AS is_parent, false AS orphan FROM founders
+  UNION ALL SELECT seq, fno, false, false FROM linked_too WHERE fno IS NOT NULL
+  UNION ALL SELECT seq, (SELECT count(*) FROM founders) + row_number() OVER (ORDER BY seq), true, true FROM linked_too WHERE fno IS NULL),
+grouped AS (SELECT p.fno, max(id) FILTER (is_parent) AS parent_id, count(*) AS member_count, bool_or(orphan) AS orphan,
+  list(country ORDER BY NOT is_parent, p.seq) FILTER (country IS NOT NULL) AS cs FROM placed_too AS p JOIN titled USING (seq) GROUP BY p.fno)"""
+
 ORACLES: dict[str, str] = {
+    "similar_title_links": master("""SELECT a.seq, a.tkey AS title, s.fno AS family_no, s.claim AS parent_title, s.d AS distance
+      FROM alone AS a LEFT JOIN similar_to AS s USING (tkey)""", _SIMILAR),
+    "families_by_similarity": master(f"""SELECT 'FAM-' || CASE WHEN fno < 100000 THEN lpad(fno::VARCHAR, 5, '0') ELSE fno::VARCHAR END AS family_id,
+      parent_id, member_count, coalesce(array_to_string(list_filter(cs, lambda x, i: list_position(cs, x) = i), '|'), '') AS countries, orphan,
+      member_count > {fv.OVERSIZED_ABOVE} AS oversized FROM grouped""", _RELINKED),
     "entity_overlap": master("SELECT hc AS in_curated, hb AS in_bulk, count(*) AS n FROM master GROUP BY ALL"),
     "curated_records": curated(f"""SELECT row_index, section, number AS raw_number, normalized_number, country, patent_type, is_placeholder,
       status, sub_tag, status_raw, title, {_day('filing_date')} AS filing_date, {_day('grant_date')} AS grant_date,

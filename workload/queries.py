@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from masterloom.functions import display, fixed_values as fv
-from masterloom.functions.text import iso
+from masterloom.functions.text import iso, title_key
 from masterloom.operators import families as fam
 from masterloom.operators import overrides, quality, snapshots, stats, view
 from masterloom.operators.dedupe import absorb_duplicates, first_per_key, with_key
@@ -17,6 +17,7 @@ from masterloom.operators.merge import bulk_remainder, has_source
 from masterloom.operators.normalize import normalize_bulk, normalize_curated
 from masterloom.operators.numbering import with_dense_number
 from masterloom.operators.search import search
+from masterloom.operators.similar_titles import PERCENT, best_similar
 from masterloom.plans.mastering import Mastered, build_master
 from masterloom.plans.overview import merge_shape as overview_shape
 from masterloom.plans.overview import overview
@@ -175,6 +176,26 @@ def family_member_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.coalesce(iso(m["filing_date"]), F.lit("-")), F.coalesce(iso(m["grant_date"]), F.lit("-"))))).alias("members"))
 
 
+def similar_title_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every curated foreign record without a parent of its title, and the parent of the most
+    similar title, if one is similar enough."""
+    records = mastered(spark, sf_dir).master.select(
+        "seq", "family_no", "is_orphan", "is_parent", has_source(fv.CURATED).alias("has_curated"),
+        title_key(F.col("title.value")).alias("title_key"))
+    claims = fam.title_claims(records.where("is_parent AND NOT is_orphan")).withColumnRenamed("title_key", "title")
+    alone = records.where("is_orphan AND has_curated").select("seq", F.col("title_key").alias("title"))
+    best = best_similar(alone.select("title"), claims)
+    return alone.join(best, "title", "left").select(
+        "seq", "title", "family_no", F.col("other").alias("parent_title"), "distance")
+
+
+def families_by_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All families, where similar titles link too."""
+    records = written(fam.family_input(mastered(spark, sf_dir).master), "family_input")
+    return fam.build_families(records, similar_percent=PERCENT).families.select(
+        "family_id", "parent_id", "member_count", joined("countries").alias("countries"), "orphan", "oversized")
+
+
 def member_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fam.member_chunks(mastered(spark, sf_dir).master, chunk_bits=8).select(
         "family_id", "chunk", joined("member_ids").alias("member_ids"))
@@ -486,7 +507,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         entity_overlap, curated_records, bulk_records, normalize_number, normalize_status, normalize_owner, raw_payload,
         dedupe_absorb, dedupe_first, bulk_only, merge_master, merge_stats,
         families, family_members, family_member_lists, member_chunks, oversized_families, siblings_of_parents,
-        record_families, record_lookup, family_coverage, exceptions_long, exception_summary, exception_preview, alert_count, alert_records, format_duplicates,
+        similar_title_links, families_by_similarity, record_families, record_lookup, family_coverage, exceptions_long, exception_summary, exception_preview, alert_count, alert_records, format_duplicates,
         curated_summary, bulk_summary, top_countries, merge_shape, taxonomy_lines, taxonomy_models, overview_all, overview_top_lines,
         table_rows, facets, view_page, filtered_by_date_and_type, page_count, export_rows, search_matches, search_long, search_view,
         display_fields, override_apply, snapshot_diff, keep_good, landed_bulk, published_master, published_members, refresh_log,
