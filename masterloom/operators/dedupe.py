@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 NUMBER = "normalized_number"
 KEY = "_key"
+# Columns that are long. The build folds them apart and attaches them last.
+TEXTS = ("abstract", "claims_text")
 
 # Leads the key of a row without a number. Numbers never start with a space.
 _LOOSE = " "
@@ -63,10 +65,10 @@ def absorb_duplicates(df: DataFrame) -> DataFrame:
 
     The first row decides everything except: the first known status, the first
     confirmed owner and the first value of each gap-filled field win, and new
-    inventors of later rows are appended in order.
+    inventors of later rows are appended in order. Texts are folded if present.
     """
     kept = ("raw_number", "country", "patent_type", "is_placeholder", "data_quality_flags", "inventors")
-    gap_filled = ("title", "abstract", "claims_text", "filing_date", "grant_date")
+    gap_filled = [n for n in ("title", *TEXTS, "filing_date", "grant_date") if n in df.columns]
     known = F.col("status.value") != "unknown"
     confirmed = F.col("assignee.is_confirmed_owner")
     folded = df.groupBy(KEY).agg(
@@ -80,3 +82,12 @@ def absorb_duplicates(df: DataFrame) -> DataFrame:
     later = F.array_except(F.coalesce("_names", F.array().cast("array<string>")), first)
     named = folded.join(_names_in_order(df), KEY, "left")
     return named.withColumn("inventors", F.concat(first, later)).drop("_names").withColumn(NUMBER, number_of(F.col(KEY)))
+
+
+def folded_texts(df: DataFrame) -> DataFrame:
+    """The first value of each text per key, as :func:`absorb_duplicates` would choose it.
+
+    The one shuffle that moves texts: each map task leaves one row per key.
+    """
+    some = df.where(F.coalesce(*TEXTS).isNotNull())
+    return some.groupBy(KEY).agg(*[_first(name, where=F.col(name).isNotNull()).alias(name) for name in TEXTS])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.identifiers import record_seed, stable_id
 from ..functions.text import no_strings
-from .dedupe import KEY, NUMBER, absorb_duplicates, first_per_key, number_of, with_key
+from .dedupe import KEY, NUMBER, TEXTS, absorb_duplicates, first_per_key, number_of, with_key
 
 CURATED_FIELDS = (
     "row_index", "raw_number", "country", "patent_type", "is_placeholder", "status", "title",
@@ -41,7 +41,8 @@ def pick(primary: Column, fallback: Column, primary_source: str, fallback_source
 
 
 def _side(df: DataFrame, mark: str, fields: tuple[str, ...]) -> DataFrame:
-    return df.select(KEY, *[F.col(name).alias(mark + name) for name in fields])
+    have = set(df.columns)
+    return df.select(KEY, *[F.col(name).alias(mark + name) for name in fields if name in have])
 
 
 def join_sources(curated: DataFrame, bulk: DataFrame) -> DataFrame:
@@ -94,7 +95,8 @@ def _assignee(has_c: Column, has_b: Column, house: str) -> Column:
 
 
 def build_records(joined: DataFrame, run_at: Column, house_owner: str = fv.HOUSE_OWNER) -> DataFrame:
-    """One attributed record per joined row. ``seq`` is its emission order."""
+    """One attributed record per joined row. ``seq`` is its emission order. Without texts
+    a record has its matching key in their place, for :func:`with_texts`."""
     has_c = F.col("c_row_index").isNotNull()
     has_b = F.col("b_row_index").isNotNull()
     number = F.col(NUMBER)
@@ -121,8 +123,7 @@ def build_records(joined: DataFrame, run_at: Column, house_owner: str = fv.HOUSE
         country.alias("country"),
         (F.coalesce("c_is_placeholder", F.lit(False)) | F.coalesce("b_is_placeholder", F.lit(False))).alias("is_placeholder"),
         either("title").alias("title"),
-        only("b_abstract", fv.BULK).alias("abstract"),
-        only("b_claims_text", fv.BULK).alias("claims_text"),
+        *([only("b_" + name, fv.BULK).alias(name) for name in TEXTS] if "b_" + TEXTS[0] in joined.columns else [F.col(KEY)]),
         either("filing_date").alias("filing_date"),
         either("grant_date").alias("grant_date"),
         attributed(F.lit(None).cast("date"), fv.BULK).alias("publication_date"),
@@ -152,6 +153,13 @@ def merge_sources(curated: DataFrame, bulk: DataFrame, run_at: Column,
     return build_records(join_sources(curated, bulk), run_at, house_owner)
 
 
+def with_texts(records: DataFrame, texts: DataFrame) -> DataFrame:
+    """Records built without texts, with those of their key from :func:`folded_texts`."""
+    found = records.join(texts, KEY, "left")
+    in_place = {KEY: [attributed(F.col(name), fv.BULK).alias(name) for name in TEXTS]}
+    return found.select(*[c for name in records.columns for c in in_place.get(name, [F.col(name)])])
+
+
 def has_source(label: str) -> Column:
     return F.array_contains("_sources", label)
 

@@ -8,34 +8,46 @@ from pyspark.sql import Column, DataFrame
 
 from ..functions import fixed_values as fv
 from ..functions.rules import OwnerRules, StatusRules
+from ..operators.dedupe import TEXTS, folded_texts, with_key
 from ..operators.families import build_families, family_input, with_family
-from ..operators.merge import merge_sources
+from ..operators.merge import merge_sources, with_texts
 from ..operators.normalize import normalize_bulk, normalize_curated
 from ..session import written
 
 
 @dataclass
 class Mastered:
-    """``curated`` and ``bulk``: normalised rows; ``master``: one row per
-    record, family set; ``families``: one row per family."""
+    """``curated`` and ``bulk``: normalised rows, written, without raw cells and texts;
+    ``records``: one row per record, family set, written, without texts; ``texts``: the
+    texts of each matching key; ``master``: the records with their texts;
+    ``families``: one row per family."""
 
     curated: DataFrame
     bulk: DataFrame
-    master: DataFrame
+    records: DataFrame
+    texts: DataFrame
     families: DataFrame
 
+    @property
+    def master(self) -> DataFrame:
+        return with_texts(self.records, self.texts)
+
 
 def build_master(curated_rows: DataFrame, bulk_rows: DataFrame, run_at: Column,
                  status_rules: StatusRules = fv.STATUS_RULES, owner_rules: OwnerRules = fv.OWNER_RULES,
-                 house_owner: str = fv.HOUSE_OWNER, exact_unicode: bool = True) -> Mastered:
+                 house_owner: str = fv.HOUSE_OWNER, exact_unicode: bool = True,
+                 similar_percent: int | None = None) -> Mastered:
     """Run the build.
 
-    The wide columns are read and shuffled once, into the merged table, which
-    is written; family building reads its narrow columns only, and its result
-    is joined back one to one.
+    Rows are folded, merged and grouped into families without their texts. Those are read
+    when the master is: once, through one shuffle by key whose map side keeps a row per
+    key, and joined to the records, which are shuffled by the same key.
     """
-    curated = normalize_curated(curated_rows, status_rules, exact_unicode)
-    bulk = normalize_bulk(bulk_rows, status_rules, owner_rules, exact_unicode)
+    curated = written(normalize_curated(curated_rows, status_rules, exact_unicode).drop("raw"), "curated")
+    normal = normalize_bulk(bulk_rows, status_rules, owner_rules, exact_unicode)
+    bulk = written(normal.drop("raw", *TEXTS), "bulk")
     merged = written(merge_sources(curated, bulk, run_at, house_owner), "merged")
-    built = build_families(family_input(merged))
-    return Mastered(curated, bulk, with_family(merged, built.assignments), built.families)
+    built = build_families(family_input(merged), similar_percent=similar_percent)
+    records = written(with_family(merged, built.assignments), "records")
+    texts = folded_texts(with_key(normal.select("row_index", "normalized_number", *TEXTS), "b"))
+    return Mastered(curated, bulk, records, texts, built.families)

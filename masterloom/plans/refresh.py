@@ -26,16 +26,16 @@ def _one_struct(summary: DataFrame, name: str) -> DataFrame:
 def refresh(spark: SparkSession, curated_rows: DataFrame, bulk_rows: DataFrame, out: str) -> Published:
     """Build and publish everything under the folder ``out``.
 
-    The master is written first and every report reads the written table, so a
-    lost executor repeats a report, not the build.
+    Every report reads the written records, so a lost executor repeats a report, not the build.
     """
     started = time.time()
     run_at = F.lit(datetime.now(timezone.utc).replace(microsecond=0)).cast("timestamp")
     built = build_master(curated_rows, bulk_rows, run_at)
     outputs = Published(spark, out)
 
-    master = written(built.master, "master")
-    replace(master.drop(*BOOKKEEPING), outputs.path("master"))
+    # Only the output holds the texts; every report reads the records, which don't.
+    replace(built.master.drop(*BOOKKEEPING), outputs.path("master"))
+    master = built.records
     replace(built.families, outputs.path("families"))
     replace(family_members(master).drop("seq"), outputs.path("family_members"))
     replace(member_lists(master), outputs.path("member_lists"))

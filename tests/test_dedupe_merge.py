@@ -1,6 +1,7 @@
 """Duplicate folding and merging against plain-Python models."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -8,6 +9,12 @@ from masterloom.functions import fixed_values as fv
 from masterloom.operators.dedupe import absorb_duplicates, first_per_key, with_key
 from masterloom.operators.merge import bulk_remainder, merge_sources
 from masterloom.operators.normalize import normalize_bulk, normalize_curated
+from masterloom.plans.mastering import build_master
+
+
+def run_at():
+    return F.lit("2026-01-01").cast("timestamp")
+
 
 BULK = "row_index long, number string, title string, abstract string, status string, current_assignee string, inventors string, filing_date string"
 CURATED = "row_index long, number string, country string, title string, ip_status string, product_line string, filing_date string"
@@ -101,9 +108,44 @@ def test_merge_fields(spark):
     assert [r.normalized_number for r in bulk_remainder(curated, bulk).orderBy("row_index").collect()] == ["US3", None]
 
 
-def test_merge_shuffles_each_side_once(spark):
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_full_merge_shuffles(spark):
+    """All columns: one exchange per side, two for the inventors, each scan of what it reads only."""
     curated = normalize_curated(spark.createDataFrame([], CURATED))
     bulk = normalize_bulk(spark.createDataFrame([], BULK))
-    plan = merge_sources(curated, bulk, F.lit("2026-01-01").cast("timestamp")).select("id", "title", "abstract")
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert text.count("Exchange hashpartitioning") == 2, text
+    assert exchanges(merge_sources(curated, bulk, run_at())) == 4
+
+
+def test_texts_move_once(spark, tmp_path):
+    """In the plan of the whole master, one scan reads texts and one exchange moves them."""
+    rows = spark.createDataFrame(bulk_rows(2, 300, 40), BULK).withColumn("claims", F.col("abstract"))
+    rows.write.parquet(str(tmp_path / "bulk"))
+    curated = spark.createDataFrame([(i, f"EP{i}", "EP", f"t{i}", "Granted", None, None) for i in range(60)], CURATED)
+    built = build_master(curated, spark.read.parquet(str(tmp_path / "bulk")), run_at())
+    long_plan = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.maxMetadataStringLength": "100000"}
+    for key, value in long_plan.items():
+        spark.conf.set(key, value)
+    plan = built.master._jdf.queryExecution().executedPlan().toString()
+    for key in long_plan:
+        spark.conf.unset(key)
+    schemas = re.findall(r"ReadSchema: struct<(.*?)>\n", plan + "\n", re.S)
+    wide = [schema for schema in schemas if "claims" in schema]
+    assert len(schemas) == 2 and wide == ["row_index:bigint,number:string,abstract:string,claims:string"], schemas
+    # One exchange of the folded texts, one of the records they are joined to.
+    assert plan.count("Exchange hashpartitioning") == 2, plan
+    # No table written before the master holds a text.
+    for df in (built.bulk, built.curated, built.records):
+        assert not {"abstract", "claims_text", "raw"} & set(df.columns)
+
+
+def test_late_texts_change_nothing(spark):
+    curated = spark.createDataFrame([(i, f"EP{i}" if i % 3 else None, "EP", f"t{i}", "Granted", None, None) for i in range(60)], CURATED)
+    bulk = spark.createDataFrame(bulk_rows(3, 500, 40), BULK).withColumn("claims", F.when(F.col("row_index") % 3 == 0, F.col("title")))
+    at_once = merge_sources(normalize_curated(curated), normalize_bulk(bulk), run_at())
+    late = build_master(curated, bulk, run_at()).master
+    assert late.columns[:len(at_once.columns)] == at_once.columns
+    shown = lambda df: sorted(map(str, df.select([c for c in at_once.columns if c != "data_quality_flags"]).collect()))
+    assert shown(late) == shown(at_once)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from masterloom.operators.normalize import normalize_bulk, normalize_curated
 from masterloom.operators.numbering import with_dense_number
 from masterloom.operators.search import search
 from masterloom.operators.similar_titles import PERCENT, best_similar
-from masterloom.plans.mastering import Mastered, build_master
+from masterloom.plans.mastering import build_master
 from masterloom.plans.overview import merge_shape as overview_shape
 from masterloom.plans.overview import overview
 from masterloom.plans.refresh import refresh
@@ -40,17 +41,24 @@ LONG_QUERY = "small widgets and - medium size, brand#25"
 OVERRIDE_STEP = 7919
 LOOKUP_NUMBER = "EP1000074"
 
-_built: dict[tuple[str, str], Mastered] = {}
+@dataclass
+class Built:
+    curated: DataFrame
+    bulk: DataFrame
+    master: DataFrame
+    families: DataFrame
 
 
-def mastered(spark: SparkSession, sf_dir: str) -> Mastered:
+_built: dict[tuple[str, str], Built] = {}
+
+
+def mastered(spark: SparkSession, sf_dir: str) -> Built:
     """The master of a data folder, built and written once per application;
     the reports read the written table."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
         built = build_master(curated_rows(spark, sf_dir), bulk_rows(spark, sf_dir), F.lit(RUN_AT).cast("timestamp"))
-        built.master = written(built.master, "master")
-        _built[key] = built
+        _built[key] = Built(built.curated, built.bulk, written(built.master, "master"), built.families)
     return _built[key]
 
 
