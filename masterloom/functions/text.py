@@ -5,12 +5,11 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from . import fixed_values as fv
+from .decomposition import nfkd
 
 # All characters Unicode counts as whitespace, control separators included.
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
@@ -50,22 +49,15 @@ def clean(text: Column) -> Column:
     return F.when(~is_missing(trimmed), trimmed)
 
 
-@F.pandas_udf(StringType())
-def _nfkd(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
-
-
 def compatibility_form(text: Column, exact: bool = True) -> Column:
     """Rewrite full-width and similar characters to their plain form.
 
-    This is full NFKD; only texts with non-ASCII characters reach the Arrow UDF,
-    others are sent to it as null. ``exact=False`` is native and covers every
-    character with a one-character ASCII equivalent.
+    This is full NFKD, of texts with non-ASCII characters only. ``exact=False`` covers
+    every character with a one-character ASCII equivalent.
     """
     if not exact:
         return F.translate(text, _WIDE, _NARROW)
-    foreign = text.rlike(r"[^\x00-\x7F]")
-    return F.when(foreign, _nfkd(F.when(foreign, text))).otherwise(text)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), nfkd(text)).otherwise(text)
 
 
 def strip_noise(text: Column, exact: bool = True) -> Column:

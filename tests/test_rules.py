@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from masterloom.functions import fixed_values as fv
+from masterloom.functions.decomposition import _tables
 from masterloom.functions.identifiers import stable_id, with_number
 from masterloom.functions.rules import with_owner, with_status
 
@@ -133,9 +134,14 @@ def test_exact_unicode_decomposes(spark):
 
 
 def test_number_filter_stays_above(spark):
-    df = with_number(frame(spark, [("EP1",)], "raw string"), F.col("raw"), prefix="n_").where("n_country = 'EP'")
-    assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 20_000
-    assert df.count() == 1
+    def plan(exact):
+        df = with_number(frame(spark, [("EP1",)], "raw string"), F.col("raw"), prefix="n_", exact_unicode=exact).where("n_country = 'EP'")
+        assert df.count() == 1
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    assert len(plan(False)) < 20_000
+    # The tables of the exact form stand in the plan once.
+    assert plan(True).count("translate(") == 1 and len(plan(True)) < 20_000 + 3 * sum(map(len, _tables().values()))
 
 
 def test_status_cases(spark):

@@ -1,8 +1,11 @@
+import random
+import unicodedata
 from datetime import date
 
 from pyspark.sql import functions as F
 
 from masterloom.functions import display, text
+from masterloom.functions.decomposition import nfkd
 
 
 def values(spark, inputs, make, schema="v string"):
@@ -51,3 +54,24 @@ def test_display(spark):
     assert values(spark, dates, display.decade, "v date") == ["1990s", None]
     link = values(spark, ["CN Z(1)'*!~/é"], lambda c: display.external_link(F.lit(None).cast("string"), c))
     assert link == ["https://patents.google.com/patent/CN%20Z(1)'*!~%2F%C3%A9"]
+
+
+def test_decomposition_of_all_characters(spark):
+    """Every character alone, and random runs of marks and characters that decompose."""
+    chars = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    rng = random.Random(6)
+    marks = [c for c in chars if unicodedata.combining(c)]
+    hard = [c for c in chars if unicodedata.normalize("NFKD", c) != c]
+    texts = ["\n".join(chars[k:k + 60]) for k in range(0, len(chars), 60)]
+    texts += ["".join(rng.choice([rng.choice(marks), rng.choice(marks), rng.choice(hard), "a"]) for _ in range(12)) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, "", None]], "t string").select("t", nfkd(F.col("t")).alias("plain")).collect()
+    assert [r.t for r in rows if r.plain != (None if r.t is None else unicodedata.normalize("NFKD", r.t))] == []
+
+
+def test_normalisation_stays_out_of_python(spark):
+    from masterloom.operators.normalize import normalize_bulk, normalize_curated
+
+    row = spark.createDataFrame([(1, "ＥＰ１２３é")], "row_index long, number string")
+    for df in (normalize_bulk(row), normalize_curated(row)):
+        assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    assert normalize_bulk(row).first().normalized_number.startswith("EP123")
