@@ -160,6 +160,15 @@ def with_texts(records: DataFrame, texts: DataFrame) -> DataFrame:
     return found.select(*[c for name in records.columns for c in in_place.get(name, [F.col(name)])])
 
 
+def texts_of(master: DataFrame) -> DataFrame:
+    """The texts of each matching key, from a master whose bookkeeping is gone: a key is the
+    number, or follows from the bulk row that the emission order ends with."""
+    bulk_row = (F.col("seq") - F.shiftleft(F.lit(3).cast("long"), BUCKET_BITS)).alias("row_index")
+    loose = F.shiftright("seq", BUCKET_BITS) == 3
+    keyed = master.where(F.col(NUMBER).isNotNull() | loose).select(NUMBER, bulk_row, *[F.col(f"{t}.value").alias(t) for t in TEXTS])
+    return with_key(keyed, "b").select(KEY, *TEXTS).where(F.coalesce(*TEXTS).isNotNull())
+
+
 def has_source(label: str) -> Column:
     return F.array_contains("_sources", label)
 

@@ -33,21 +33,34 @@ class Mastered:
         return with_texts(self.records, self.texts)
 
 
-def build_master(curated_rows: DataFrame, bulk_rows: DataFrame, run_at: Column,
-                 status_rules: StatusRules = fv.STATUS_RULES, owner_rules: OwnerRules = fv.OWNER_RULES,
-                 house_owner: str = fv.HOUSE_OWNER, exact_unicode: bool = True,
-                 similar_percent: int | None = None) -> Mastered:
-    """Run the build.
+def normalized_sources(curated_rows: DataFrame, bulk_rows: DataFrame,
+                       status_rules: StatusRules = fv.STATUS_RULES, owner_rules: OwnerRules = fv.OWNER_RULES,
+                       exact_unicode: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Normalised curated and bulk rows without raw cells and texts, and the texts per key."""
+    curated = normalize_curated(curated_rows, status_rules, exact_unicode).drop("raw")
+    normal = normalize_bulk(bulk_rows, status_rules, owner_rules, exact_unicode)
+    texts = folded_texts(with_key(normal.select("row_index", "normalized_number", *TEXTS), "b"))
+    return curated, normal.drop("raw", *TEXTS), texts
+
+
+def build_records(curated: DataFrame, bulk: DataFrame, texts: DataFrame, run_at: Column, house_owner: str = fv.HOUSE_OWNER,
+                  similar_percent: int | None = None) -> Mastered:
+    """Build from *written* normalised rows.
 
     Rows are folded, merged and grouped into families without their texts. Those are read
     when the master is: once, through one shuffle by key whose map side keeps a row per
     key, and joined to the records, which are shuffled by the same key.
     """
-    curated = written(normalize_curated(curated_rows, status_rules, exact_unicode).drop("raw"), "curated")
-    normal = normalize_bulk(bulk_rows, status_rules, owner_rules, exact_unicode)
-    bulk = written(normal.drop("raw", *TEXTS), "bulk")
     merged = written(merge_sources(curated, bulk, run_at, house_owner), "merged")
     built = build_families(family_input(merged), similar_percent=similar_percent)
     records = written(with_family(merged, built.assignments), "records")
-    texts = folded_texts(with_key(normal.select("row_index", "normalized_number", *TEXTS), "b"))
     return Mastered(curated, bulk, records, texts, built.families)
+
+
+def build_master(curated_rows: DataFrame, bulk_rows: DataFrame, run_at: Column,
+                 status_rules: StatusRules = fv.STATUS_RULES, owner_rules: OwnerRules = fv.OWNER_RULES,
+                 house_owner: str = fv.HOUSE_OWNER, exact_unicode: bool = True,
+                 similar_percent: int | None = None) -> Mastered:
+    """Run the build on raw rows."""
+    curated, bulk, texts = normalized_sources(curated_rows, bulk_rows, status_rules, owner_rules, exact_unicode)
+    return build_records(written(curated, "curated"), written(bulk, "bulk"), texts, run_at, house_owner, similar_percent)

@@ -6,8 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from ..operators.overrides import apply_overrides
 from ..operators.search import search
-from ..operators.view import filtered, page, sorted_rows
+from ..operators.view import filtered, page, sorted_rows, table_rows
+from ..sources.published import Published
+
+
+def published_rows(published: Published, tie: str | None = None) -> DataFrame:
+    """The rows of the table as people corrected them: the published master with the latest
+    overrides, which stay in force when a refresh replaces the master."""
+    return table_rows(apply_overrides(published.master(), published.overrides(), tie))
 
 
 def view(rows: DataFrame, query: str = "", statuses: Sequence[str] = (), product_lines: Sequence[str] = (),

@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sinks.files import remove
+
 # Settings the engine relies on; a cluster's own values are left alone.
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -59,11 +63,31 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_folders[application]
 
 
+# Folders of the runs under way, innermost last, by application.
+_runs: dict[str, list[str]] = {}
+
+
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside go to a folder of their own, which is removed at the end,
+    whatever the end. Results that outlive the run must be stored elsewhere."""
+    runs = _runs.setdefault(spark.sparkContext.applicationId, [])
+    folder = os.path.join(scratch_dir(spark), "masterloom", f"run-{uuid.uuid4().hex}")
+    runs.append(folder)
+    try:
+        yield
+    finally:
+        runs.remove(folder)
+        remove(spark, folder)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a frame that several steps read to the scratch folder and read it
     back: the lineage ends there, and every reader scans only its columns."""
     spark = df.sparkSession
-    path = os.path.join(scratch_dir(spark), "masterloom", f"{name}-{uuid.uuid4().hex}")
+    runs = _runs.get(spark.sparkContext.applicationId)
+    folder = runs[-1] if runs else os.path.join(scratch_dir(spark), "masterloom")
+    path = os.path.join(folder, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

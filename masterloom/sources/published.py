@@ -5,16 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sinks.versions import published_versions, versions_folder
+
+
+# Tables that people edit or that outlive a version.
+LASTING = ("taxonomy_product_lines", "taxonomy_models", "overrides", "runs")
+
 
 class Published:
-    """The tables one refresh leaves under a folder."""
+    """The tables of one version under a folder: the newest one, if none is named.
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
+    A reader stays with its version while newer ones come; ask again to see those.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, version: str | None = None) -> None:
         self.spark = spark
         self.folder = folder.rstrip("/")
+        known = published_versions(spark, folder)
+        self.version = version or (known[-1] if known else "")
+        if self.version not in known:
+            raise FileNotFoundError(f"no published version {self.version or 'at all'} in {folder}")
 
     def path(self, name: str) -> str:
-        return f"{self.folder}/{name}"
+        return f"{self.folder}/{name}" if name in LASTING else f"{versions_folder(self.folder)}/{self.version}/{name}"
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
@@ -31,6 +44,13 @@ class Published:
     def refresh_log(self) -> DataFrame:
         return self.read("refresh_log")
 
+    def overrides(self) -> DataFrame:
+        return self.read("overrides")
+
+    def runs(self) -> DataFrame:
+        """Every refresh so far, failed ones included, one row per source."""
+        return self.read("runs")
+
     def taxonomy(self) -> tuple[DataFrame, DataFrame]:
         """Product lines and models."""
         return self.read("taxonomy_product_lines"), self.read("taxonomy_models")

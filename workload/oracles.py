@@ -454,6 +454,12 @@ ORACLES: dict[str, str] = {
     "keep_good": master(f"SELECT seq, {_KEPT}, nk IS NULL OR starts_with(ns, 'error') AS stale FROM j", _LOG, _SNAPSHOTS),
     "landed_bulk": f"""SELECT row_number() OVER (ORDER BY row_index) - 1 AS row_index, {_LANDED} FROM ({BULK_SQL})""",
     "published_master": master(f"SELECT seq, id, normalized_number, country, title, status, family_id, {_text('flags')} AS flags FROM master"),
+    "published_view": master("""SELECT m.seq, m.id, title, coalesce(o_status, status) AS status, coalesce(o_line, product_line) AS product_line,
+      CASE WHEN o_conf IS NULL THEN confirmed ELSE o_conf = 'true' END AS is_confirmed_owner, family_id
+      FROM master AS m LEFT JOIN wide AS w ON w.id = m.id WHERE coalesce(o_exclude, 'false') <> 'true'""", _LOG),
+    "kept_source": master("SELECT seq, id, normalized_number, title, abstract, claims_text, family_id, hb AS stale FROM master"),
+    "published_taxonomy": master("""SELECT 'product_line' AS field, product_line AS name, count(*) AS count FROM master
+      WHERE product_line <> '' GROUP BY 2 UNION ALL SELECT 'model', model, count(*) FROM master WHERE model <> '' GROUP BY 2"""),
     "published_members": master("SELECT family_id, member_count, member_count AS members FROM families"),
     "refresh_log": master("""SELECT count(*) AS total_records, count(*) FILTER (hc AND hb) AS matched, count(DISTINCT fno) AS families,
       (SELECT count(*) FROM curated) AS curated_rows, (SELECT count(*) FROM bulk) AS bulk_rows,

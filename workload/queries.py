@@ -23,6 +23,7 @@ from masterloom.plans.mastering import build_master
 from masterloom.plans.overview import merge_shape as overview_shape
 from masterloom.plans.overview import overview
 from masterloom.plans.refresh import refresh
+from masterloom.plans.view import published_rows
 from masterloom.plans.view import view as table_view
 from masterloom.session import scratch_dir, written
 from masterloom.sinks.tables import export_csv, export_json
@@ -457,6 +458,32 @@ def published_master(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("status.value").alias("status"), "family_id", joined("data_quality_flags").alias("flags"))
 
 
+def published_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of a published version with the corrections logged beside it."""
+    out = published(spark, sf_dir)
+    if out.overrides().isEmpty():
+        log = _override_log(spark, sf_dir).withColumn("applied_by", F.format_string("reviewer %012d", "event_id"))
+        log.select(out.overrides().columns).write.mode("append").parquet(out.path("overrides"))
+    return published_rows(out, tie="applied_by").select(
+        "seq", "id", "title", "status", "product_line", "is_confirmed_owner", "family_id")
+
+
+def kept_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A refresh that could not land the bulk source: its last good rows serve again."""
+    out = published(spark, sf_dir)
+    again = refresh(spark, curated_rows(spark, sf_dir), None, out.folder, errors={fv.BULK: "not landed"})
+    return again.master().select(
+        "seq", "id", "normalized_number", F.col("title.value").alias("title"), F.col("abstract.value").alias("abstract"),
+        F.col("claims_text.value").alias("claims_text"), "family_id", F.col("stale_since").isNotNull().alias("stale"))
+
+
+def published_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The taxonomies as seeded, each value with its count."""
+    lines, models = published(spark, sf_dir).taxonomy()
+    return lines.select(F.lit("product_line").alias("field"), "name", "count").unionByName(
+        models.select(F.lit("model").alias("field"), "name", "count"))
+
+
 def published_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = published(spark, sf_dir)
     sizes = out.read("member_lists").groupBy("family_id").agg(F.sum(F.size("members")).alias("members"))
@@ -518,7 +545,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         similar_title_links, families_by_similarity, record_families, record_lookup, family_coverage, exceptions_long, exception_summary, exception_preview, alert_count, alert_records, format_duplicates,
         curated_summary, bulk_summary, top_countries, merge_shape, taxonomy_lines, taxonomy_models, overview_all, overview_top_lines,
         table_rows, facets, view_page, filtered_by_date_and_type, page_count, export_rows, search_matches, search_long, search_view,
-        display_fields, override_apply, snapshot_diff, keep_good, landed_bulk, published_master, published_members, refresh_log,
+        display_fields, override_apply, snapshot_diff, keep_good, landed_bulk, published_master, published_members, published_view, published_taxonomy,
+        kept_source, refresh_log,
         csv_round_trip, json_round_trip, freshness, expiry_bands, split_product_lines,
     )
 }
