@@ -40,6 +40,8 @@ WORDS_HELD = 300_000
 CHUNK_CHARS = 2_000_000
 UNKNOWN_PENALTY = 10.0
 PAIRS_HELD = 1_000_000
+# Bytes of text that one Arrow array of a batch may hold.
+MOST_BYTES = 1 << 30
 
 
 @dataclass
@@ -116,6 +118,9 @@ def merged(symbols: str, model: PieceModel) -> list[str]:
         parts[i:i + 2] = [parts[i] + parts[i + 1]]
 
 
+ONE = (1,)
+
+
 class Encoder:
     """Encodes sorted words, with the forward states of shared prefixes."""
 
@@ -124,6 +129,12 @@ class Encoder:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.reachable: dict[str, bool] = {}
         self.worst = min(model.scores.values(), default=0.0) - UNKNOWN_PENALTY
+        # Lengths of the pieces that end in two characters, longest first: no others are tried.
+        ends: dict[str, set[int]] = {}
+        for piece in model.ids:
+            if len(piece) > 1:
+                ends.setdefault(piece[-2:], set()).add(len(piece))
+        self.lengths = {end: (*sorted(found, reverse=True), 1) for end, found in ends.items()}
 
     def _stands(self, piece: str) -> bool:
         found = self.reachable.get(piece)
@@ -143,9 +154,12 @@ class Encoder:
 
     def _forward_bpe(self, word: str, start: list[int], i: int) -> None:
         ids, begin = self.model.ids, start
-        for j in range(max(0, i - self.model.longest), i):
+        for size in self.lengths.get(word[i - 2:i], ONE):
+            j = i - size
+            if j < 0:
+                continue
             piece = word[j:i]
-            if piece not in ids and j < i - 1:
+            if size > 1 and piece not in ids:
                 continue
             if self._stands(piece) and (j == 0 or self._next_to(word[begin[j]:j], piece)):
                 begin.append(j)
@@ -154,7 +168,10 @@ class Encoder:
 
     def _forward_unigram(self, word: str, start: list[int], score: list[float], i: int) -> None:
         best, at = None, i - 1
-        for j in range(max(0, i - self.model.longest), i):
+        for size in self.lengths.get(word[i - 2:i], ONE):
+            j = i - size
+            if j < 0:
+                continue
             s = self.model.scores.get(word[j:i])
             if s is None:
                 if j < i - 1:
@@ -249,9 +266,19 @@ def decode_ids(ids: list[int], model: PieceModel, byte_of: dict[int, int]) -> st
     return text[1:] if model.add_prefix and text.startswith(" ") else text
 
 
+# Words of the model a worker used last, by the broadcast it came in.
+_held: list = [None, None]
+
+
+def _words_of(model) -> _Words:
+    if _held[0] is not model:
+        _held[:] = model, _Words(model.value)
+    return _held[1]
+
+
 def _encoding(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(model.value)
+        words = _words_of(model)
         for batch in batches:
             at = batch.schema.get_field_index("_sp_text")
             done = 0
@@ -268,16 +295,51 @@ def _encoding(model):
     return run
 
 
+class Decoder:
+    """Pieces as one flat table of UTF-8 bytes, from which ids gather their text."""
+
+    def __init__(self, model: PieceModel):
+        self.model = model
+        self.byte_of = {i: b for b, i in enumerate(model.bytes) if i >= 0}
+        pieces = [bytes([self.byte_of[i]]) if i in self.byte_of else (" ⁇ " if i == model.unknown else t.replace(MARK, " ")).encode()
+                  for i, t in enumerate(model.text)]
+        self.flat = np.frombuffer(b"".join(pieces), np.uint8)
+        self.size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.first = np.cumsum(self.size) - self.size
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """Texts of the ids between each two neighbouring bounds."""
+        size = self.size[ids]
+        ends = np.append(0, np.cumsum(size))
+        if ends[-1] > MOST_BYTES:
+            return self._one_by_one(ids, bounds)
+        data = self.flat[np.repeat(self.first[ids] - ends[:-1], size) + np.arange(ends[-1])]
+        begin = ends[bounds]
+        if self.model.add_prefix:
+            # The space put before a text goes again.
+            led = (begin[:-1] < begin[1:]) & (data[np.minimum(begin[:-1], max(0, len(data) - 1))] == 32) if len(data) else np.zeros(len(begin) - 1, bool)
+            data = np.delete(data, begin[:-1][led])
+            begin = begin - np.append(0, np.cumsum(led))
+        texts = pa.Array.from_buffers(pa.string(), len(begin) - 1, [None, pa.py_buffer(begin.astype(np.int32)), pa.py_buffer(data)])
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:
+            # Bytes that are no text: only runs of byte pieces hold such, and stand for marks.
+            return self._one_by_one(ids, bounds)
+        return texts
+
+    def _one_by_one(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        return pa.array([decode_ids(ids[a:b].tolist(), self.model, self.byte_of) for a, b in zip(bounds, bounds[1:])], pa.string())
+
+
 def _decoding(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        byte_of = {i: b for b, i in enumerate(model.value.bytes) if i >= 0}
+        decoder = Decoder(model.value)
         for batch in batches:
-            at = batch.schema.get_field_index("piece_ids")
-            texts = []
-            for ids in batch.column(at):
-                texts.append(decode_ids(ids.values.to_pylist() if ids.is_valid else [], model.value, byte_of))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+            lists = batch.column(batch.schema.get_field_index("piece_ids"))
+            lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            texts = decoder.decode(lists.flatten().to_numpy(), np.append(0, np.cumsum(lengths, dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "decoded"])
 
     return run
 

@@ -81,3 +81,28 @@ def test_odd_rows(spark):
         assert r["decoded"] == (r["text"] or "").replace("▁", " ")
         assert r["text"] or r["piece_ids"] == []
     assert encode(docs.limit(0), model).count() == 0
+
+
+def test_decoder_equals_decoding_id_by_id():
+    """Random ids of both kinds of model: bytes that are no text, unknown pieces, empty lists."""
+    import numpy as np
+
+    from masterloom.llm.pieces import Decoder, decode_ids
+
+    model = load_model(MODEL)
+    decoder, rng = Decoder(model), random.Random(12)
+    for sane in (True, False):
+        lists = [[rng.choice([rng.randrange(len(model.text)), model.unknown, *([] if sane else model.bytes[:256])]) for _ in range(rng.randrange(9))]
+                 for _ in range(400)]
+        if sane:
+            lists = [[i for i in ids if i not in decoder.byte_of] for ids in lists] + encode_lists(model)
+        bounds = np.cumsum([0, *map(len, lists)])
+        got = decoder.decode(np.array([i for ids in lists for i in ids], np.int32), bounds).to_pylist()
+        assert got == [decode_ids(ids, model, decoder.byte_of) for ids in lists]
+    assert decoder.decode(np.zeros(0, np.int32), np.zeros(3, np.int64)).to_pylist() == ["", ""]
+
+
+def encode_lists(model):
+    texts = ["", " ", "  two", "Grün \U0001f600 x", "a\nb", "日本語 text"]
+    ids, bounds = encode_texts(texts, model)
+    return [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
