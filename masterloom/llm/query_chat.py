@@ -21,7 +21,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.withColumn("turns", read_back(F.col("whole")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
-        "conv_id", F.size("turns").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"),
         F.length("whole").cast("long").alias("formatted_chars"), "valid", "ends_open")
 
@@ -52,7 +52,7 @@ whole AS (
     sum(12 + length(role) + 1 + length(text) + 11 + len(regexp_extract_all(text, '<\\*\|'))) AS formatted_chars,
     bool_and(fits) AS fits, max(role) FILTER (place_back = 1) AS last_role
   FROM judged GROUP BY conv_id)
-SELECT conv_id, n_turns::INTEGER AS n_turns, sha256(turns) AS turns_sha256, length(learnt) AS loss_chars,
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learnt) AS loss_chars,
   sha256(learnt) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars,
   fits AND last_role = 'assistant' AS valid, fits AND last_role <> 'assistant' AS ends_open
 FROM whole
