@@ -38,6 +38,7 @@ PER_LABEL, SAMPLE = 400, 2000
 STEPS, BATCH, RATE = 2000, 32, 0.5
 REJECT_BELOW = 0.5
 UNKNOWN = "und"
+# What may be a letter: numerals such as ``½`` or ``Ⅷ`` are sorted out after it.
 LETTER = re.compile(r"[^\W\d_]")
 GRAMS = (2, 3, 4)
 BLOCK = 1 << 18
@@ -217,9 +218,13 @@ def predictor(model: Model, reject_below: float):
     return run
 
 
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in LETTER.finditer(text))
+
+
 def _judge(model: Model, scorer: _Scorer, texts: list[str]) -> tuple[list[str], list[float]]:
     labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    own = [i for i, t in enumerate(texts) if model.labels and LETTER.search(t)]
+    own = [i for i, t in enumerate(texts) if model.labels and has_letter(t)]
     if not own:
         return labels, scores
     words = [split_words(texts[i].lower().encode()) for i in own]

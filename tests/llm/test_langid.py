@@ -51,3 +51,10 @@ def test_few_labels(spark, labels):
 
 def test_fit_of_nothing():
     assert fit([], []).labels == ()
+
+
+def test_numerals_are_no_letters(spark):
+    model = train(labelled(frame(spark, [(1, "some words", "en", "s", 1), (2, "andere Worte", "de", "s", 1)])), F.lit(True))
+    texts = ["½ ²", "①Ⅷ", "½ a", "²ß", "७ 3"]
+    got = predict(frame(spark, [(i, t, None, "s", 1) for i, t in enumerate(texts)]), model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] == "und" for r in got] == [True, True, False, False, True]
