@@ -19,7 +19,9 @@ original components (single precision, as given) are shuffled.
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components
 link with nothing, and are components of their own; vectors of different lengths never
 link; rows with equal id are rows of their own (each gets a row with the links of
-its vector; they count as linked copies if equal); an empty table gives no rows.
+its vector; they count as linked copies if equal); rows with a null id link like others, never
+give a component its number, and are kept only if no row of it has an id (component_id is
+null then); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ SLICE = 8192
 SLACK = 1e-4
 ROWS_AT_ONCE = 512
 PAIRS_AT_ONCE = 50_000
+# Ids lie below this; classes without one are numbered from here.
+UNNAMED = 1 << 62
 
 
 def rotation(dims: int, seed: int = 5) -> np.ndarray:
@@ -173,8 +177,10 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, width: int = BLOCK_WID
     every = every.withColumn("ok", usable(F.col("vector")))
     # -0.0 equals 0.0 in a cosine; adding zero makes them one.
     good = every.where("ok").select("vec_id", F.transform("vector", lambda x: x + F.lit(0.0).cast("float")).alias("vector"))
+    # Vectors that only rows without an id have are classes too, numbered above all ids.
+    unnamed = F.lit(UNNAMED) + F.xxhash64("vector").bitwiseAND(F.lit(UNNAMED - 1))
     classes = good.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-    classes = written(classes.where("id IS NOT NULL"), "vec-classes")
+    classes = written(classes.withColumn("id", F.coalesce("id", unnamed)), "vec-classes")
     cells = written(classes.mapInPandas(
         _cells(cosine, width),
         f"dims int, block int, cell int, id long, copies long, {classes.select('vector').schema[0].name} "
@@ -216,7 +222,9 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, width: int = BLOCK_WID
                 F.coalesce("component", "id").alias("component_id")), "vec-known")
     members = every.select("vec_id", "ok", F.when(F.col("ok"), F.transform("vector", lambda x: x + F.lit(0.0).cast("float"))).alias("vector"))
     joined = members.join(known, "vector", "left")
-    component = F.coalesce("component_id", "vec_id")
+    named = lambda name: F.when(F.col(name) < UNNAMED, F.col(name))
+    component = F.coalesce(named("component_id"), "vec_id")
     return joined.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-        F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), F.coalesce("class_id", "vec_id").alias("class_id"))
+        F.when(F.col("vec_id").isNull(), component.isNull()).otherwise(F.col("vec_id") == component).alias("kept"),
+        F.coalesce(named("class_id"), "vec_id").alias("class_id"))

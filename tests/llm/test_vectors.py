@@ -6,7 +6,7 @@ import pytest
 from masterloom.llm.common import table
 from masterloom.llm.vectors import near_vectors
 
-from .helpers import SF, frame
+from .helpers import SF, clashing, frame
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -57,3 +57,13 @@ def test_whole_table(spark):
 
 def test_empty(spark):
     assert near_vectors(frame(spark, [], SCHEMA)).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows without an id link like any other; a component of such rows alone has no number."""
+    rows = [(1, [1.0, 0.0]), (None, [1.0, 0.05]), (None, [-1.0, 0.0]), (None, [-1.0, 0.01]), (None, [0.0, 1.0]), (9, [0.0, -1.0]),
+            (9, [0.0, -1.0]), (None, None)]
+    df = clashing(frame(spark, [(i, v, 0) for i, v in rows], SCHEMA))
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(df).collect()), key=str)
+    assert got == sorted([(1, 1, 1, True), (None, 1, 1, False), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True),
+                          (9, 1, 9, True), (9, 1, 9, True), (None, 0, None, True)], key=str)
