@@ -29,10 +29,20 @@ from masterloom.llm.substrings import dedup_substrings
 from masterloom.session import scratch_dir
 
 
+def _apart(docs: DataFrame, *used: str) -> DataFrame:
+    """The documents with all but the columns ``used`` under reserved names, so that what a
+    stage adds can't replace a column of theirs."""
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in used else f"_own_{i}") for i, c in enumerate(docs.columns)])
+
+
+def _restored(df: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`" if c in used else f"_own_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is told with enough confidence."""
     model = train(labelled(docs), F.lit(True))
-    return predict(docs, model).where("accepted").select(*docs.columns)
+    return _restored(predict(_apart(docs, "text"), model).where("accepted"), docs, "text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +52,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take repeated passages out; other texts stay as they are. ``n_chars`` follows."""
-    found = dedup_substrings(docs)
+    used = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
+    found = dedup_substrings(_apart(docs, *used))
     cut = F.col("n_removed") > 0
     changed = {"text": F.when(cut, F.col("kept_text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumns(changed).select(*docs.columns)
+    return _restored(found.withColumns(changed), docs, *used)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
