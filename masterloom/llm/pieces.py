@@ -39,9 +39,9 @@ MARK = "▁"
 WORDS_HELD = 300_000
 CHUNK_CHARS = 2_000_000
 UNKNOWN_PENALTY = 10.0
-PAIRS_HELD = 1_000_000
-# Bytes of text that one Arrow array of a batch may hold.
-MOST_BYTES = 1 << 30
+PAIRS_HELD = 300_000
+# Bytes of text that one Arrow array of a batch may hold, ids decoded at a time.
+MOST_BYTES, IDS_AT_ONCE = 1 << 30, 1 << 19
 
 
 @dataclass
@@ -313,7 +313,11 @@ class Decoder:
         ends = np.append(0, np.cumsum(size))
         if ends[-1] > MOST_BYTES:
             return self._one_by_one(ids, bounds)
-        data = self.flat[np.repeat(self.first[ids] - ends[:-1], size) + np.arange(ends[-1])]
+        data = np.empty(ends[-1], np.uint8)
+        for k in range(0, len(ids), IDS_AT_ONCE):
+            part = slice(k, k + IDS_AT_ONCE)
+            a, b = ends[k], ends[min(k + IDS_AT_ONCE, len(ids))]
+            data[a:b] = self.flat[np.repeat(self.first[ids[part]] - ends[:-1][part], size[part]) + np.arange(a, b)]
         begin = ends[bounds]
         if self.model.add_prefix:
             # The space put before a text goes again.
