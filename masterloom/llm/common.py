@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,8 +33,3 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
     their names, can't clash with those an operator makes. Missing ones are null."""
     have = set(df.columns)
     return df.select(*[F.col(f"`{n}`") if n in have else F.lit(None).alias(n) for n in names])
-
-
-def python_path() -> str:
-    """Folder that holds the package, for messages only."""
-    return os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
