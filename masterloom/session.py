@@ -81,11 +81,13 @@ def scratch_run(spark: SparkSession) -> Iterator[None]:
         remove(spark, folder)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
     """Write a frame that several steps read to the scratch folder and read it
-    back: the lineage ends there, and every reader scans only its columns."""
+    back: the lineage ends there, and every reader scans only its columns.
+    With ``outlive`` the table belongs to what encloses the innermost run, and stays when that ends."""
     spark = df.sparkSession
-    runs = _runs.get(spark.sparkContext.applicationId)
+    runs = _runs.get(spark.sparkContext.applicationId, [])
+    runs = runs[:-1] if outlive else runs
     folder = runs[-1] if runs else os.path.join(scratch_dir(spark), "masterloom")
     path = os.path.join(folder, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
