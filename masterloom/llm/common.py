@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,3 +34,11 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
     their names, can't clash with those an operator makes. Missing ones are null."""
     have = set(df.columns)
     return df.select(*[F.col(f"`{n}`") if n in have else F.lit(None).alias(n) for n in names])
+
+
+def freed(spark: SparkSession) -> None:
+    """Let go of what finished jobs left behind. Spark removes shuffle files and status data once the
+    driver's garbage collector finds no plan that refers to them, which a driver with
+    little to do may not come to for a long time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -154,11 +154,20 @@ def train(docs: DataFrame, learn: Column, per_label: int = PER_LABEL, sample: in
     texts = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text")
     texts = texts.groupBy("doc_id", "lang").agg(F.max("text").alias("text")).select("lang", "text")
     got = texts.mapInArrow(_read_features, "lang string, buckets array<int>, shares array<float>").toArrow()
-    features = [(np.asarray(x, np.int32), np.asarray(s, np.float32))
-                for x, s in zip(got["buckets"].to_pylist(), got["shares"].to_pylist())]
+    langs = got["lang"].to_pylist()
+    features = list(zip(_arrays(got["buckets"], np.int32), _arrays(got["shares"], np.float32)))
     # Rows come in any order; training starts from a fixed one.
-    order = sorted(range(len(features)), key=lambda i: (got["lang"][i].as_py(), features[i][0].tobytes(), features[i][1].tobytes()))
-    return fit([features[i] for i in order], [got["lang"][i].as_py() for i in order])
+    order = sorted(range(len(features)), key=lambda i: (langs[i], features[i][0].tobytes(), features[i][1].tobytes()))
+    return fit([features[i] for i in order], [langs[i] for i in order])
+
+
+def _arrays(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    """The lists of a column, as views of its flat values."""
+    out = []
+    for chunk in column.chunks:
+        values, ends = np.asarray(chunk.values, kind), np.asarray(chunk.offsets)
+        out += [values[a:b] for a, b in zip(ends, ends[1:])]
+    return out
 
 
 class _Scorer:

@@ -40,7 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import scratch_run, written
+from .common import freed
 from .links import components
 from .tokens import WordHashes, chunked, mixed, raw, run_hashes, split_words
 
@@ -192,49 +193,88 @@ def _stacked(rows: list[tuple], column: int, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(r[column] for r in rows), np.uint8).reshape(len(rows), width)
 
 
-def _compare(similar: float, best: bool):
-    """Pairs of different components in one tile of a bucket, from rows (bucket,
-    left, right, side, band, id, component, sketch, wide, hashes): all that may be similar, or
-    for each row outside the largest component the most alike."""
-    least, least_wide = least_agreement(similar), least_agreement(similar, WIDE)
+def _sided(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[tuple], bool]]:
+    """Both sides of each tile with two components or more, from rows (bucket, left, right,
+    side, id, component, ...), and whether the sides are the same rows."""
+    for rows in _groups(batches, 3):
+        same = rows[0][1] == rows[0][2]
+        sides = [[r for r in rows if r[3] == 0], [r for r in rows if r[3] == (0 if same else 1)]]
+        if sides[0] and sides[1] and len({r[5] for r in rows}) > 1:
+            yield *sides, same
+
+
+def _partners(x: np.ndarray, y: np.ndarray, cx: np.ndarray, cy: np.ndarray, same: bool, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of one side the rows of the other of different components whose sketches
+    agree enough, and in how many slots; pairs of one slice come once."""
+    # The largest component is never compared with itself: its rows come last.
+    values, counts = np.unique(cx, return_counts=True)
+    order = np.argsort(cx == values[counts.argmax()], kind="stable")
+    for place, i in enumerate(order):
+        j = np.nonzero(cy != cx[i])[0] if not same else order[place + 1:][cy[order[place + 1:]] != cx[i]]
+        if len(j):
+            share = (y[j] == x[i]).mean(axis=1)
+            j, share = j[share >= least], share[share >= least]
+            if len(j):
+                yield i, j, share
+
+
+def _best(similar: float):
+    """(a, b, share, component): for rows of a tile the partner with the most alike sketch.
+    Rows of a bucket's largest component are partners only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, 3):
-            same = rows[0][1] == rows[0][2]
-            sides = [[r for r in rows if r[3] == 0], [r for r in rows if r[3] == (0 if same else 1)]]
-            if not sides[0] or not sides[1] or len({r[6] for r in rows}) < 2:
-                continue
-            band = rows[0][4]
-            (x, y), (wx, wy) = ([_stacked(s, c, n) for s in sides] for c, n in ((7, SLOTS), (8, WIDE)))
-            bx, by = (_stacked(s, 9, BANDS * 8).view(np.uint64) for s in sides)
-            cx, cy = (np.array([r[6] for r in s], np.int64) for s in sides)
-            ids, others = (np.array([r[5] for r in s], np.int64) for s in sides)
-            # The largest component is never compared with itself: its rows come last.
-            values, counts = np.unique(cx, return_counts=True)
-            order = np.argsort(cx == values[counts.argmax()], kind="stable")
-            a, b, n, c = [], [], [], []
-            for place, i in enumerate(order):
-                j = np.nonzero(cy != cx[i])[0] if not same else order[place + 1:][cy[order[place + 1:]] != cx[i]]
-                if not len(j):
-                    continue
-                j = j[(y[j] == x[i]).mean(axis=1) >= least]
-                if not len(j):
-                    continue
+        for left, right, same in _sided(batches):
+            x, y = _stacked(left, 6, SLOTS), _stacked(right, 6, SLOTS)
+            cx, cy = (np.array([r[5] for r in s], np.int64) for s in (left, right))
+            found = [(left[i][4], right[j[share.argmax()]][4], share.max(), cx[i])
+                     for i, j, share in _partners(x, y, cx, cy, same, least_agreement(similar))]
+            if found:
+                own, other, share, component = zip(*found)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(own, other)), pa.array(np.maximum(own, other)), pa.array(share, pa.float64()),
+                     pa.array(component, pa.int64())], names=["a", "b", "share", "component"])
+
+    return run
+
+
+def _left(similar: float):
+    """(bucket, id) of the rows of a tile that any partner may be similar to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for left, right, same in _sided(batches):
+            x, y = _stacked(left, 6, SLOTS), _stacked(right, 6, SLOTS)
+            cx, cy = (np.array([r[5] for r in s], np.int64) for s in (left, right))
+            mine, others = np.zeros(len(left), bool), np.zeros(len(right), bool)
+            for i, j, _ in _partners(x, y, cx, cy, same, least_agreement(similar)):
+                mine[i] = True
+                others[j] = True
+            ids = [r[4] for r, use in zip(left, mine) if use] + [r[4] for r, use in zip(right, others) if use]
+            if ids:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([left[0][0]] * len(ids), pa.int64()), pa.array(ids, pa.int64())], names=["bucket", "id"])
+
+    return run
+
+
+def _all(similar: float):
+    """(a, b) of the pairs of a tile that may be similar, in the first band they share."""
+    wide = least_agreement(similar, WIDE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for left, right, same in _sided(batches):
+            (x, y), (wx, wy) = ([_stacked(s, c, n) for s in (left, right)] for c, n in ((6, SLOTS), (7, WIDE)))
+            bx, by = (_stacked(s, 8, BANDS * 8).view(np.uint64) for s in (left, right))
+            cx, cy, ids, others = (np.array([r[c] for r in s], np.int64) for c in (5, 4) for s in (left, right))
+            bucket, a, b = np.int64(left[0][0]).astype(np.uint64), [], []
+            for i, j, _ in _partners(x, y, cx, cy, same, least_agreement(similar)):
                 # Slots are bytes here and may agree by chance where the bucket differs.
-                own = (by[j] == bx[i]).argmax(axis=1) == band
-                share = (wy[j] == wx[i]).mean(axis=1)
-                own &= share >= least_wide
-                j, share = j[own], share[own]
-                if best and len(j):
-                    j, share = j[[share.argmax()]], share[[share.argmax()]]
-                a += [min(ids[i], others[k]) for k in j]
-                b += [max(ids[i], others[k]) for k in j]
-                n += share.tolist()
-                c += [cx[i]] * len(j)
+                shared = by[j] == bx[i]
+                own = bx[i][shared.argmax(axis=1)] == bucket
+                j = j[own & ((wy[j] == wx[i]).mean(axis=1) >= wide)]
+                a.append(np.minimum(ids[i], others[j]))
+                b.append(np.maximum(ids[i], others[j]))
             if a:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.float64()), pa.array(c, pa.int64())],
-                    names=["a", "b", "share", "component"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     return run
 
@@ -273,11 +313,21 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR, shing
 def near_documents(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(doc, key, class_id, component_id) for each distinct id and text of ``docs``.
 
-    ``doc`` is the id (null as the lowest long), ``key`` a digest of the text.
+    ``doc`` is the id (null as the lowest long), ``key`` a digest of the text. Tables
+    written on the way are removed once the classes are known.
     """
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    with scratch_run(docs.sparkSession):
+        known = written(_classes(rows, similar), "near-known", outlive=True)
+    return rows.select("doc", "key").join(known, "key", "left").select(
+        "doc", "key", F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("component_id", "doc").alias("component_id"))
+
+
+def _classes(rows: DataFrame, similar: float) -> DataFrame:
+    """(key, class_id, component_id) of the distinct texts with words of ``rows`` (doc, key, text)."""
+    spark = rows.sparkSession
     worded = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     sketched = worded.select("doc", "key", "text").mapInArrow(_sketch, "doc long, key binary, bands array<long>, sketch binary, hashes binary")
     # A class of equal texts goes by a hash of its key; ids may repeat.
@@ -285,9 +335,9 @@ def near_documents(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         F.min("doc").alias("doc"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("hashes").alias("hashes"))
         .withColumn("id", F.xxhash64("key")), "near-classes")
 
-    banded = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
+    banded = reps.select("id", F.explode("bands").alias("bucket"))
     crowded = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = written(banded.join(crowded, "bucket").select("bucket", "band", "id", "pivot", "n"), "near-members")
+    members = written(banded.join(crowded, "bucket").select("bucket", "id", "pivot"), "near-members")
     shared = members.where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("bands"))
     turn = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("bands"), "pivot"))
     best = shared.withColumn("turn", turn).where(F.col("turn") <= PIVOTS)
@@ -295,18 +345,17 @@ def near_documents(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     texts = written(
         worded.join(chosen, (F.col("key") == F.col("_key")) & (F.col("doc") == F.col("_doc")))
         .dropDuplicates(["key", "doc"]).select("id", "text"), "near-texts")
+    freed(spark)
     links = written(verified(best.select(F.col("pivot").alias("a"), F.col("id").alias("b")), texts, similar), "near-links")
     labels = written(components(links), "near-labels")
 
-    wide = written(texts.join(_mixed_up(members, labels).select("id").distinct(), "id").select("id", "text").mapInArrow(
-        _widely, "id long, wide binary"), "near-wide")
-    sketches = written(reps.select("id", "sketch", "hashes").join(wide, "id"), "near-sketches")
-    for best in [True] * ROUNDS + [False]:
-        pairs = _cross_pairs(members, sketches, labels, similar, best)
-        if best:
-            pairs = pairs.groupBy("component").agg(F.max_by(F.struct("a", "b"), F.struct("share", "a", "b")).alias("p")).select(
-                "p.a", "p.b").distinct()
-        fresh = written(verified(pairs.select("a", "b"), texts, similar), "near-links")
+    wide = texts.join(_mixed_up(members, labels).select("id").distinct(), "id").select("id", "text").mapInArrow(
+        _widely, "id long, wide binary")
+    sketches = written(reps.select("id", "sketch", "hashes").join(wide, "id").select("id", "sketch", "wide", "hashes"), "near-sketches")
+    for find in [_best_pairs] * ROUNDS + [_all_pairs]:
+        pairs = written(find(members, sketches, labels, similar), "near-pairs")
+        fresh = written(verified(pairs, texts, similar), "near-links")
+        freed(spark)
         if not fresh.isEmpty():
             # Components found so far are stars already.
             known = labels.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
@@ -315,32 +364,55 @@ def near_documents(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         "key", "class_id", F.coalesce("component", "id").alias("label"))
     named = written(named, "near-named")
     smallest = written(named.groupBy("label").agg(F.min("class_id").alias("component_id")), "near-smallest")
-    known = written(named.join(smallest, "label").select("key", "class_id", "component_id"), "near-known")
-    return rows.select("doc", "key").join(known, "key", "left").select(
-        "doc", "key", F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("component_id", "doc").alias("component_id"))
+    return named.join(smallest, "label").select("key", "class_id", "component_id")
 
 
 def _mixed_up(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components."""
-    placed = members.join(labels, "id", "left").select(
-        "bucket", "band", "id", "n", F.coalesce("component", "id").alias("component"))
-    several = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
-        "low <> high").select("bucket")
-    return placed.join(several, "bucket")
-
-
-def _cross_pairs(members: DataFrame, sketches: DataFrame, labels: DataFrame, similar: float, best: bool) -> DataFrame:
-    """(a, b, share, component) of pairs that share a bucket, are of different
-    components and may be similar; see :func:`_compare`."""
-    slices = F.ceil(F.col("n") / SLICE).cast("int")
-    own = _mixed_up(members, labels).withColumn("slices", slices).withColumn(
-        "own", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
-    tiles = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).join(sketches, "id")
-    tile = tiles.select(
-        "bucket", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"), "band", "id", "component", "sketch", "wide", "hashes")
-    return tile.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "side", "id").mapInArrow(
-        _compare(similar, best), "a long, b long, share double, component long")
+    """(bucket, id, component, n, big, n_big): members of buckets that hold several components,
+    with the sizes of the bucket and of its largest component ``big``."""
+    placed = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(
+        F.sum("n").alias("n"), F.count("*").alias("kinds"),
+        F.max_by(F.struct("component", "n"), F.struct("n", "component")).alias("big")).where("kinds > 1")
+    return placed.join(sizes.select("bucket", "n", F.col("big.component").alias("big"), F.col("big.n").alias("n_big")), "bucket")
+
+
+def _tiles(mixed_up: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Rows of tiles (bucket, left, right, side, id, component, *sketches), sorted. The members
+    outside a bucket's largest component are cut into slices and each two slices are a tile;
+    each slice also meets all slices of the largest component, whose rows therefore go to one
+    tile each where the others fit a slice. ``sketches`` has the columns to be compared."""
+    slices = lambda n: F.ceil(n / F.lit(SLICE)).cast("int")
+    read = mixed_up.withColumns({
+        "n_own": slices(F.col("n") - F.col("n_big")), "n_largest": slices(F.col("n_big")), "largest": F.col("component") == F.col("big")})
+    read = read.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("largest"), F.col("n_largest")).otherwise(F.col("n_own"))).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    place = lambda left, right, side: F.struct(left.alias("left"), right.alias("right"), side.cast("int").alias("side"))
+    own, one = F.col("own"), F.lit(1)
+    # Slices of the largest component count down from -1.
+    as_largest = F.transform(every(F.col("n_own")), lambda o: place(o, -1 - own, one))
+    with_largest = F.transform(every(F.col("n_largest")), lambda o: place(own, -1 - o, F.lit(0)))
+    with_others = F.transform(every(F.col("n_own")), lambda o: place(F.least(own, o), F.greatest(own, o), own > o))
+    tiles = read.select("bucket", "id", "component", F.explode(
+        F.when(F.col("largest"), as_largest).otherwise(F.concat(with_largest, with_others))).alias("tile"))
+    rows = tiles.join(sketches, "id").select(
+        "bucket", "tile.left", "tile.right", "tile.side", "id", "component", *[c for c in sketches.columns if c != "id"])
+    return rows.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "side", "id")
+
+
+def _best_pairs(members: DataFrame, sketches: DataFrame, labels: DataFrame, similar: float) -> DataFrame:
+    """(a, b): the pair of each component whose sketches agree most with those of another."""
+    found = _tiles(_mixed_up(members, labels), sketches.select("id", "sketch")).mapInArrow(
+        _best(similar), "a long, b long, share double, component long")
+    return found.groupBy("component").agg(F.max_by(F.struct("a", "b"), F.struct("share", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+
+
+def _all_pairs(members: DataFrame, sketches: DataFrame, labels: DataFrame, similar: float) -> DataFrame:
+    """(a, b) of all pairs that share a bucket, are of different components and may be similar.
+    The long signatures move only for members that a short one leaves a partner."""
+    left = _tiles(_mixed_up(members, labels), sketches.select("id", "sketch")).mapInArrow(_left(similar), "bucket long, id long")
+    left = written(left.distinct(), "near-left")
+    return _tiles(_mixed_up(left, labels), sketches).mapInArrow(_all(similar), "a long, b long")
 
 
 def deduplicated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

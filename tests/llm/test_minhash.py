@@ -94,10 +94,28 @@ def test_a_band_that_agrees_in_bytes_only_does_not_hide_the_bucket():
     """Two documents with equal slot bytes everywhere, whose bucket hashes first agree in band 3."""
     hashes = np.arange(2 * minhash.BANDS, dtype=np.uint64).reshape(2, minhash.BANDS)
     hashes[1, 3:] = hashes[0, 3:]
-    columns = ["bucket", "left", "right", "side", "band", "id", "component", "sketch", "wide", "hashes"]
+    columns = ["bucket", "left", "right", "side", "id", "component", "sketch", "wide", "hashes"]
     found = {}
     for band in (3, 4):
-        rows = [(7, 0, 0, 0, band, i, i, bytes(minhash.SLOTS), bytes(minhash.WIDE), h.tobytes()) for i, h in enumerate(hashes, 1)]
+        bucket = int(hashes[0, band])
+        rows = [(bucket, 0, 0, 0, i, i, bytes(minhash.SLOTS), bytes(minhash.WIDE), h.tobytes()) for i, h in enumerate(hashes, 1)]
         batch = pa.RecordBatch.from_pylist([dict(zip(columns, r)) for r in rows])
-        found[band] = [(x["a"], x["b"]) for out in minhash._compare(0.8, False)(iter([batch])) for x in out.to_pylist()]
+        found[band] = [(x["a"], x["b"]) for out in minhash._all(0.8)(iter([batch])) for x in out.to_pylist()]
     assert found == {3: [(1, 2)], 4: []}
+
+
+def test_tiles_hold_each_pair_of_components_once(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SLICE", 3)
+    component = {i: 0 if i < 20 else 20 + i % 4 for i in range(31)}
+    members = frame(spark, [(7, i) for i in component] + [(8, i) for i in range(20)], "bucket long, id long")
+    labels = frame(spark, list(component.items()), "id long, component long")
+    sketches = frame(spark, [(i, bytes([i])) for i in component], "id long, sketch binary")
+    tiles = {}
+    for r in minhash._tiles(minhash._mixed_up(members, labels), sketches).collect():
+        assert r["bucket"] == 7 and r["component"] == component[r["id"]] and r["sketch"] == bytes([r["id"]])
+        tiles.setdefault((r["left"], r["right"]), ([], []))[r["side"]].append(r["id"])
+    met = Counter()
+    for (left, right), (a, b) in tiles.items():
+        pairs = [(x, y) for x in a for y in a if x < y] if left == right else [(x, y) for x in a for y in b]
+        met.update((min(p), max(p)) for p in pairs if component[p[0]] != component[p[1]])
+    assert met == Counter({(x, y): 1 for x in component for y in component if x < y and component[x] != component[y]})
