@@ -75,6 +75,10 @@ OWNER_RULES = (
     (r"recurrent\s*solutions", "Recurrent Solutions", True),
 )
 
+# A string that each of these patterns can't do without, in the same order. None has a letter
+# of which other spellings count as the same in any case (i, k, s).
+OWNER_NEEDLES = ("valve", "valve", "loan", "loan", "port", "water", "tone", "chell", "recurrent")
+
 KNOWN_NON_OWNERS = (
     "bauer industries",
     "midland brake",

@@ -85,30 +85,27 @@ def merge_stats(master: DataFrame) -> DataFrame:
     )
 
 
-def overview_counts(master: DataFrame) -> DataFrame:
-    """(metric, name, n, first) for every breakdown and total of the overview.
+CELL_KEYS = ("status", "product_line", "decade", "country")
+CELL_SUMS = ("n", "confirmed", "families", "matched", "curated_only", "bulk_only")
 
-    One scan and one shuffle: the breakdowns are grouping sets of one
-    aggregate, whose partial step leaves a handful of rows per task.
-    """
+
+def overview_cells(master: DataFrame) -> DataFrame:
+    """Counts per (status, product line, decade, country): what the overview and the choices of
+    the filters are summed from. A scan of the master leaves one row per cell and task; a
+    refresh keeps the table, so that an overview costs no scan."""
     keys = master.select(
         "seq",
         F.col("status.value").alias("status"),
-        F.coalesce("product_line.value", F.lit("(unmapped)")).alias("product_line"),
-        F.coalesce(decade(F.col("filing_date.value")), F.lit("")).alias("decade"),
-        F.coalesce("country", F.lit("(unknown)")).alias("place"),
-        F.nullif("country", F.lit("")).alias("jurisdiction"),
+        F.col("product_line.value").alias("product_line"),
+        decade(F.col("filing_date.value")).alias("decade"),
+        "country",
         F.col("assignee.is_confirmed_owner").alias("confirmed"),
         "is_parent",
         has_source(fv.CURATED).alias("in_curated"),
         has_source(fv.BULK).alias("in_bulk"),
     )
     both = F.col("in_curated") & F.col("in_bulk")
-    sets = keys.groupingSets(
-        [[F.col("status")], [F.col("product_line")], [F.col("decade")], [F.col("place")], [F.col("jurisdiction")], []],
-        "status", "product_line", "decade", "place", "jurisdiction",
-    ).agg(
-        F.grouping_id().alias("g"),
+    return keys.groupBy(*CELL_KEYS).agg(
         F.count("*").alias("n"),
         F.min("seq").alias("first"),
         F.count_if("confirmed").alias("confirmed"),
@@ -117,6 +114,30 @@ def overview_counts(master: DataFrame) -> DataFrame:
         F.count_if(F.col("in_curated") & ~F.col("in_bulk")).alias("curated_only"),
         F.count_if(F.col("in_bulk") & ~F.col("in_curated")).alias("bulk_only"),
     )
+
+
+def overview_counts(master: DataFrame) -> DataFrame:
+    """(metric, name, n, first) for every breakdown and total of the overview."""
+    return overview_of_cells(overview_cells(master))
+
+
+def overview_of_cells(cells: DataFrame) -> DataFrame:
+    """The same from the cells: the breakdowns are grouping sets of one aggregate over them."""
+    keys = cells.select(
+        "status",
+        F.coalesce("product_line", F.lit("(unmapped)")).alias("product_line"),
+        F.coalesce("decade", F.lit("")).alias("decade"),
+        F.coalesce("country", F.lit("(unknown)")).alias("place"),
+        F.nullif("country", F.lit("")).alias("jurisdiction"),
+        "first", *CELL_SUMS)
+    sets = keys.groupingSets(
+        [[F.col("status")], [F.col("product_line")], [F.col("decade")], [F.col("place")], [F.col("jurisdiction")], []],
+        "status", "product_line", "decade", "place", "jurisdiction",
+    ).agg(
+        F.grouping_id().alias("g"),
+        F.min("first").alias("first"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CELL_SUMS],
+    )
     # The grouping id has a bit for each key that is *not* grouped on.
     status, line, years, place, jurisdiction, total = 0b01111, 0b10111, 0b11011, 0b11101, 0b11110, 0b11111
 
@@ -158,3 +179,8 @@ def facets(rows: DataFrame) -> DataFrame:
         F.struct(F.lit("country").alias("facet"), F.col("country").alias("value")),
     )).alias("f")).select("f.facet", "f.value")
     return listed.where(F.col("value") != "").distinct().orderBy("facet", "value")
+
+
+def facets_of_cells(cells: DataFrame) -> DataFrame:
+    """The same choices from the cells of the overview."""
+    return facets(cells)

@@ -20,7 +20,7 @@ from ..operators.merge import has_source, texts_of
 from ..operators.overrides import OVERRIDE_SCHEMA
 from ..operators.quality import exception_rows, exception_summary, oversized_families
 from ..operators.snapshots import snapshot_diff
-from ..operators.stats import bulk_summary, curated_summary, merge_stats, taxonomy, top_countries
+from ..operators.stats import bulk_summary, curated_summary, merge_stats, overview_cells, taxonomy, top_countries
 from ..session import scratch_run, written
 from ..sinks.tables import BOOKKEEPING, seed
 from ..sinks.versions import Publication, published_versions
@@ -158,6 +158,7 @@ def _write_tables(spark: SparkSession, outputs: Publication, before: Published |
     outputs.write(exception_rows(records), "exceptions", partition_by="category")
     outputs.write(oversized_families(built.families), "oversized_families")
     summary = outputs.write(exception_summary(records, built.families), "exception_summary")
+    outputs.write(overview_cells(records).coalesce(1), "overview_cells")
     outputs.write(changes(before.master() if before else master.limit(0), master), "changes")
     outputs.write(rule_snapshot(spark), "owner_rules")
     _write_log(outputs, built, records, summary, run_at, started, [f"{s}: {e}" for s, (o, e) in outcomes.items() if o != "refreshed"])

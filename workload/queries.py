@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from masterloom.functions import display, fixed_values as fv
-from masterloom.functions.text import iso, title_key
+from masterloom.functions.identifiers import with_number
+from masterloom.functions.text import iso, title_key, with_clean
 from masterloom.operators import families as fam
-from masterloom.operators import overrides, quality, snapshots, stats, view
+from masterloom.operators import overrides, quality, rule_tables, snapshots, stats, view
 from masterloom.operators.dedupe import absorb_duplicates, first_per_key, with_key
 from masterloom.operators.merge import bulk_remainder, has_source
 from masterloom.operators.normalize import normalize_bulk, normalize_curated
@@ -21,7 +22,7 @@ from masterloom.operators.search import search
 from masterloom.operators.similar_titles import PERCENT, best_similar
 from masterloom.plans.mastering import build_master
 from masterloom.plans.overview import merge_shape as overview_shape
-from masterloom.plans.overview import overview
+from masterloom.plans.overview import overview, published_facets, published_overview
 from masterloom.plans.refresh import refresh
 from masterloom.plans.view import published_rows
 from masterloom.plans.view import view as table_view
@@ -111,6 +112,28 @@ def normalize_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("assignee.known_non_owner").alias("known_non_owner")).agg(F.count("*").alias("n"))
 
 
+def owner_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The owner of every bulk row by the rules as tables."""
+    raw = with_clean(bulk_rows(spark, sf_dir), ("number", "current_assignee")).where(F.col("number").isNotNull())
+    rows = written(raw.select("row_index", "current_assignee"), "owners")
+    owned = rule_tables.with_owner_of_table(
+        rows, "assignee", "current_assignee", "row_index", rule_tables.fixed_owner_rules(spark), rule_tables.fixed_non_owners(spark))
+    return owned.groupBy(
+        F.col("assignee.raw").alias("raw"), F.col("assignee.normalized").alias("owner"),
+        F.col("assignee.is_confirmed_owner").alias("confirmed"), F.col("assignee.needs_review").alias("review"),
+        F.col("assignee.known_non_owner").alias("known_non_owner")).agg(F.count("*").alias("n"))
+
+
+def status_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status of every bulk row by the rules as a table."""
+    raw = with_clean(bulk_rows(spark, sf_dir), ("number", "status")).where(F.col("number").isNotNull())
+    rows = with_number(raw, F.col("number"), prefix="n_").select("row_index", "status", F.col("n_is_placeholder").alias("is_placeholder"))
+    known = rule_tables.with_status_of_table(
+        written(rows, "statuses"), "s", "status", "row_index", F.col("is_placeholder"), rule_tables.fixed_status_rules(spark))
+    return known.groupBy(F.col("s.raw").alias("raw"), F.col("s.value").alias("status"), F.col("s.sub_tag").alias("sub_tag"),
+                         "is_placeholder").agg(F.count("*").alias("n"))
+
+
 def raw_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_bulk(bulk_rows(spark, sf_dir)).select(
         "row_index", "raw.number", "raw.title", "raw.abstract", "raw.main_text",
@@ -484,6 +507,15 @@ def published_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
         models.select(F.lit("model").alias("field"), "name", "count"))
 
 
+def overview_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overview of a published version, from its cells."""
+    return published_overview(published(spark, sf_dir)).select("metric", "name", "n")
+
+
+def facets_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return published_facets(published(spark, sf_dir))
+
+
 def published_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = published(spark, sf_dir)
     sizes = out.read("member_lists").groupBy("family_id").agg(F.sum(F.size("members")).alias("members"))
@@ -539,14 +571,14 @@ def entity_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        entity_overlap, curated_records, bulk_records, normalize_number, normalize_status, normalize_owner, raw_payload,
+        entity_overlap, curated_records, bulk_records, normalize_number, normalize_status, normalize_owner, owner_by_table, status_by_table, raw_payload,
         dedupe_absorb, dedupe_first, bulk_only, merge_master, merge_stats,
         families, family_members, family_member_lists, member_chunks, oversized_families, siblings_of_parents,
         similar_title_links, families_by_similarity, record_families, record_lookup, family_coverage, exceptions_long, exception_summary, exception_preview, alert_count, alert_records, format_duplicates,
         curated_summary, bulk_summary, top_countries, merge_shape, taxonomy_lines, taxonomy_models, overview_all, overview_top_lines,
         table_rows, facets, view_page, filtered_by_date_and_type, page_count, export_rows, search_matches, search_long, search_view,
         display_fields, override_apply, snapshot_diff, keep_good, landed_bulk, published_master, published_members, published_view, published_taxonomy,
-        kept_source, refresh_log,
+        kept_source, refresh_log, overview_kept, facets_kept,
         csv_round_trip, json_round_trip, freshness, expiry_bands, split_product_lines,
     )
 }
