@@ -97,3 +97,13 @@ def test_freshness_lists_named_sources(spark):
     rows = snapshots.freshness(log, F.lit("2026-02-10").cast("date"), sources=("xlsx", "api")).collect()
     assert {(r.source, str(r.last_refresh)[:10], r.stale) for r in rows} == {
         ("xlsx", "2026-02-01", False), ("csv", "2025-12-01", True), ("api", "None", None)}
+
+
+def test_cells_sum_to_the_master(built):
+    cells = stats.overview_cells(built.master)
+    assert cells.agg(F.sum("n")).first()[0] == built.master.count()
+    assert [tuple(r) for r in stats.facets_of_cells(cells).collect()] == [
+        tuple(r) for r in stats.facets(built.master.select(F.col("product_line.value").alias("product_line"), "country")).collect()]
+    totals = {r.metric: r.n for r in stats.overview_of_cells(cells).where("name = ''").collect()}
+    assert totals["family_count"] == built.families.count()
+    assert stats.overview_counts(built.master.limit(0)).where("metric <> 'jurisdiction_count'").count() == 0  # no rows, no figures

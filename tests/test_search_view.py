@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from masterloom.functions import fixed_values as fv
+from masterloom.operators import pages
 from masterloom.operators import search as s
 from masterloom.operators import view
 from masterloom.plans.view import view as table_view
@@ -95,3 +96,17 @@ def test_keyset_pages_are_the_pages(spark):
             seen += [r.seq for r in page]
             value, seq = page[-1][key], page[-1].seq
         assert seen == [r.seq for r in ordered.collect()]
+
+
+def test_pages_by_number_are_the_pages(spark):
+    df = spark.createDataFrame(rows(330), ROW).repartition(5)
+    for key, down, size in (("country", True, 50), ("title", False, 7)):
+        ordered = [r.seq for r in view.sorted_rows(df, key, down).collect()]
+        bounds = pages.page_bounds(df, key, down, range_rows=20).cache()
+        assert sorted(r.before for r in bounds.collect()) == list(range(0, 330, 20))
+        assert {r.before: r.seq for r in bounds.collect()} == {i: ordered[i] for i in range(0, 330, 20)}
+        for number in (0, 1, 5, 330 // size, 1000):
+            got = pages.page_by_number(df, bounds, number, key, down, size)
+            assert [r.seq for r in got.collect()] == ordered[number * size:(number + 1) * size]
+    none = df.limit(0)
+    assert pages.page_by_number(none, pages.page_bounds(none), 0).count() == 0

@@ -12,7 +12,7 @@ from masterloom.operators.similar_titles import PERCENT
 from masterloom.sources.schemas import BULK_HEADERS
 
 from .frames import BULK_SQL, CURATED_SQL
-from .queries import AS_OF, FRESH_AS_OF, LONG_QUERY, LOOKUP_NUMBER, OVERRIDE_STEP, SEARCH_QUERY
+from .queries import AS_OF, DEEP_PAGE, FRESH_AS_OF, LONG_QUERY, LOOKUP_NUMBER, OVERRIDE_STEP, SEARCH_QUERY
 
 
 def _quoted(values) -> str:
@@ -430,6 +430,8 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT DISTINCT 'country', country FROM trows WHERE country <> ''""", _ROWS),
     "view_page": master(f"""SELECT seq, id, title, status, country, {_day('filing_date')} AS filing_date FROM (SELECT * FROM trows
       WHERE status IN ('active', 'pending') AND country IN ('US', 'EP') ORDER BY coalesce({_day('filing_date')}, '') DESC, seq LIMIT 50 OFFSET 50)""", _ROWS),
+    "view_page_deep": master(f"""SELECT seq, id, title, country FROM trows ORDER BY coalesce(title, ''), seq
+      LIMIT {fv.PAGE_SIZE} OFFSET {DEEP_PAGE * fv.PAGE_SIZE}""", _ROWS),
     "filtered_by_date_and_type": master(f"""SELECT id, patent_type, {_day('filing_date')} AS filing_date FROM trows
       WHERE patent_type IN ('utility', 'design') AND filing_date BETWEEN '1995-01-01' AND '2005-12-31'""", _ROWS),
     "page_count": master("SELECT count(*) AS rows, greatest(1, CAST(ceil(count(*) / 50) AS BIGINT)) AS pages FROM trows", _ROWS),

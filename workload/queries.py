@@ -13,7 +13,7 @@ from masterloom.functions import display, fixed_values as fv
 from masterloom.functions.identifiers import with_number
 from masterloom.functions.text import iso, title_key, with_clean
 from masterloom.operators import families as fam
-from masterloom.operators import overrides, quality, rule_tables, snapshots, stats, view
+from masterloom.operators import overrides, pages, quality, rule_tables, snapshots, stats, view
 from masterloom.operators.dedupe import absorb_duplicates, first_per_key, with_key
 from masterloom.operators.merge import bulk_remainder, has_source
 from masterloom.operators.normalize import normalize_bulk, normalize_curated
@@ -42,6 +42,7 @@ LONG_QUERY = "small widgets and - medium size, brand#25"
 # A record takes the overrides of the events that fall on its number.
 OVERRIDE_STEP = 7919
 LOOKUP_NUMBER = "EP1000074"
+DEEP_PAGE, PAGE_RANGE = 3, 60
 
 @dataclass
 class Built:
@@ -355,6 +356,13 @@ def view_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq", "id", "title", "status", "country", iso(F.col("filing_date")).alias("filing_date"))
 
 
+def view_page_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page by number, read through the bounds of ranges."""
+    rows = _rows(spark, sf_dir)
+    bounds = written(pages.page_bounds(rows, "title", descending=False, range_rows=PAGE_RANGE), "page-bounds")
+    return pages.page_by_number(rows, bounds, DEEP_PAGE, "title", descending=False).select("seq", "id", "title", "country")
+
+
 def filtered_by_date_and_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view.filtered(_rows(spark, sf_dir), types=("utility", "design"), filed=("1995-01-01", "2005-12-31"))
     return rows.select("id", "patent_type", iso(F.col("filing_date")).alias("filing_date"))
@@ -576,7 +584,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         families, family_members, family_member_lists, member_chunks, oversized_families, siblings_of_parents,
         similar_title_links, families_by_similarity, record_families, record_lookup, family_coverage, exceptions_long, exception_summary, exception_preview, alert_count, alert_records, format_duplicates,
         curated_summary, bulk_summary, top_countries, merge_shape, taxonomy_lines, taxonomy_models, overview_all, overview_top_lines,
-        table_rows, facets, view_page, filtered_by_date_and_type, page_count, export_rows, search_matches, search_long, search_view,
+        table_rows, facets, view_page, view_page_deep, filtered_by_date_and_type, page_count, export_rows, search_matches, search_long, search_view,
         display_fields, override_apply, snapshot_diff, keep_good, landed_bulk, published_master, published_members, published_view, published_taxonomy,
         kept_source, refresh_log, overview_kept, facets_kept,
         csv_round_trip, json_round_trip, freshness, expiry_bands, split_product_lines,
