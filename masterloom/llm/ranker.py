@@ -11,10 +11,14 @@ tables and noise from prose in any language, and four measures of length and rep
 
 A text counts as good from a quantile of scores on, by default the share of label 0 among
 all labelled rows. Scores are shown as chances: a sigmoid with a temperature fitted on a
-fifth of the sample that isn't learnt from, moved so that the quantile has ``CUT``.
+fifth of the rows that isn't learnt from, moved so that the quantile has ``CUT``.
 
-The model is fitted on at most ``PER_LABEL`` texts of each label, chosen by a hash of the id
-after one count of the labels. Scoring reads whole texts, in blocks, without a shuffle.
+Every labelled text takes part. Up to ``PER_LABEL`` texts of each label are learnt from in one
+go. More are dealt by a hash of the id to parts of about twice that, each part is learnt
+from in a task of its own, and the weights are the mean of those of the parts (parallel
+stochastic gradient descent after Zinkevich et al.); the quantile and the temperature then come
+from the scores of all rows, counted by Spark. Scoring reads whole texts, in blocks, without
+a shuffle.
 
 Defined cases: a null text is an empty one, which is scored like any other; rows with a null
 id or label aren't learnt from, and an id with several labels or texts counts with the least
@@ -33,9 +37,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_run, written
 from .common import own_columns
 
 PER_LABEL = 1000
+# Rows of a label that a part has at least, if there are as many; the scarcer label is repeated for that.
+PART_LABEL = 200
+# Weights and losses are summed as integers, so that no order of rows matters.
+UNIT = float(1 << 32)
+BUCKETS, GATHERED = 1000, 10_000
 STEPS, PAIRS, RATE, DECAY = 3000, 64, 0.01, 1e-3
 CUT = 0.7
 BLOCK = 1 << 20
@@ -94,6 +104,24 @@ def weighted_quantile(values: np.ndarray, weights: np.ndarray, share: float) ->
     return float(values[at] + values[min(at + 1, len(values) - 1)]) / 2
 
 
+def _learnt_weights(z: np.ndarray, labels: np.ndarray, learnt: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    good, bad = learnt[labels[learnt] == 1], learnt[labels[learnt] == 0]
+    w = np.zeros(SIZE)
+    for step in range(STEPS):
+        apart = z[rng.choice(good, PAIRS)] - z[rng.choice(bad, PAIRS)]
+        surprise = 1 / (1 + np.exp(np.clip(apart @ w, -50, 50)))
+        w += RATE * (1 - step / STEPS) * (apart.T @ surprise / PAIRS - DECAY * w)
+    return w
+
+
+def _losses(scores: np.ndarray, labels: np.ndarray, threshold: float, sharpness: float, cut: float) -> np.ndarray:
+    margin = np.where(labels == 1, 1, -1) * (sharpness * (scores - threshold) + math.log(cut / (1 - cut)))
+    return np.logaddexp(0, -margin)
+
+
+SHARPNESSES = np.geomspace(0.05, 20, 61)
+
+
 def fit(x: np.ndarray, labels: np.ndarray, totals: tuple[int, int], quantile: float | None = None, cut: float = CUT,
         seed: int = 29) -> Ranker:
     """Learn from features and labels (0 or 1) of a sample; ``totals`` are the numbers of
@@ -108,25 +136,17 @@ def fit(x: np.ndarray, labels: np.ndarray, totals: tuple[int, int], quantile: fl
         kept = learnt = order
     centre, spread = x[learnt].mean(axis=0), x[learnt].std(axis=0) + 0.02
     z = (x - centre) / spread
-    good, bad = learnt[labels[learnt] == 1], learnt[labels[learnt] == 0]
-    w = np.zeros(SIZE)
-    for step in range(STEPS):
-        apart = z[rng.choice(good, PAIRS)] - z[rng.choice(bad, PAIRS)]
-        surprise = 1 / (1 + np.exp(np.clip(apart @ w, -50, 50)))
-        w += RATE * (1 - step / STEPS) * (apart.T @ surprise / PAIRS - DECAY * w)
-
+    w = _learnt_weights(z, labels, learnt, rng)
     scores = z @ w
     weights = np.where(labels == 1, totals[1] / (labels == 1).sum(), totals[0] / (labels == 0).sum())
     threshold = weighted_quantile(scores, weights, totals[0] / sum(totals) if quantile is None else quantile)
-    shift = math.log(cut / (1 - cut))
 
     def loss(sharpness: float) -> float:
-        margin = np.where(labels[kept] == 1, 1, -1) * (sharpness * (scores[kept] - threshold) + shift)
-        return float((weights[kept] * np.logaddexp(0, -margin)).sum())
+        return float((weights[kept] * _losses(scores[kept], labels[kept], threshold, sharpness, cut)).sum())
 
-    sharpness = min(np.geomspace(0.05, 20, 61), key=loss)
+    sharpness = min(SHARPNESSES, key=loss)
     weights_x = w / spread
-    return Ranker(weights_x, float(centre @ weights_x) + threshold, float(sharpness), shift)
+    return Ranker(weights_x, float(centre @ weights_x) + threshold, float(sharpness), math.log(cut / (1 - cut)))
 
 
 def _read_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,35 +155,146 @@ def _read_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["doc_id", "label", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = PER_LABEL, quantile: float | None = None,
+def _learn_part(rows: pa.Table) -> pa.Table:
+    """The weights learnt from one part, as (place, weight) in units; none if a label is lacking."""
+    rows = rows.sort_by("doc_id")
+    labels, learnt = rows["label"].to_numpy().astype(int), np.flatnonzero(rows["learnt"].to_numpy())
+    if len(set(labels[learnt].tolist())) < 2:
+        weights = np.zeros(0)
+    else:
+        x = np.stack([features(t.as_py() or b"") for t in rows["text"]])
+        spread = x[learnt].std(axis=0) + 0.02
+        z = (x - x[learnt].mean(axis=0)) / spread
+        weights = _learnt_weights(z, labels, learnt, np.random.default_rng(29)) / spread
+    return pa.table({"place": pa.array(np.arange(len(weights)), pa.int32()), "weight": pa.array(np.rint(weights * UNIT), pa.int64())})
+
+
+def _marks_of(weights: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [float(weights @ features(t.as_py() or b"")) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.float64())], names=["label", "tuned", "mark"])
+
+    return run
+
+
+def _losses_of(threshold: float, weights: tuple[float, float], cut: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            own = np.where(labels == 1, weights[1], weights[0])
+            sums = [int(np.rint(own * _losses(marks, labels, threshold, s, cut) * 1e6).astype(np.int64).sum()) for s in SHARPNESSES]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums, pa.int64())], names=["at", "loss"])
+
+    return run
+
+
+def spread_quantile(marked: DataFrame, weights: tuple[float, float], share: float, gathered: int = GATHERED) -> float:
+    """:func:`weighted_quantile` of ``marked`` (label, mark), a *written* table of any size, with a
+    weight per label. Equal marks are ordered by label.
+
+    Rows are counted in ``BUCKETS`` ranges of marks, then in those of the range that holds
+    the quantile, until that has few rows or a single value.
+    """
+    ends = marked.agg(F.min("mark").alias("low"), F.max("mark").alias("high")).first()
+    low, high, before, after, target = ends["low"], ends["high"], 0.0, None, None
+    while True:
+        inside = marked.where(F.col("mark").between(low, high))
+        place = F.least(F.floor((F.col("mark") - low) / ((high - low) or 1.0) * BUCKETS), F.lit(BUCKETS - 1))
+        found = inside.groupBy(place.alias("at")).agg(
+            F.count_if(F.col("label") == 0).alias("bad"), F.count_if(F.col("label") == 1).alias("good"),
+            F.min("mark").alias("low"), F.max("mark").alias("high")).orderBy("at").collect()
+        if target is None:
+            total = sum(weights[0] * r["bad"] + weights[1] * r["good"] for r in found)
+            target = (share - 1e-9) * total
+        for here, row in enumerate(found):
+            mass = weights[0] * row["bad"] + weights[1] * row["good"]
+            if before + mass >= target or here == len(found) - 1:
+                break
+            before += mass
+        after = found[here + 1]["low"] if here + 1 < len(found) else after
+        low, high = row["low"], row["high"]
+        if low == high:
+            last = weights[1] if row["good"] else weights[0]
+            return (low + (after if after is not None and before + mass - last < target else low)) / 2
+        if row["bad"] + row["good"] <= gathered:
+            break
+    got = sorted((r["mark"], r["label"]) for r in marked.where(F.col("mark").between(low, high)).collect())
+    for at, (mark, label) in enumerate(got):
+        before += weights[label]
+        if before >= target:
+            break
+    following = got[at + 1][0] if at + 1 < len(got) else mark if after is None else after
+    return (mark + following) / 2
+
+
+def _fit_in_parts(texts: DataFrame, totals: tuple[int, int], per_label: int, quantile: float | None, cut: float) -> Ranker:
+    """:func:`fit` on a *written* table (doc_id, label, text) of any size."""
+    spared = (F.pmod(F.xxhash64("doc_id", F.lit("spared")), F.lit(5)) == 0)
+    sizes = {(r["label"], r["spared"]): r["n"] for r in texts.groupBy("label", spared.alias("spared")).agg(F.count("*").alias("n")).collect()}
+    n = [sum(v for (own, _), v in sizes.items() if own == label) for label in (0, 1)]
+    if 0 in n:
+        return fit(np.zeros((0, SIZE)), np.array([label for label in (0, 1) if n[label]]), totals)
+    # With too few rows for both, all are learnt from and all set the temperature.
+    apart = len(sizes) == 4
+    parts = -(-sum(n) // (2 * per_label))
+    copies = [min(parts, max(1, -(-PART_LABEL * parts // k))) for k in n]
+    # A row's parts follow one another from a hash of its id on.
+    repeats = F.sequence(F.lit(0), F.when(F.col("label") == 1, copies[1]).otherwise(copies[0]) - 1)
+    dealt = texts.withColumns({"learnt": ~spared if apart else F.lit(True), "_copy": F.explode(repeats)}).withColumn(
+        "part", F.pmod(F.xxhash64("doc_id", F.lit("part")) + F.col("_copy"), F.lit(parts)).cast("int"))
+    learnt = dealt.select("part", "doc_id", "label", "learnt", "text").repartition(min(parts, 2000), "part").groupBy("part").applyInArrow(
+        _learn_part, "place int, weight long")
+    weights = np.zeros(SIZE)
+    for row in learnt.groupBy("place").agg(F.sum(F.col("weight").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("n")).collect():
+        weights[row["place"]] = float(row["sum"]) / UNIT / row["n"]
+
+    marked = written(texts.select("label", (spared if apart else F.lit(True)).alias("tuned"), "text").mapInArrow(
+        _marks_of(weights), "label int, tuned boolean, mark double"), "marks")
+    own = (totals[0] / n[0], totals[1] / n[1])
+    threshold = spread_quantile(marked.select("label", "mark"), own, totals[0] / sum(totals) if quantile is None else quantile)
+    losses = marked.where("tuned").select("label", "mark").mapInArrow(_losses_of(threshold, own, cut), "at int, loss long").groupBy("at").agg(
+        F.sum(F.col("loss").cast("decimal(38,0)")).alias("loss")).collect()
+    best = min(losses, key=lambda r: (r["loss"], r["at"]))["at"]
+    return Ranker(weights, threshold, float(SHARPNESSES[best]), math.log(cut / (1 - cut)))
+
+
+def train(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int | None = None, quantile: float | None = None,
           cut: float = CUT) -> Ranker:
-    """Fit on texts of ``docs`` (doc_id, text) whose rows in ``labels`` (doc_id, label) satisfy
-    ``learn``.
+    """Fit on all texts of ``docs`` (doc_id, text) whose rows in ``labels`` (doc_id, label) satisfy
+    ``learn``, in parts if there are many.
 
-    The sample is chosen on ids and labels alone: after a count per label a range of hashes
-    is read that holds about twice the rows wanted, and the lowest hashes of it are taken.
-    Only their texts are read, and only features are gathered, ``2 * per_label`` rows.
+    A caller may ask for a quick fit on a sample, ``per_label`` rows of each label: it is chosen on
+    ids and labels alone, after a count per label, as the lowest hashes of a range of
+    hashes that holds about twice the rows wanted.
     """
     rows = labels.where(learn & F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.min((F.col("label") != 0).cast("int")).alias("label"))
     totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    place = F.xxhash64("doc_id", F.lit("sample")).bitwiseAND((1 << 53) - 1)
-    chosen = None
-    for label, n in sorted(totals.items()):
-        share = min(1.0, (2 * per_label + 100) / n)
-        part = rows.where((F.col("label") == label) & (place <= int(share * (1 << 53)))).orderBy(place, "doc_id").limit(per_label)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
+    if not totals:
         return fit(np.zeros((0, SIZE)), np.zeros(0, int), (0, 0))
-    # At most ``2 * per_label`` ids.
-    texts = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(
-        F.max(F.col("text").cast("string")).alias("text"))
-    got = texts.select("doc_id", "label", F.col("text").cast("binary")).mapInArrow(
+    both = (totals.get(0, 0), totals.get(1, 0))
+    chosen = rows
+    if per_label is not None:
+        place = F.xxhash64("doc_id", F.lit("sample")).bitwiseAND((1 << 53) - 1)
+        chosen = None
+        for label, n in sorted(totals.items()):
+            share = min(1.0, (2 * per_label + 100) / n)
+            part = rows.where((F.col("label") == label) & (place <= int(share * (1 << 53)))).orderBy(place, "doc_id").limit(per_label)
+            chosen = part if chosen is None else chosen.unionByName(part)
+    few = per_label is not None or max(both) <= PER_LABEL
+    # Few ids go to every task.
+    texts = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(chosen) if few else chosen, "doc_id").groupBy("doc_id", "label").agg(
+        F.max(F.col("text").cast("string")).alias("text")).select("doc_id", "label", F.col("text").cast("binary"))
+    if not few:
+        with scratch_run(docs.sparkSession):
+            return _fit_in_parts(written(texts, "labelled"), both, PER_LABEL, quantile, cut)
+    got = texts.mapInArrow(
         _read_features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, x binary").toArrow()
     # Rows come in any order; training starts from a fixed one.
     got = got.sort_by("doc_id")
     x = np.array([np.frombuffer(v.as_buffer(), np.float32) for v in got["x"]]).reshape(-1, SIZE)
-    return fit(x, got["label"].to_numpy().astype(int), (totals.get(0, 0), totals.get(1, 0)), quantile, cut)
+    return fit(x, got["label"].to_numpy().astype(int), both, quantile, cut)
 
 
 def _scorer(model: Ranker, cut: float):

@@ -109,3 +109,47 @@ def test_quantile_and_order():
     x[:20, 5] = 1
     model = fit(x, np.repeat([1, 0], 20), (300, 100))
     assert model.score(x[0]) > 0.7 > model.score(x[-1])
+
+
+def test_all_labelled_texts_take_part(spark, monkeypatch):
+    import masterloom.llm.ranker as ranker
+
+    monkeypatch.setattr(ranker, "PER_LABEL", 100)
+    docs = spark.range(1800).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.format_string("Plain words, no. %d.", "id"))
+                                    .otherwise(F.format_string("### %d %%%%", "id")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("label"))
+    seen = []
+    real = ranker._fit_in_parts
+    monkeypatch.setattr(ranker, "_fit_in_parts", lambda texts, totals, *more: seen.append((texts.count(), totals)) or real(texts, totals, *more))
+    a, b = (ranker.train(docs.repartition(n), labels.repartition(n), F.lit(True)) for n in (1, 5))
+    assert seen == [(1800, (900, 900))] * 2
+    assert (a.weights == b.weights).all() and (a.offset, a.sharpness) == (b.offset, b.sharpness)
+    good = {(r["doc_id"] % 2, r["good"]) for r in score(docs, a).collect()}
+    assert good == {(0, True), (1, False)}
+
+
+def test_scarce_label_reaches_every_part(spark, monkeypatch):
+    import masterloom.llm.ranker as ranker
+
+    monkeypatch.setattr(ranker, "PER_LABEL", 50)
+    docs = spark.range(603).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3, "!!! 1 2 3 !!!").otherwise(F.lit("calm words")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") >= 3).cast("int").alias("label"))
+    model = ranker.train(docs, labels, F.lit(True))
+    assert model.score(features(b"calm words")) > model.score(features(b"!!! 1 2 3 !!!"))
+    # Labels whose texts are missing leave one label.
+    assert ranker.train(docs.where("doc_id >= 3"), labels, F.lit(True)).fixed == 1.0
+
+
+@pytest.mark.parametrize("gathered", [0, 3, 1000])
+def test_quantile_of_a_table(spark, gathered):
+    from masterloom.llm.ranker import spread_quantile
+
+    rng = np.random.default_rng(3)
+    marks = np.round(rng.normal(size=400), 2)
+    labels = rng.integers(0, 2, 400)
+    order = np.lexsort((labels, marks))
+    table_ = spark.createDataFrame([(int(a), float(b)) for a, b in zip(labels, marks)], "label int, mark double")
+    for share in (0.02, 0.5, 0.97, 1.0):
+        own = np.where(labels == 1, 2.0, 0.5)
+        want = weighted_quantile(marks[order], own[order], share)
+        assert spread_quantile(table_, (0.5, 2.0), share, gathered) == pytest.approx(want)
