@@ -157,3 +157,15 @@ def test_corrections_outlive_a_refresh(spark, sources, first):
 
 def test_folder_listing(spark, tmp_path):
     assert names(spark, str(tmp_path / "none")) == [] and not os.path.exists(tmp_path / "none")
+
+
+def test_landed_files_grow_in_number(spark, monkeypatch):
+    import workload.queries as queries
+
+    read = []
+    monkeypatch.setattr(queries, "FILE_ROWS", 200)
+    monkeypatch.setattr(queries, "read_bulk", lambda s, folder: read.append(folder) or s.read.text(folder))
+    sf = "/root/testdata/sf0.001"
+    queries.landed_bulk(spark, sf)
+    rows = queries.bulk_rows(spark, sf).count()
+    assert len(spark.read.text(read[0]).inputFiles()) >= rows // 200 > 4

@@ -43,6 +43,8 @@ LONG_QUERY = "small widgets and - medium size, brand#25"
 OVERRIDE_STEP = 7919
 LOOKUP_NUMBER = "EP1000074"
 DEEP_PAGE, PAGE_RANGE = 3, 60
+# Rows of a landed file.
+FILE_ROWS = 200_000
 
 @dataclass
 class Built:
@@ -475,7 +477,8 @@ def landed_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bulk rows written as CSV files, with quotes and line breaks in a column, and landed."""
     broken = F.concat("main_text", F.lit('\nsays "so", twice\n'))
     cells = bulk_rows(spark, sf_dir).withColumn("main_text", broken)
-    files = cells.repartitionByRange(4, "row_index").sortWithinPartitions("row_index").select(
+    # A quoted file is read by one task, so the files grow in number, not in size.
+    files = cells.repartitionByRange(max(4, -(-cells.count() // FILE_ROWS)), "row_index").sortWithinPartitions("row_index").select(
         *[F.col(name).alias(header) for header, name in BULK_HEADERS.items()])
     folder = _folder(spark, "csv")
     files.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
