@@ -159,6 +159,17 @@ def test_folder_listing(spark, tmp_path):
     assert names(spark, str(tmp_path / "none")) == [] and not os.path.exists(tmp_path / "none")
 
 
+def test_the_log_of_a_published_version_needs_no_build(spark, tmp_path, monkeypatch):
+    import workload.queries as queries
+
+    master = spark.createDataFrame([("a", 1), ("b", 2), ("c", 1 << 60)], "id string, seq long")
+    spark.sql("SELECT id AS event_id, 'view' AS event_type, id AS user_id, timestamp'2024-01-01' AS ts FROM range(9)").write.parquet(
+        f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(queries, "mastered", None)
+    log = queries._override_log(spark, str(tmp_path), master)
+    assert log.count() == 9 and {r["id"] for r in log.collect()} == {"a", "b", "c"}
+
+
 def test_landed_files_grow_in_number(spark, monkeypatch):
     import workload.queries as queries
 

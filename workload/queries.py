@@ -406,12 +406,11 @@ def display_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- declared extras ----------------------------------------------------------
 
-def _override_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event as the correction of one record, of either source."""
-    built = mastered(spark, sf_dir)
-    numbered = written(built.master.select("id", "seq"), "numbered")
+def _override_log(spark: SparkSession, sf_dir: str, master: DataFrame) -> DataFrame:
+    """Every event as the correction of one record of the master, of either source."""
+    numbered = written(master.select("id", "seq"), "numbered")
+    n = numbered.agg(F.count("*")).scalar()
     numbered = with_dense_number(numbered, "seq", "no").select("id", "no")
-    n = built.master.agg(F.count("*")).scalar()
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     field = F.get(F.array(*[F.lit(f) for f in overrides.OVERRIDE_FIELDS]), (F.col("event_id") % 6).cast("int"))
     value = F.when(field.isin("assignee_confirmed", "exclude"), F.when(F.col("event_id") % 4 < 2, "true").otherwise("false"))
@@ -423,7 +422,8 @@ def _override_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def override_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = overrides.apply_overrides(mastered(spark, sf_dir).master, _override_log(spark, sf_dir), tie="event_id")
+    master = mastered(spark, sf_dir).master
+    m = overrides.apply_overrides(master, _override_log(spark, sf_dir, master), tie="event_id")
     return m.select(
         "id", F.col("status.value").alias("status"), F.col("status.source").alias("status_source"),
         F.col("product_line.value").alias("product_line"), F.col("product_line.was_overridden").alias("line_overridden"),
@@ -440,7 +440,7 @@ def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         return master.select("seq", *[F.col(f"{f}.value").alias(f) for f in SNAPSHOT_FIELDS])
 
     master = mastered(spark, sf_dir).master
-    return fields(master), fields(overrides.apply_overrides(master, _override_log(spark, sf_dir), tie="event_id"))
+    return fields(master), fields(overrides.apply_overrides(master, _override_log(spark, sf_dir, master), tie="event_id"))
 
 
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -496,7 +496,8 @@ def published_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of a published version with the corrections logged beside it."""
     out = published(spark, sf_dir)
     if out.overrides().isEmpty():
-        log = _override_log(spark, sf_dir).withColumn("applied_by", F.format_string("reviewer %012d", "event_id"))
+        # The published master has the ids and order of a build: none is run beside it.
+        log = _override_log(spark, sf_dir, out.master()).withColumn("applied_by", F.format_string("reviewer %012d", "event_id"))
         log.select(out.overrides().columns).write.mode("append").parquet(out.path("overrides"))
     return published_rows(out, tie="applied_by").select(
         "seq", "id", "title", "status", "product_line", "is_confirmed_owner", "family_id")
