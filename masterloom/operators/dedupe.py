@@ -71,12 +71,18 @@ def absorb_duplicates(df: DataFrame) -> DataFrame:
     gap_filled = [n for n in ("title", *TEXTS, "filing_date", "grant_date") if n in df.columns]
     known = F.col("status.value") != "unknown"
     confirmed = F.col("assignee.is_confirmed_owner")
-    folded = df.groupBy(KEY).agg(
+    # The first row travels as one value: one ordering, not one per column.
+    folded = df.withColumn("_first", F.struct(*kept, "status", "assignee")).groupBy(KEY).agg(
         F.min("row_index").alias("row_index"),
-        *[_first(name).alias(name) for name in kept],
-        F.coalesce(_first("status", where=known), _first("status")).alias("status"),
-        F.coalesce(_first("assignee", where=confirmed), _first("assignee")).alias("assignee"),
+        _first("_first").alias("_first"),
+        _first("status", where=known).alias("_known"),
+        _first("assignee", where=confirmed).alias("_confirmed"),
         *[_first(name, where=F.col(name).isNotNull()).alias(name) for name in gap_filled],
+    ).select(
+        KEY, "row_index", *[F.col("_first")[name].alias(name) for name in kept],
+        F.coalesce("_known", F.col("_first.status")).alias("status"),
+        F.coalesce("_confirmed", F.col("_first.assignee")).alias("assignee"),
+        *gap_filled,
     )
     first = F.col("inventors")
     later = F.array_except(F.coalesce("_names", F.array().cast("array<string>")), first)
