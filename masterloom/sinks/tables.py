@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators.view import export_rows
+from ..session import compiled
 
 # Columns of the master that serve the build only.
 BOOKKEEPING = ("_sources", "_curated_row_index", "_bulk_row_index")
@@ -13,7 +14,8 @@ BOOKKEEPING = ("_sources", "_curated_row_index", "_bulk_row_index")
 def replace(df: DataFrame, path: str, format: str = "parquet", partition_by: str | None = None) -> None:
     """Overwrite a table."""
     writer = df.write.mode("overwrite").format(format)
-    (writer.partitionBy(partition_by) if partition_by else writer).save(path)
+    with compiled(df.sparkSession):
+        (writer.partitionBy(partition_by) if partition_by else writer).save(path)
 
 
 def seed(df: DataFrame, path: str, format: str = "parquet") -> None:

@@ -1,8 +1,10 @@
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql.readwriter import DataFrameWriter
 
 from masterloom import session
+from masterloom.sinks.tables import replace
 
 
 def fake(master, conf=None, checkpoint=None):
@@ -26,6 +28,27 @@ def test_written_cuts_lineage(spark):
     assert "Range" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_tables_are_written_by_methods_the_jvm_compiles(spark, monkeypatch, tmp_path):
+    """While a table is written, larger generated methods are off; afterwards the setting is as before."""
+    limit, seen = "spark.sql.codegen.hugeMethodLimit", []
+    spread_out = " ".join(f"WHEN id % 997 = {i} THEN concat('a', id, 'b{i}')" for i in range(300))
+    df = spark.range(2000).selectExpr("id", f"CASE {spread_out} END AS t")
+    for name in ("parquet", "save"):
+        plain = getattr(DataFrameWriter, name)
+        monkeypatch.setattr(DataFrameWriter, name, lambda *a, plain=plain, **k: seen.append(int(spark.conf.get(limit))) or plain(*a, **k))
+    before = spark.conf.get(limit)
+    stored = session.written(df, "wide")
+    replace(df, str(tmp_path / "wide"))
+    assert seen == [session.COMPILED_BYTES] * 2 and spark.conf.get(limit) == before
+    assert sorted(stored.collect()) == sorted(spark.read.parquet(str(tmp_path / "wide")).collect()) == sorted(df.collect(), key=lambda r: r.id)
+    spark.conf.set(limit, 500)
+    try:
+        session.written(df.limit(1), "lower")
+        assert seen[-1] == 500 and spark.conf.get(limit) == "500"
+    finally:
+        spark.conf.set(limit, before)
+
+
 def test_spread_leaves_split_scans_alone(spark):
     wide = spark.range(0, 100, 1, 64)
     assert session.spread(wide) is wide
