@@ -30,18 +30,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from .tokens import chunked
+from pyspark.sql.types import StringType
 
 MARK = "▁"
 WORDS_HELD = 300_000
-CHUNK_CHARS = 2_000_000
+CHUNK_BYTES = 2_000_000
 UNKNOWN_PENALTY = 10.0
 PAIRS_HELD = 300_000
 # Bytes of text that one Arrow array of a batch may hold, ids decoded at a time.
-MOST_BYTES, IDS_AT_ONCE = 1 << 30, 1 << 19
+MOST_BYTES, IDS_AT_ONCE = 1 << 30, 1 << 18
 
 
 @dataclass
@@ -276,21 +276,29 @@ def _words_of(model) -> _Words:
     return _held[1]
 
 
-def _encoding(model):
+def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of parts of about ``most`` in size; a larger row is a part."""
+    ends, start = np.append(0, np.cumsum(sizes, dtype=np.int64)), 0
+    while start < len(sizes):
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] + most, "right")) - 1)
+        yield start, end - start
+        start = end
+
+
+def _encoding(model, text: str, dropped: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words_of(model)
         for batch in batches:
-            at = batch.schema.get_field_index("_sp_text")
-            done = 0
-            for rows in chunked(((t or "",) for t in batch.column(at).to_pylist()), lambda r: len(r[0]), CHUNK_CHARS):
-                ids, bounds = encode_texts([r[0] for r in rows], model.value, words)
-                part = batch.slice(done, len(rows))
-                done += len(rows)
-                names = [n for i, n in enumerate(batch.schema.names) if i != at]
+            at = batch.schema.get_field_index(text)
+            kept = [i for i in range(batch.num_columns) if not (dropped and i == at)]
+            sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+            for start, n in _slices(sizes, CHUNK_BYTES):
+                part = batch.slice(start, n)
+                ids, bounds = encode_texts([t or "" for t in part.column(at).to_pylist()], model.value, words)
                 yield pa.RecordBatch.from_arrays(
-                    [*(c for i, c in enumerate(part.columns) if i != at),
+                    [*(part.column(i) for i in kept),
                      pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))],
-                    names=[*names, "piece_ids"])
+                    names=[*(batch.schema.names[i] for i in kept), "piece_ids"])
 
     return run
 
@@ -342,8 +350,11 @@ def _decoding(model):
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index("piece_ids"))
             lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            texts = decoder.decode(lists.flatten().to_numpy(), np.append(0, np.cumsum(lengths, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "decoded"])
+            for start, n in _slices(lengths, IDS_AT_ONCE):
+                ids = lists.slice(start, n).flatten().to_numpy()
+                texts = decoder.decode(ids, np.append(0, np.cumsum(lengths[start:start + n], dtype=np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.slice(start, n).columns, texts], names=[*batch.schema.names, "decoded"])
 
     return run
 
@@ -356,8 +367,10 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``piece_ids``, the encoding of its whole text."""
     docs = docs.drop("piece_ids")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.withColumn("_sp_text", F.col(text).cast("string")).mapInArrow(
-        _encoding(shared), ", ".join([*_fields(docs), "piece_ids array<int>"]))
+    # A string column is read where it is; another value goes along as text.
+    own = text.isidentifier() and docs.columns.count(text) == 1 and docs.schema[text].dataType == StringType()
+    rows, column = (docs, text) if own else (docs.withColumn("_sp_text", F.col(text).cast("string")), "_sp_text")
+    return rows.mapInArrow(_encoding(shared, column, not own), ", ".join([*_fields(docs), "piece_ids array<int>"]))
 
 
 def decode(encoded: DataFrame, model: PieceModel) -> DataFrame:

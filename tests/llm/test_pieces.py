@@ -106,3 +106,31 @@ def encode_lists(model):
     texts = ["", " ", "  two", "Grün \U0001f600 x", "a\nb", "日本語 text"]
     ids, bounds = encode_texts(texts, model)
     return [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+
+
+def test_large_batches_are_worked_on_in_parts(spark, monkeypatch):
+    """A batch of many texts leaves in parts of bounded size, rows in order, and a string column isn't sent twice."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from masterloom.llm import pieces
+
+    monkeypatch.setattr(pieces, "CHUNK_BYTES", 500_000)
+    shared = SimpleNamespace(value=load_model(MODEL))
+    texts = [None, "", *(f"word{i} " * 4000 for i in range(80)), "x y" * pieces.CHUNK_BYTES, "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["i", "text"])
+    encoded = list(pieces._encoding(shared, "text", False)([batch]))
+    size = lambda b: sum(len(t or "") for t in b.column(1).to_pylist())
+    assert len(encoded) > 4 and all(b.num_rows == 1 or size(b) <= pieces.CHUNK_BYTES for b in encoded)
+    whole = pa.Table.from_batches(encoded).combine_chunks().to_batches()
+    decoded = list(pieces._decoding(shared)(whole))
+    assert len(decoded) > 1 and all(b.num_rows == 1 or len(b.column(2).flatten()) <= pieces.IDS_AT_ONCE for b in decoded)
+    rows = [r for b in decoded for r in b.to_pylist()]
+    assert [r["i"] for r in rows] == list(range(len(texts))) and all(r["decoded"] == (r["text"] or "") for r in rows)
+
+    plan = encode(spark.createDataFrame([(1, "a")], "i int, text string"), shared.value)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_sp_text" not in plan
+    cast = encode(spark.createDataFrame([(1, 12), (2, None)], "i int, text int"), shared.value)
+    assert cast.columns == ["i", "text", "piece_ids"]
+    assert [r["decoded"] for r in decode(cast, shared.value).orderBy("i").collect()] == ["12", ""]
