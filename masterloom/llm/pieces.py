@@ -24,9 +24,9 @@ encoded, and comes back, as a space; repeated rows and other columns don't matte
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +36,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 MARK = "▁"
+MARK_BYTES = MARK.encode()
+# What a word is: a text, marks and what follows up to the next, or that with line breaks apart.
+WHOLE, WORDS, LINES = r"(?s).+", r"(?s)▁*[^▁]+|▁+", r"▁*[^▁\n]+|\n|▁+"
 WORDS_HELD = 300_000
 CHUNK_BYTES = 2_000_000
 UNKNOWN_PENALTY = 10.0
 PAIRS_HELD = 300_000
+# Ends of prefixes remembered, and of how many characters such an end is.
+ENDS_HELD, WINDOW = 50_000, 3
 # Bytes of text that one Arrow array of a batch may hold, ids decoded at a time.
 MOST_BYTES, IDS_AT_ONCE = 1 << 30, 1 << 18
 
@@ -87,11 +92,11 @@ def from_proto(model) -> PieceModel:
     # A word ends where no piece goes on: before a mark that follows another
     # character and, if no piece holds one, around line breaks.
     if any(MARK in p.lstrip(MARK) for p in ids):
-        word = r"(?s).+"
+        word = WHOLE
     elif any("\n" in p for p in ids):
-        word = r"(?s)▁*[^▁]+|▁+"
+        word = WORDS
     else:
-        word = r"▁*[^▁\n]+|\n|▁+"
+        word = LINES
     return PieceModel(
         bpe=model.trainer_spec.model_type == 2, ids=ids, scores=scores,
         bytes=values if model.trainer_spec.byte_fallback else [], unknown=unknown, text=text,
@@ -103,9 +108,10 @@ def marked(text: str, model: PieceModel) -> str:
     return MARK + text if text and model.add_prefix else text
 
 
-def merged(symbols: str, model: PieceModel) -> list[str]:
-    """Plain merging: the best-scored neighbouring pair first, the left one of ties."""
-    parts = list(symbols)
+def merging(symbols: str, model: PieceModel) -> tuple[list[str], list[tuple[float, str, str]]]:
+    """Plain merging: the best-scored neighbouring pair first, the left one of ties. The parts that
+    are left, and the score of each merge with the first and the last part after it."""
+    parts, steps = list(symbols), []
     while True:
         best = None
         for i in range(len(parts) - 1):
@@ -113,12 +119,14 @@ def merged(symbols: str, model: PieceModel) -> list[str]:
             if score is not None and (best is None or score > best[0]):
                 best = (score, i)
         if best is None:
-            return parts
+            return parts, steps
         i = best[1]
         parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        steps.append((best[0], parts[0], parts[-1]))
 
 
 ONE = (1,)
+NO_MERGE = (float("-inf"), "", "")
 
 
 class Encoder:
@@ -127,44 +135,112 @@ class Encoder:
     def __init__(self, model: PieceModel):
         self.model = model
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.reachable: dict[str, bool] = {}
+        self.steps: dict[str, list[tuple[float, str, str]] | None] = {}
+        self.ending: dict[str, tuple[tuple[int, str | None, int], ...]] = {}
+        self.entries: dict[str | int, tuple[int, str | None, int]] = {}
         self.worst = min(model.scores.values(), default=0.0) - UNKNOWN_PENALTY
         # Lengths of the pieces that end in two characters, longest first: no others are tried.
         ends: dict[str, set[int]] = {}
+        # Lengths of the pieces longer than a window, by the window they end in.
+        self.long: dict[str, set[int]] = {}
         for piece in model.ids:
             if len(piece) > 1:
                 ends.setdefault(piece[-2:], set()).add(len(piece))
+            if len(piece) > WINDOW:
+                self.long.setdefault(piece[-WINDOW:], set()).add(len(piece))
         self.lengths = {end: (*sorted(found, reverse=True), 1) for end, found in ends.items()}
 
-    def _stands(self, piece: str) -> bool:
-        found = self.reachable.get(piece)
-        if found is None:
-            found = self.reachable[piece] = len(piece) == 1 or (piece in self.model.ids and merged(piece, self.model) == [piece])
-        return found
+    def _merges(self, piece: str) -> list[tuple[float, str, str]] | None:
+        """The merges that make a piece, and the end of them; None if it isn't what merging makes."""
+        if piece not in self.steps:
+            if len(self.steps) > ENDS_HELD:
+                self.steps.clear()
+            parts, steps = merging(piece, self.model)
+            self.steps[piece] = [*steps, NO_MERGE] if parts == [piece] else None
+        return self.steps[piece]
+
+    def _pieces_ending(self, window: str) -> tuple[tuple[int, str | None, int], ...]:
+        """Size, text and id of the pieces that may end a prefix, from its last characters; longest
+        first. Those longer than the window have no text: it is still to be looked up."""
+        if len(self.ending) > ENDS_HELD:
+            self.ending.clear()
+            self.entries.clear()
+        ids, one = self.model.ids, self.entries
+        found = [one.setdefault(size, (size, None, -1)) for size in sorted(self.long.get(window, ()), reverse=True)]
+        for size in self.lengths.get(window[-2:], ONE):
+            piece = window[-size:]
+            if size == 1 or size <= len(window) and piece in ids and self._merges(piece):
+                found.append(one.setdefault(piece, (size, piece, ids.get(piece, -1))))
+        self.ending[window] = tuple(found)
+        return self.ending[window]
 
     def _next_to(self, before: str, piece: str) -> bool:
-        """Whether merging keeps the two pieces apart."""
-        key = (before, piece)
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) > PAIRS_HELD:
-                self.pairs.clear()
-            found = self.pairs[key] = merged(before + piece, self.model) == [before, piece]
+        """Whether merging keeps the two pieces apart. Until something joins them, their own merges
+        follow each other by score, those of the left one first."""
+        if len(self.pairs) > PAIRS_HELD:
+            self.pairs.clear()
+        left, right, scores = self._merges(before), self._merges(piece), self.model.scores
+        last, first, i, j = before[-1], piece[0], 0, 0
+        while True:
+            across, one, two = scores.get(last + first), left[i][0], right[j][0]
+            if across is not None and across > one and across >= two:
+                found = False
+                break
+            if left[i] is NO_MERGE and right[j] is NO_MERGE:
+                found = True
+                break
+            if one >= two:
+                last, i = left[i][2], i + 1
+            else:
+                first, j = right[j][1], j + 1
+        self.pairs[before, piece] = found
         return found
 
-    def _forward_bpe(self, word: str, start: list[int], i: int) -> None:
-        ids, begin = self.model.ids, start
-        for size in self.lengths.get(word[i - 2:i], ONE):
-            j = i - size
-            if j < 0:
-                continue
-            piece = word[j:i]
-            if size > 1 and piece not in ids:
-                continue
-            if self._stands(piece) and (j == 0 or self._next_to(word[begin[j]:j], piece)):
-                begin.append(j)
-                return
-        raise AssertionError(f"no piece ends at {i} of {word!r}")
+    def _encode_bpe(self, words: list[str]) -> list[list[int]]:
+        ending, pairs, every, out = self.ending, self.pairs, self.model.ids, []
+        # By length of prefix: where its last piece starts, that piece and its id.
+        before, start, last, ids = "", [0], [""], [-1]
+        for word in words:
+            n, limit = 0, min(len(before), len(word))
+            while n < limit and before[n] == word[n]:
+                n += 1
+            del start[n + 1:], last[n + 1:], ids[n + 1:]
+            for i in range(n + 1, len(word) + 1):
+                window = word[i - WINDOW:i] if i > WINDOW else word[:i]
+                for size, piece, known in ending.get(window) or self._pieces_ending(window):
+                    j = i - size
+                    if piece is None:
+                        if j < 0 or (piece := word[j:i]) not in every or not self._merges(piece):
+                            continue
+                        known = every[piece]
+                    if j == 0:
+                        break
+                    apart = pairs.get((last[j], piece))
+                    if apart is None:
+                        apart = self._next_to(last[j], piece)
+                    if apart:
+                        break
+                else:
+                    raise AssertionError(f"no piece ends at {i} of {word!r}")
+                start.append(j)
+                last.append(piece)
+                ids.append(known)
+            found, i = [], len(word)
+            while i > 0:
+                if ids[i] >= 0:
+                    found.append(ids[i])
+                else:
+                    found += self._without_piece(last[i])
+                i = start[i]
+            found.reverse()
+            out.append(found)
+            before = word
+        return out
+
+    def _without_piece(self, character: str) -> list[int]:
+        """Ids of a character outside the model, last first."""
+        model = self.model
+        return [model.bytes[b] for b in reversed(character.encode("utf-8", "replace"))] if model.bytes else [model.unknown]
 
     def _forward_unigram(self, word: str, start: list[int], score: list[float], i: int) -> None:
         best, at = None, i - 1
@@ -184,6 +260,9 @@ class Encoder:
 
     def encode(self, words: list[str]) -> list[list[int]]:
         """Ids of each of the sorted ``words``."""
+        return self._encode_bpe(words) if self.model.bpe else self._encode_unigram(words)
+
+    def _encode_unigram(self, words: list[str]) -> list[list[int]]:
         model, out = self.model, []
         before, start, score = "", [0], [0.0]
         for word in words:
@@ -192,20 +271,12 @@ class Encoder:
                 n += 1
             del start[n + 1:], score[n + 1:]
             for i in range(n + 1, len(word) + 1):
-                if model.bpe:
-                    self._forward_bpe(word, start, i)
-                else:
-                    self._forward_unigram(word, start, score, i)
+                self._forward_unigram(word, start, score, i)
             found, i = [], len(word)
             while i > 0:
                 piece = word[start[i]:i]
                 known = model.ids.get(piece)
-                if known is not None:
-                    found.append(known)
-                elif model.bytes:
-                    found.extend(model.bytes[b] for b in reversed(piece.encode("utf-8", "replace")))
-                else:
-                    found.append(model.unknown)
+                found += self._without_piece(piece) if known is None else [known]
                 i = start[i]
             out.append(found[::-1])
             before = word
@@ -232,21 +303,51 @@ class _Words:
             ids = self.encoder.encode(new)
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.flat = np.concatenate([self.flat, np.fromiter((x for i in ids for x in i), np.int32, int(lengths.sum()))])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))])
             self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(lengths)])
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
 
-def encode_texts(texts: list[str], model: PieceModel, words: _Words | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """All ids in one array, and where each text's begin."""
+def _split(texts: pa.Array, model: PieceModel) -> tuple[pa.Array, np.ndarray]:
+    """The words of marked texts, which leave nothing out, and how many each text has."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    offsets = offsets - offsets[0]
+    begins = np.zeros(len(data) + 1, bool)
+    begins[offsets] = True
+    if model.word != WHOLE:
+        mark = np.zeros(len(data), bool)
+        if len(data) > 2:
+            mark[:-2] = (data[:-2] == MARK_BYTES[0]) & (data[1:-1] == MARK_BYTES[1]) & (data[2:] == MARK_BYTES[2])
+        at = np.nonzero(mark)[0]
+        follows = np.zeros(len(at), bool)
+        follows[1:] = np.diff(at) == 3
+        begins[at[~follows]] = True
+        if model.word == LINES:
+            at = np.nonzero(data == 10)[0]
+            begins[at] = begins[at + 1] = True
+    ends = np.nonzero(begins)[0]
+    if not len(data):
+        return pa.array([], pa.large_string()), np.zeros(len(texts), np.int64)
+    words = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data))
+    return words, np.diff(np.searchsorted(ends, offsets))
+
+
+def encode_texts(texts: list[str] | pa.Array, model: PieceModel, words: _Words | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in one array, and where each text's begin. No text is null."""
     words = words or _Words(model)
-    pattern = re.compile(model.word)
-    split = [pattern.findall(marked(t, model)) for t in texts]
-    codes = words.look_up([w for ws in split for w in ws])
+    texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+    texts = pc.replace_substring(texts, " ", MARK)
+    if model.add_prefix:
+        led, none = pa.scalar(MARK, texts.type), pa.scalar("", texts.type)
+        texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, pc.binary_join_element_wise(led, texts, none))
+    split, lengths = _split(texts, model)
+    split = split.dictionary_encode()
+    codes = words.look_up(split.dictionary.to_pylist())[split.indices.to_numpy()]
     first, size = words.begin[codes], words.begin[codes + 1] - words.begin[codes]
     ends = np.cumsum(size)
     ids = words.flat[np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-    bounds = np.append(0, ends)[np.cumsum([0, *map(len, split)])]
+    bounds = np.append(0, ends)[np.append(0, np.cumsum(lengths))]
     return ids, bounds
 
 
@@ -294,7 +395,7 @@ def _encoding(model, text: str, dropped: bool):
             sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
             for start, n in _slices(sizes, CHUNK_BYTES):
                 part = batch.slice(start, n)
-                ids, bounds = encode_texts([t or "" for t in part.column(at).to_pylist()], model.value, words)
+                ids, bounds = encode_texts(pc.fill_null(part.column(at), ""), model.value, words)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(i) for i in kept),
                      pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))],

@@ -134,3 +134,34 @@ def test_large_batches_are_worked_on_in_parts(spark, monkeypatch):
     cast = encode(spark.createDataFrame([(1, 12), (2, None)], "i int, text int"), shared.value)
     assert cast.columns == ["i", "text", "piece_ids"]
     assert [r["decoded"] for r in decode(cast, shared.value).orderBy("i").collect()] == ["12", ""]
+
+
+def test_pairs_are_decided_without_merging_their_text(monkeypatch):
+    """Each piece is merged once; whether two stay apart follows from their merges, as merging their text says."""
+    from masterloom.llm import pieces
+
+    model, plain, calls = load_model(MODEL), pieces.merging, []
+    monkeypatch.setattr(pieces, "merging", lambda text, model: calls.append(text) or plain(text, model))
+    rng, encoder = random.Random(4), Encoder(load_model(MODEL))
+    texts = ["".join(rng.choice("aabeehinorst.▁") for _ in range(rng.randrange(1, 40))) for _ in range(2000)]
+    encoder.encode(sorted(set(texts)))
+    assert len(calls) == len(set(calls)) <= len(model.ids) + 256 and len(encoder.pairs) > 2000
+    assert {apart for apart in encoder.pairs.values()} == {True, False}
+    for (before, piece), apart in encoder.pairs.items():
+        assert apart == (plain(before + piece, model)[0] == [before, piece]), (before, piece)
+
+
+def test_words_of_a_batch_are_those_of_the_pattern():
+    import re
+    from dataclasses import replace
+
+    import pyarrow as pa
+
+    from masterloom.llm.pieces import LINES, WHOLE, WORDS, _split
+
+    texts = [marked(t, load_model(MODEL)) for t in [*NASTY, "", "▁▁\n▁▁a▁", "\n\n", "âÂ▁â", "▁"]]
+    for pattern in (LINES, WHOLE, WORDS):
+        for given in (texts, texts[3:4], [""], []):
+            words, lengths = _split(pa.array(["x", *given], pa.large_string())[1:], replace(load_model(MODEL), word=pattern))
+            expected = [re.findall(pattern, t) for t in given]
+            assert words.to_pylist() == [w for ws in expected for w in ws] and lengths.tolist() == [len(ws) for ws in expected]
