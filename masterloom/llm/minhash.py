@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_run, written
 from .common import freed
 from .links import components
-from .tokens import WordHashes, chunked, mixed, raw, run_hashes, split_words
+from .tokens import WordHashes, mixed, raw, run_hashes, split_words, text_slices
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, DEPTH = 32, 5
@@ -51,7 +51,7 @@ SLOTS = BANDS * DEPTH
 WIDE = 1024
 PIVOTS, ROUNDS = 3, 2
 SLICE, SPREAD = 2048, 256
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 1_000_000
 MOST_AHEAD, POINTS_AT_ONCE = 256, 1 << 13
 LOWEST = -(1 << 63)
 # Four standard deviations of the share of equal slots below the similarity asked for.
@@ -146,22 +146,19 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, key, text) to (doc, key, bands, sketch, hashes): a hash per band, a byte per slot, and
     the hashes of all bands as bytes."""
     hashes = WordHashes()
-    for batch in batches:
-        rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2)), strict=True)
-        for part in chunked(rows, lambda r: len(r[2]), CHUNK_CHARS):
-            words = [split_words(r[2]) for r in part]
-            flat = hashes.of([w for ws in words for w in ws])
-            bags = [bag(x) for x in np.split(flat, np.cumsum([len(w) for w in words])[:-1])]
-            bits = mixed(signatures(bags).view(np.uint64))
-            band = np.zeros((len(part), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64) * C2
-            for i in range(DEPTH):
-                band = mixed(band * C1 + bits[:, i::DEPTH])
-            slots = np.ascontiguousarray((bits & np.uint64(255)).astype(np.uint8))
-            yield pa.RecordBatch.from_arrays([
-                pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.binary()),
-                pa.FixedSizeListArray.from_arrays(pa.array(band.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())),
-                pa.array([x.tobytes() for x in slots], pa.binary()), pa.array([x.tobytes() for x in band], pa.binary())],
-                names=["doc", "key", "bands", "sketch", "hashes"])
+    for part in text_slices(batches, "text", CHUNK_CHARS):
+        bags = [bag(hashes.of(split_words(t))) for t in raw(part.column(2))]
+        bits = mixed(signatures(bags).view(np.uint64))
+        del bags
+        band = np.zeros((len(bits), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64) * C2
+        for i in range(DEPTH):
+            band = mixed(band * C1 + bits[:, i::DEPTH])
+        slots = np.ascontiguousarray((bits & np.uint64(255)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([
+            part.column(0), part.column(1),
+            pa.FixedSizeListArray.from_arrays(pa.array(band.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())),
+            pa.array([x.tobytes() for x in slots], pa.binary()), pa.array([x.tobytes() for x in band], pa.binary())],
+            names=["doc", "key", "bands", "sketch", "hashes"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
@@ -180,13 +177,10 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
 def _widely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) to (id, wide): a byte for each of ``WIDE`` slots."""
     hashes = WordHashes()
-    for batch in batches:
-        rows = zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True)
-        for part in chunked(rows, lambda r: len(r[1]), CHUNK_CHARS):
-            times = signatures([bag(hashes.of(split_words(r[1]))) for r in part], WIDE)
-            slots = np.ascontiguousarray((mixed(times.view(np.uint64)) & np.uint64(255)).astype(np.uint8))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in part], pa.int64()), pa.array([x.tobytes() for x in slots], pa.binary())], names=["id", "wide"])
+    for part in text_slices(batches, "text", CHUNK_CHARS):
+        times = signatures([bag(hashes.of(split_words(t))) for t in raw(part.column(1))], WIDE)
+        slots = np.ascontiguousarray((mixed(times.view(np.uint64)) & np.uint64(255)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in slots], pa.binary())], names=["id", "wide"])
 
 
 def _stacked(rows: list[tuple], column: int, width: int) -> np.ndarray:

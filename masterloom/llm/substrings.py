@@ -35,10 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import WordHashes, chunked, mixed, raw, run_hashes, split_words
+from .tokens import WordHashes, chunked, mixed, raw, run_hashes, split_words, text_slices
 
 EDGE, ANCHOR = 20, 6
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS, WORDS_CHARS = 4_000_000, 250_000
 SAMPLE, FREQUENT, MOST_FREQUENT = 0.02, 0.004, 1 << 14
 BYTES = 6
 LOWEST = -(1 << 63)
@@ -47,17 +47,21 @@ SPANS = "doc long, tag int, start int, stop int"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    for batch in batches:
-        *ids, text = batch.columns
-        rows = zip(*(c.to_pylist() for c in ids), raw(text), strict=True)
-        yield from chunked(rows, lambda r: len(r[-1] or ""), CHUNK_CHARS)
+    """Rows as Python objects, a part of a batch at a time."""
+    for part in text_slices(batches, "text", CHUNK_CHARS):
+        *ids, text = part.columns
+        yield list(zip(*(c.to_pylist() for c in ids), raw(text), strict=True))
 
 
 def _laid_out(rows: list[tuple], hashes: WordHashes):
-    """Word hashes of some texts in one array, with where each text starts."""
-    words = [split_words(r[-1]) for r in rows]
-    starts = np.cumsum([0, *map(len, words)])
-    return hashes.of([w for ws in words for w in ws]), starts
+    """Word hashes of some texts in one array, with where each text starts. Words are
+    objects for a few texts at a time only."""
+    hashed, lengths = [], []
+    for some in chunked(rows, lambda r: len(r[-1] or ""), WORDS_CHARS):
+        words = [split_words(r[-1]) for r in some]
+        lengths += map(len, words)
+        hashed.append(hashes.of([w for ws in words for w in ws]))
+    return np.concatenate(hashed), np.cumsum([0, *lengths])
 
 
 def _anchor_order(anchors: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -72,12 +76,12 @@ def _anchor_order(anchors: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 def _minimisers(rank: np.ndarray, width: int) -> np.ndarray:
     """Position of the smallest rank among the ``width`` from each on, the first of ties."""
     n = len(rank) - width + 1
-    best, at = rank[:n].copy(), np.arange(n)
+    best, at = rank[:n].copy(), np.arange(n, dtype=np.int32)
     for i in range(1, width):
         here = rank[i:i + n]
-        less = here < best
+        less = np.nonzero(here < best)[0]
         best[less] = here[less]
-        at[less] = np.nonzero(less)[0] + i
+        at[less] = less + i
     return at
 
 
@@ -95,15 +99,22 @@ def _runs(keys: list[np.ndarray], position: np.ndarray) -> tuple[np.ndarray, np.
 
 def _first_of(keys: np.ndarray) -> np.ndarray:
     """For each element the index of the first equal one."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys, kind="stable").astype(np.int32)
     ordered = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = ordered[1:] != ordered[:-1]
-    first = np.empty(len(keys), np.int64)
-    first[order] = order[np.nonzero(new)[0]][np.cumsum(new) - 1]
+    del ordered
+    first = np.empty(len(keys), np.int32)
+    first[order] = order[new][np.cumsum(new, dtype=np.int32) - 1]
     return first
 
 
+def _repeated(keys: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether an equal element stands earlier, at another place."""
+    first = _first_of(keys)
+    return (doc[first] != doc) | (start[first] != start)
+
+
 def find_frequent(edge: int = EDGE, anchor: int = ANCHOR):
     """Anchors that many documents of a chunk hold, with their counts."""
 
@@ -131,22 +142,24 @@ def cut_paths(frequent: np.ndarray, edge: int = EDGE, anchor: int = ANCHOR):
         for rows in _chunks(batches):
             rows.sort(key=lambda r: r[0])
             words, starts = _laid_out(rows, hashes)
-            edges, ranks = run_hashes(words, edge), _anchor_order(anchors := run_hashes(words, anchor), frequent)
+            edges = run_hashes(words, edge)
             if not len(edges):
                 continue
-            lengths = np.diff(starts)
-            doc_of = np.repeat(np.arange(len(rows)), lengths)[:len(edges)]
-            inside = np.arange(len(edges)) + edge <= starts[doc_of + 1]  # edges don't leave their text
-            at = _minimisers(ranks, width)[:len(edges)]
-            index = np.nonzero(inside)[0]
+            # Arrays of a chunk are many, so they are narrow and go when they are done with.
+            anchors = run_hashes(words, anchor)
+            del words
+            at = _minimisers(_anchor_order(anchors, frequent), width)[:len(edges)]
+            doc_of = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(starts))[:len(edges)]
+            # Edges don't leave their text.
+            index = np.nonzero(np.arange(edge, len(edges) + edge) <= starts[1:][doc_of])[0].astype(np.int32)
             if not len(index):
                 continue
             edges, at, doc_of = edges[index], at[index], doc_of[index]
             ids = np.array([r[0] for r in rows], np.int64)
             tags = np.array([r[1] for r in rows], np.int32)
-            doc, start = ids[doc_of], index - starts[doc_of]
-            first = _first_of(edges)
-            repeated = (doc[first] != doc) | (start[first] != start)
+            starts = starts.astype(np.int32)
+            start = index - starts[doc_of]
+            repeated = _repeated(edges, ids[doc_of], start)
 
             r = np.nonzero(repeated)[0]
             a, b = _runs([doc_of[r]], index[r])
@@ -159,10 +172,13 @@ def cut_paths(frequent: np.ndarray, edge: int = EDGE, anchor: int = ANCHOR):
             a, b = a[open_], b[open_]
             place = np.nonzero(~repeated)[0]
             a, b = place[undecided[a]], place[undecided[b + 1] - 1]
-            raw = edges.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES]
+            del undecided, place, repeated, start
+            raw = edges.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :BYTES]
             sizes = b - a + 1
-            taken = np.repeat(a - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
-            blob = pa.py_buffer(np.ascontiguousarray(raw[taken]).tobytes())
+            taken = np.repeat((a - np.append(0, np.cumsum(sizes)[:-1])).astype(np.int32), sizes)
+            taken += np.arange(len(taken), dtype=np.int32)
+            blob = pa.py_buffer(raw[taken])
+            del raw, taken, edges
             offsets = np.append(0, np.cumsum(sizes)) * BYTES
             paths = pa.BinaryArray.from_buffers(
                 pa.binary(), len(a), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), blob])
@@ -242,7 +258,7 @@ def _without(names: list[str]):
     """Take the spans out of the texts of (columns..., starts, stops) batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, "text", CHUNK_CHARS):
             n, gone, kept = [], [], []
             texts, starts, stops = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "_sd_starts", "_sd_stops"))
             for text, a, b in zip(raw(texts), starts, stops, strict=True):

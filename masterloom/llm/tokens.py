@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -77,6 +78,17 @@ def chunked(rows: Iterable[tuple], size_of, most: int) -> Iterator[list[tuple]]:
         yield held
 
 
+def text_slices(batches: Iterable[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of batches with about ``most`` bytes in the column ``text``; a longer text is alone."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0)
+        ends, start, before = np.cumsum(np.asarray(sizes), dtype=np.int64), 0, 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(start, stop - start)
+            start, before = stop, ends[stop - 1]
+
+
 def raw(column: pa.Array) -> list[bytes | None]:
     """A column of texts as UTF-8, without making strings of them."""
     large = pa.types.is_large_string(column.type)

@@ -69,3 +69,25 @@ def test_runs_of_the_same_words_hash_alike():
         for i, v in enumerate(h.tolist()):
             assert seen.setdefault(tuple(x[i:i + length]), v) == v
         assert len(set(h.tolist())) == len(seen)
+
+
+def test_cutting_holds_a_chunk_at_a_time():
+    """Texts of a batch aren't objects all at once, and arrays of a chunk are few."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from masterloom.llm import substrings
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50_000, 1_000)) for _ in range(2_500)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(texts))), pa.array(np.zeros(len(texts), np.int32)), pa.array(texts)], names=["doc", "tag", "text"])
+    del texts
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in substrings.cut_paths(np.empty(0, np.uint64))(iter([batch]))) > 0
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert batch.nbytes > 3 * substrings.CHUNK_CHARS and peak < 22 * substrings.CHUNK_CHARS, peak
