@@ -6,15 +6,17 @@ into blocks; each block has a budget, its share of the squared distance in propo
 its width. A linked pair stays within budget in some block at least (else the sum would be
 above), so the pairs within budget in any block hold all links.
 
-Each block is range-joined: its first coordinate is cut into cells as wide as the
-block's budget reaches, and a vector meets those of its own cell and the next. Cells
-are split into slices of bounded size and joined slice by slice, so no group grows with
-the data and no pair is ever emitted: a task counts the links of its vectors, and gives
+Distinct vectors are dealt to slices, and each pair of slices is a tile, joined in one task for
+all blocks. Slices grow with the table, so that a vector goes to at most ``MOST_SLICES`` tiles (more only
+beyond ``LARGEST`` rows a slice): what is shuffled grows with the table, not with its square. In a tile
+each block is range-joined: both sides are ordered by the block's first coordinate, some rows of the one
+meet those of the other within the block's reach, and one matrix product tells which pairs are within
+budget. No pair is ever emitted: a task counts the links of its vectors, and gives
 those counts and a spanning forest of its links. A pair that several blocks find counts
-in the first of them. Every candidate is verified by its cosine in double precision.
+once. Every candidate is verified by its cosine in double precision. The work still
+grows with the square of the number of distinct vectors.
 
-Equal vectors are joined as one with their number. Only slices of the rotated and
-original components (single precision, as given) are shuffled.
+Equal vectors are joined as one with their number. Only the components as given are shuffled.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components
 link with nothing, and are components of their own; vectors of different lengths never
@@ -30,18 +32,21 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
+from .common import freed
 from .links import components
 
 COSINE = 0.9
 BLOCK_WIDTH = 16
 SLICE = 8192
+MOST_SLICES, LARGEST = 24, 1 << 16  # slices are larger than SLICE rather than more, up to LARGEST rows
+MOST_PARTS = 2000
 SLACK = 1e-4
-ROWS_AT_ONCE = 512
+ROWS_AT_ONCE, COLUMNS_AT_ONCE = 256, 1024
 PAIRS_AT_ONCE = 50_000
 # Ids lie below this; classes without one are numbered from here.
 UNNAMED = 1 << 62
@@ -69,27 +74,63 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def _stack(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), np.float64)
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of equal length, none of them null, as rows."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
-def _cells(cosine: float, width: int):
-    """(id, copies, vector) to one row per block: dims, block, cell, turned."""
-    total = 2 - 2 * cosine
+def _sides(turned: np.ndarray, a: int, b: int, budget: float, left: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One block of the rows of one side in the order of its first coordinate, that order, and that coordinate. Two columns
+    more make the product of a left and a right row half of what their squared distance leaves of the budget."""
+    order = np.argsort(turned[:, a], kind="stable")
+    part = turned[order, a:b]
+    half, one = (part * part).sum(axis=1, keepdims=True) / 2, np.ones((len(part), 1), np.float32)
+    more = (-half, one) if left else (one, np.float32(budget / 2) - half)
+    return np.ascontiguousarray(np.hstack([part, *more]), np.float32), order, part[:, 0]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for dims, part in frame.groupby(frame["vector"].map(len)):
-                turned = (_unit(_stack(part["vector"])) @ rotation(dims)).astype(np.float32)
-                for j, (a, b) in enumerate(blocks_of(dims, width)):
-                    reach = math.sqrt(total * (b - a) / dims) + SLACK
-                    yield pd.DataFrame({
-                        "dims": np.int32(dims), "block": np.int32(j),
-                        "cell": np.floor(turned[:, a].astype(np.float64) / reach).astype(np.int32),
-                        "id": part["id"].to_numpy(), "copies": part["copies"].to_numpy(),
-                        "vector": part["vector"].to_numpy(), "turned": list(turned)})
 
-    return run
+def _set(near: np.ndarray) -> np.ndarray:
+    """Places of the few true values in the flat array, looked for eight at a time."""
+    flat = near.ravel()
+    whole = len(flat) // 8 * 8
+    eights = np.flatnonzero(flat[:whole].view(np.uint64))
+    at = (eights[:, None] * 8 + np.arange(8)).ravel()
+    return np.concatenate([at[flat[at]], np.flatnonzero(flat[whole:]) + whole])
+
+
+def _candidates(x: np.ndarray, y: np.ndarray, cuts, budgets, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rotated rows that are within budget in some block, each once."""
+
+    def first_found(j: int, pairs: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        u, v = (np.concatenate(side) for side in zip(*pairs))
+        if same:
+            u, v = u[u < v], v[u < v]
+        for k in range(0, len(u), PAIRS_AT_ONCE):
+            s, t = u[k:k + PAIRS_AT_ONCE], v[k:k + PAIRS_AT_ONCE]
+            own = _passing(x[s], y[t], cuts, budgets)
+            own = own[:, j] & ~own[:, :j].any(axis=1)
+            yield s[own], t[own]
+
+    for j, ((a, b), budget) in enumerate(zip(cuts, budgets)):
+        left, order, first = _sides(x, a, b, budget + SLACK, True)
+        right, other_order, other_first = _sides(y, a, b, budget + SLACK, False)
+        right, reach = np.ascontiguousarray(right.T), math.sqrt(budget) + SLACK
+        pairs, held = [], 0
+        for at in range(0, len(left), ROWS_AT_ONCE):
+            rows = left[at:at + ROWS_AT_ONCE]
+            low, high = np.searchsorted(other_first, first[at] - reach), np.searchsorted(other_first, first[at + len(rows) - 1] + reach, "right")
+            for start in range(low, high, COLUMNS_AT_ONCE):
+                some = right[:, start:min(start + COLUMNS_AT_ONCE, high)]
+                found = _set(rows @ some >= 0)
+                if len(found):
+                    pairs.append((order[found // some.shape[1] + at], other_order[found % some.shape[1] + start]))
+                    held += len(found)
+                if held > PAIRS_AT_ONCE:
+                    yield from first_found(j, pairs)
+                    pairs, held = [], 0
+        if held:
+            yield from first_found(j, pairs)
 
 
 def _passing(left: np.ndarray, right: np.ndarray, cuts, budgets) -> np.ndarray:
@@ -100,75 +141,107 @@ def _passing(left: np.ndarray, right: np.ndarray, cuts, budgets) -> np.ndarray:
 
 
 class _Forest:
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        while (y := self.up.get(x, x)) != x:
-            self.up[x] = self.up.get(y, y)
-            x = y
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        if x == y:
-            return False
-        self.up[max(x, y)] = min(x, y)
-        return True
+    """The components of numbered vertices, as the least vertex of each."""
+
+    def __init__(self, size: int):
+        self.least = np.arange(size)
+
+    def join(self, x: np.ndarray, y: np.ndarray) -> list[int]:
+        """Link each pair; the places of pairs that span what is linked thereby."""
+        a, b = self.least[x], self.least[y]
+        apart = np.nonzero(a != b)[0]
+        if not len(apart):
+            return []
+        low, high = np.minimum(a[apart], b[apart]), np.maximum(a[apart], b[apart])
+        _, first = np.unique(low * len(self.least) + high, return_index=True)
+        up: dict[int, int] = {}
+
+        def root(v: int) -> int:
+            while (w := up.get(v, v)) != v:
+                up[v] = up.get(w, w)
+                v = w
+            return v
+
+        spanning = []
+        for at, v, w in zip(apart[first].tolist(), low[first].tolist(), high[first].tolist()):
+            v, w = root(v), root(w)
+            if v != w:
+                up[max(v, w)] = min(v, w)
+                spanning.append(at)
+        to = np.arange(len(self.least))
+        for v in up:
+            to[v] = root(v)
+        self.least = to[self.least]
+        return spanning
 
 
 def _join_slices(cosine: float, width: int):
     """Links between the two sides of one tile: (a, null, n) counts, (a, b, null) forest."""
     total = 2 - 2 * cosine
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        block, same = int(frame["block"].iloc[0]), bool(frame["same"].iloc[0])
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        side = np.asarray(table["side"])
+        same = key[1] == key[2]
         sides = []
-        for side in (0, 1):
-            part = frame[frame["side"] == side].sort_values("id")
-            sides.append((part["id"].to_numpy(np.int64), part["copies"].to_numpy(np.int64), part))
+        for which in (0, 1):
+            part = table.filter(pa.array(side == which)).sort_by("id")
+            sides.append((np.asarray(part["id"], np.int64), np.asarray(part["copies"], np.int64), part["vector"]))
         if same:
             sides[1] = sides[0]
         (ids, copies, p), (other_ids, other_copies, q) = sides
-        if not len(ids) or not len(other_ids):
-            return pd.DataFrame({"a": [], "b": [], "n": []})
-        dims = len(p["vector"].iloc[0])
-        cuts = blocks_of(dims, width)
-        budgets = [total * (b - a) / dims + SLACK for a, b in cuts]
-        turned, other_turned = np.array(p["turned"].tolist(), np.float32), np.array(q["turned"].tolist(), np.float32)
-        unit, other_unit = _unit(_stack(p["vector"])), _unit(_stack(q["vector"]))
-        a, b = cuts[block]
-        x, y = np.ascontiguousarray(turned[:, a:b]), np.ascontiguousarray(other_turned[:, a:b])
-        norms = (y * y).sum(axis=1)
-        counts, other_counts, forest, edges = np.zeros(len(ids), np.int64), np.zeros(len(other_ids), np.int64), _Forest(), []
-        for at in range(0, len(ids), ROWS_AT_ONCE):
-            rows = x[at:at + ROWS_AT_ONCE]
-            near = (rows * rows).sum(axis=1)[:, None] + norms - 2 * rows @ y.T <= budgets[block] + SLACK
-            i, j = np.nonzero(near)
-            i += at
-            if same:
-                i, j = i[j > i], j[j > i]
-            for k in range(0, len(i), PAIRS_AT_ONCE):
-                u, v = i[k:k + PAIRS_AT_ONCE], j[k:k + PAIRS_AT_ONCE]
-                passing = _passing(turned[u], other_turned[v], cuts, budgets)
-                own = passing[:, block] & ~passing[:, :block].any(axis=1)
-                u, v = u[own], v[own]
+        out = {"a": [ids[:0]], "b": [ids[:0]], "n": [ids[:0]]}
+        if len(ids) and len(other_ids):
+            dims = int(key[0].as_py())
+            cuts = blocks_of(dims, width)
+            budgets = [total * (b - a) / dims + SLACK for a, b in cuts]
+            unit = _unit(_matrix(p))
+            other_unit = unit if same else _unit(_matrix(q))
+            turn = rotation(dims)
+            turned = (unit @ turn).astype(np.float32)
+            other_turned = turned if same else (other_unit @ turn).astype(np.float32)
+            counts, other_counts = np.zeros(len(ids)), np.zeros(len(other_ids))
+            beyond = 0 if same else len(ids)
+            forest = _Forest(beyond + len(other_ids))
+            for u, v in _candidates(turned, other_turned, cuts, budgets, same):
                 linked = (unit[u] * other_unit[v]).sum(axis=1) >= cosine
                 u, v = u[linked], v[linked]
-                np.add.at(counts, u, other_copies[v])
-                np.add.at(other_counts, v, copies[u])
-                edges += [(s, t) for s, t in zip(ids[u].tolist(), other_ids[v].tolist()) if forest.join(s, t)]
-        if same:
-            counts = counts + other_counts
-        out = [pd.DataFrame({"a": ids, "n": counts})] + ([] if same else [pd.DataFrame({"a": other_ids, "n": other_counts})])
-        out = pd.concat(out)
-        out = out[out["n"] > 0].assign(b=None)[["a", "b", "n"]]
-        links = pd.DataFrame({"a": [e[0] for e in edges], "b": [e[1] for e in edges]}).assign(n=None)
-        return pd.concat([out.astype("object"), links.astype("object")])
+                if not len(u):
+                    continue
+                counts += np.bincount(u, other_copies[v], len(ids))
+                other_counts += np.bincount(v, copies[u], len(other_ids))
+                spanning = forest.join(u, v + beyond)
+                out["a"].append(ids[u[spanning]])
+                out["b"].append(other_ids[v[spanning]])
+            edges = sum(map(len, out["a"]))
+            for of, n in [(ids, counts + other_counts)] if same else [(ids, counts), (other_ids, other_counts)]:
+                out["a"].append(of[n > 0])
+                out["n"].append(n[n > 0].astype(np.int64))
+        else:
+            edges = 0
+        a, b, n = (np.concatenate(out[c]).astype(np.int64) for c in ("a", "b", "n"))
+        return pa.table({"a": pa.array(a), "b": pa.concat_arrays([pa.array(b), pa.nulls(len(n), pa.int64())]),
+                         "n": pa.concat_arrays([pa.nulls(edges, pa.int64()), pa.array(n)])})
 
     return run
 
 
+def tiles(classes: DataFrame, slice_rows: int = SLICE) -> DataFrame:
+    """(dims, left, right, side, id, copies, vector): the rows of ``classes`` once for each pair of slices that theirs is in.
+    Slice ``left`` is side 0 of a tile, ``right`` side 1; a tile of a slice with itself has one side."""
+    rows = classes.withColumn("dims", F.size("vector"))
+    n = F.count("*")
+    slices = F.least(F.ceil(n / slice_rows), F.greatest(F.lit(MOST_SLICES), F.ceil(n / LARGEST)))
+    sizes = rows.groupBy("dims").agg(slices.cast("int").alias("slices"))
+    parts = sizes.agg(F.sum(F.col("slices") * (F.col("slices") + 1) / 2)).first()[0] or 1
+    rows = rows.join(F.broadcast(sizes), "dims")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    rows = rows.select("dims", F.least("mine", "other").alias("left"), F.greatest("mine", "other").alias("right"),
+                       (F.col("mine") > F.col("other")).cast("int").alias("side"), "id", "copies", "vector")
+    # The tasks have little to read and much to do, so they are not put together by size.
+    return rows.repartition(min(MOST_PARTS, int(parts)), "dims", "left", "right")
+
+
 def near_vectors(rows: DataFrame, cosine: float = COSINE, width: int = BLOCK_WIDTH, slice_rows: int = SLICE,
                  id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """One row per row of ``rows``: vec_id, n_links, component_id, kept, class_id."""
@@ -181,39 +254,9 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, width: int = BLOCK_WID
     unnamed = F.lit(UNNAMED) + F.xxhash64("vector").bitwiseAND(F.lit(UNNAMED - 1))
     classes = good.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     classes = written(classes.withColumn("id", F.coalesce("id", unnamed)), "vec-classes")
-    cells = written(classes.mapInPandas(
-        _cells(cosine, width),
-        f"dims int, block int, cell int, id long, copies long, {classes.select('vector').schema[0].name} "
-        f"{classes.schema['vector'].dataType.simpleString()}, turned array<float>"), "vec-cells")
-
-    # Cells span [-1, 1], so there are a few tens of them whatever the data.
-    sizes = cells.groupBy("dims", "block", "cell").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("slices"))
-    own = sizes.select("dims", "block", "cell", "slices", F.col("slices").alias("right"), F.lit(0).alias("step"))
-    after = sizes.alias("x").join(sizes.alias("y"), (F.col("x.dims") == F.col("y.dims")) & (F.col("x.block") == F.col("y.block"))
-                                  & (F.col("x.cell") + 1 == F.col("y.cell"))).select(
-        "x.dims", "x.block", "x.cell", "x.slices", F.col("y.slices").alias("right"), F.lit(1).alias("step"))
-    tiles = written(own.unionByName(after), "vec-tiles")
-
-    def side(which: int) -> DataFrame:
-        """The vectors of one side of every tile they take part in."""
-        t = tiles.withColumn("own", F.col("cell") + (F.col("step") if which else F.lit(0)))
-        joined = cells.join(F.broadcast(t.withColumnsRenamed({"dims": "t_dims", "block": "t_block", "cell": "t_cell"})),
-                            (F.col("dims") == F.col("t_dims")) & (F.col("block") == F.col("t_block")) & (F.col("cell") == F.col("own")))
-        mine = F.pmod(F.xxhash64("id"), F.col("right") if which else F.col("slices")).cast("int")
-        theirs = F.sequence(F.lit(0), (F.col("slices") if which else F.col("right")) - 1)
-        joined = joined.withColumn("mine", mine).withColumn("theirs", F.explode(theirs))
-        left, right = (F.col("theirs"), F.col("mine")) if which else (F.col("mine"), F.col("theirs"))
-        tile = joined.select(
-            "dims", "block", F.col("t_cell").alias("cell"), "step", left.alias("left"), right.alias("right"),
-            F.lit(which).alias("side"), "id", "copies", "vector", "turned")
-        within = (F.col("step") == 0)
-        # Inside a cell each pair of slices is one tile, and a slice with itself has one side.
-        return tile.where(~within | (F.col("left") < F.col("right")) | ((F.col("left") == F.col("right")) & F.lit(which == 0)))
-
-    both = side(0).unionByName(side(1)).withColumn("same", (F.col("step") == 0) & (F.col("left") == F.col("right")))
-    found = both.groupBy("dims", "block", "cell", "step", "left", "right").applyInPandas(
-        _join_slices(cosine, width), "a long, b long, n long")
-    found = written(found, "vec-links")
+    found = written(tiles(classes, slice_rows).groupBy("dims", "left", "right").applyInArrow(
+        _join_slices(cosine, width), "a long, b long, n long"), "vec-links")
+    freed(spark)
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     labels = components(found.where("b IS NOT NULL").select("a", "b"))
     known = written(

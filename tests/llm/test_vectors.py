@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from masterloom.llm.common import table
+from masterloom.llm import vectors
 from masterloom.llm.vectors import near_vectors
 
 from .helpers import SF, clashing, frame
@@ -67,3 +68,40 @@ def test_null_and_repeated_ids(spark):
     got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(df).collect()), key=str)
     assert got == sorted([(1, 1, 1, True), (None, 1, 1, False), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True),
                           (9, 1, 9, True), (9, 1, 9, True), (None, 0, None, True)], key=str)
+
+
+def test_a_vector_goes_to_a_bounded_number_of_tiles(spark, monkeypatch):
+    """However many rows a slice might hold at least, and each pair of vectors of a length meets in one tile."""
+    classes = spark.createDataFrame([(i, 1, [float(i + 1)] * (2 if i % 3 else 5)) for i in range(300)], "id long, copies long, vector array<float>")
+    rows = vectors.tiles(classes, 1)
+    assert rows.groupBy("id").count().agg({"count": "max"}).first()[0] == vectors.MOST_SLICES
+    a, b = rows.alias("a"), rows.alias("b")
+    met = a.join(b, ["dims", "left", "right"]).where("a.id < b.id AND (a.left = a.right OR a.side <> b.side)")
+    pairs = met.selectExpr("a.id AS x", "b.id AS y").collect()
+    assert len(pairs) == len(set(pairs)) == 100 * 99 // 2 + 200 * 199 // 2
+    monkeypatch.setattr(vectors, "LARGEST", 2)
+    assert vectors.tiles(classes, 1).agg({"right": "max"}).first()[0] == 99
+
+
+@pytest.mark.parametrize("rows,columns,pairs", [(256, 1024, 50_000), (7, 5, 3)])
+def test_candidates_of_a_tile(monkeypatch, rows, columns, pairs):
+    """In parts of any size, each pair within budget in some block comes once, from a large group of near copies too."""
+    for name, value in (("ROWS_AT_ONCE", rows), ("COLUMNS_AT_ONCE", columns), ("PAIRS_AT_ONCE", pairs)):
+        monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(3)
+    middle, other = rng.normal(size=64), rng.normal(size=64)
+    x = vectors._unit(np.array([(middle if i % 3 else other) + rng.normal(size=64) * 0.3 for i in range(90)] + [rng.normal(size=64) for _ in range(10)]))
+    x = (x @ vectors.rotation(64)).astype(np.float32)
+    cuts = vectors.blocks_of(64)
+    budgets = [0.2 / 4 + vectors.SLACK] * 4
+    for y, same in ((x, True), (x[20:75], False)):
+        within = vectors._passing(np.repeat(x, len(y), 0), np.tile(y, (len(x), 1)), cuts, budgets).any(axis=1).reshape(len(x), len(y))
+        expected = sorted(zip(*(z.tolist() for z in np.nonzero(np.triu(within, 1) if same else within))))
+        got = sorted((u, v) for s, t in vectors._candidates(x, y, cuts, budgets, same) for u, v in zip(s.tolist(), t.tolist()))
+        assert got == expected and len(got) > 1000
+
+
+def test_forest_spans_what_is_linked():
+    forest = vectors._Forest(7)
+    assert forest.join(np.array([1, 2, 1, 5]), np.array([2, 3, 3, 6])) == [0, 2, 3] and forest.join(np.array([3]), np.array([1])) == []
+    assert forest.join(np.array([6, 0, 2]), np.array([2, 4, 5])) == [1, 0] and forest.least.tolist() == [0, 1, 1, 1, 0, 1, 1]
